@@ -12,6 +12,7 @@ from stakeperf.functions.columns import (  # noqa: F401
     r_text,
     round_doubles,
     safe_div,
+    sig_round,
     strip_suffix,
 )
 from stakeperf.functions.calendar import (  # noqa: F401

@@ -72,6 +72,13 @@ def edge_round(c: Column | str, digits: int = 4) -> Column:
     return F.round(F.round(_c(c), 9), digits) + F.lit(0.0)
 
 
+def sig_round(c: Column | str, digits: int = 9) -> Column:
+    """Round to ``digits`` significant digits (for quantities that grow
+    multiplicatively, where a fixed number of decimals is meaningless)."""
+    col = _c(c)
+    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col).cast("double"))
+
+
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
     """Apply :func:`edge_round` to every double column of ``df``."""
     return df.select([

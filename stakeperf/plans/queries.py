@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stakeperf.config import LedgerConfig
-from stakeperf.functions.columns import round_doubles
+from stakeperf.functions.columns import round_doubles, sig_round
 from stakeperf.operators import assets as A
 from stakeperf.operators import calendar as C
 from stakeperf.operators import cumulative as CU
@@ -146,7 +146,8 @@ def q_asset_values(spark, sf):
 
 def q_asset_balances(spark, sf):
     flows = L.investment_flows(working_stage(spark, sf))
-    return _out(A.asset_balances(returns_stage(spark, sf), flows), ["date", "asset", "balance"])
+    bal = A.asset_balances(returns_stage(spark, sf), flows)
+    return _out(bal.withColumn("balance", sig_round("balance")), ["date", "asset", "balance"])
 
 
 def q_investment_blotter(spark, sf):
@@ -165,7 +166,8 @@ def q_cash_balance(spark, sf):
 
 
 def q_nmr_ledger(spark, sf):
-    return _out(L.token_ledger(ledger_stage(spark, sf)), ["date", "NMR", "NMRInv"])
+    led = L.token_ledger(ledger_stage(spark, sf))
+    return _out(led.withColumn("NMR", sig_round("NMR")), ["date", "NMR", "NMRInv"])
 
 
 def q_table_profile(spark, sf):
