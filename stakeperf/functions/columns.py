@@ -19,6 +19,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, even if the name contains dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def safe_div(num: Column | str, den: Column | str) -> Column:
     """``num / den`` with NULL for a zero or NULL denominator (R: Inf / NaN)."""
     return F.try_divide(_c(num), _c(den))
@@ -95,9 +100,9 @@ def coalesce_numeric(df: DataFrame, value: float = 0.0, exclude: Iterable[str] =
     for f in df.schema.fields:
         if f.name not in skip and isinstance(f.dataType, (NumericType,)) and not isinstance(f.dataType, DecimalType):
             lit = F.lit(int(value)) if isinstance(f.dataType, IntegralType) else F.lit(float(value))
-            out.append(F.coalesce(F.col(f.name), lit).alias(f.name))
+            out.append(F.coalesce(quoted(f.name), lit).alias(f.name))
         else:
-            out.append(F.col(f.name))
+            out.append(quoted(f.name))
     return df.select(out)
 
 

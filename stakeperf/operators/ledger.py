@@ -7,17 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from stakeperf.config import CASH_COLUMNS, INVESTMENT_PATTERN, TOKEN_COLUMN
-from stakeperf.functions.columns import columns_like
+from stakeperf.functions.columns import coalesce_numeric, columns_like
 from stakeperf.operators.assets import asset_balances, to_wide
 
 
-def _numeric(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
-
-
 def investment_blotter(investments: DataFrame, fixedincome: DataFrame) -> DataFrame:
     """FULL OUTER join on ``date``, missing -> 0.  Non-key columns present
     on both sides get the suffixes ``.x`` / ``.y``, as in dplyr."""
@@ -26,8 +21,7 @@ def investment_blotter(investments: DataFrame, fixedincome: DataFrame) -> DataFr
     for c in shared:
         left = left.withColumnRenamed(c, c + ".x")
         right = right.withColumnRenamed(c, c + ".y")
-    joined = left.join(right, "date", "full_outer")
-    return joined.fillna(0.0, subset=_numeric(joined))
+    return coalesce_numeric(left.join(right, "date", "full_outer"))
 
 
 def working_frame(grid_dates: DataFrame, asset_names: Sequence[str], blotter: DataFrame,
@@ -35,8 +29,7 @@ def working_frame(grid_dates: DataFrame, asset_names: Sequence[str], blotter: Da
     """One row per grid date: zero asset columns, the blotter's columns and
     the cash columns, all missing values 0 (left joins on ``date``)."""
     base = grid_dates.select("date").distinct().select("date", *[F.lit(0.0).alias(a) for a in asset_names])
-    joined = base.join(blotter, "date", "left").join(cash, "date", "left")
-    return joined.fillna(0.0, subset=_numeric(joined))
+    return coalesce_numeric(base.join(blotter, "date", "left").join(cash, "date", "left"))
 
 
 def investment_flows(frame: DataFrame, pattern: str = INVESTMENT_PATTERN) -> DataFrame:
