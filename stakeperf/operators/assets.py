@@ -34,10 +34,11 @@ def asset_prices(prices: DataFrame, start: date, end: date,
 
 
 def drop_empty_series(prices: DataFrame) -> DataFrame:
-    """Drop assets whose prices are all missing: one aggregate per asset,
-    then a semi join (the per-asset side has one row per asset)."""
-    alive = prices.groupBy("asset").agg(F.count("price").alias("_n")).where(F.col("_n") > 0).select("asset")
-    return prices.join(alive, "asset", "left_semi")
+    """Drop assets whose prices are all missing.  A count over the asset's
+    own window: a price series has one row per date, so a window partition
+    is bounded by the calendar span, and no join is needed."""
+    n = F.count("price").over(Window.partitionBy("asset"))
+    return prices.withColumn("_n", n).where(F.col("_n") > 0).drop("_n")
 
 
 def asset_returns(prices: DataFrame) -> DataFrame:

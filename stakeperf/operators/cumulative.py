@@ -15,28 +15,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stakeperf.config import ALL_MODELS, TOKEN_COLUMN
-from stakeperf.functions.columns import coalesce_numeric, date_of_text
+from stakeperf.functions.columns import coalesce_numeric
 from stakeperf.operators.calendar import redate
+from stakeperf.operators.staking import daily_summary
 
 M, RN = "model_name", "roundNumber"
 
 
+def bizday_ts_from_summary(summary: DataFrame, ts_columns: list[str],
+                           calendar: DataFrame | None = None) -> DataFrame:
+    """Re-dated raw rows from the per-date summary: each date's last row
+    moves to its new date, the last of those per (model, new date) is kept,
+    and a date left missing becomes the model's latest date minus one day."""
+    x = redate(summary.select(M, "date", "_last", "_last_key"), "date", "_new", calendar)
+    kept = x.groupBy(M, "_new").agg(F.max_by("_last", "_last_key").alias("_row"))
+    latest = F.max("_new").over(Window.partitionBy(M))
+    rest = [c for c in ts_columns if c not in (M, "date")]
+    return (kept.withColumn("date", F.coalesce(F.col("_new"), F.date_sub(latest, 1)))
+            .select(M, "date", *[F.col("_row")[c].alias(c) for c in rest]))
+
+
 def bizday_ts(ts: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Re-date the per-round rows: weekend -> next business day, then one
     business day back; keep per (model, new date) the last row in the order
     (full date text, round, day with NULL last, seq); a date left missing
     becomes the model's latest date minus one day."""
-    x = (ts.where(F.col("date").isNotNull())
-         .withColumn("_full", F.col("date"))
-         .withColumn("_d", date_of_text("date")))
-    x = redate(x, "_d", "_new", calendar)
-    payload = [c for c in ts.columns if c not in (M, "date")] + ["_full"]
-    order = F.struct(F.col("_full"), F.col(RN), F.col("day").isNull(), F.col("day"), F.col("seq"))
-    kept = (x.groupBy(M, "_new").agg(F.max_by(F.struct(*payload), order).alias("_row"))
-            .select(M, "_new", *[F.col("_row")[c].alias(c) for c in payload]))
-    latest = F.max("_new").over(Window.partitionBy(M))
-    return (kept.withColumn("date", F.coalesce(F.col("_new"), F.date_sub(latest, 1)))
-            .select(M, "date", *[c for c in ts.columns if c not in (M, "date")]))
+    return bizday_ts_from_summary(daily_summary(ts), ts.columns, calendar)
 
 
 def daily_aggregates(redated_ts: DataFrame) -> DataFrame:
@@ -79,13 +83,25 @@ def cumulative_missing_ts(by_date: DataFrame, token: DataFrame, asset: str = TOK
 
 def cumulative(by_date: DataFrame, ts_redated: DataFrame, token: DataFrame,
                asset: str = TOKEN_COLUMN) -> DataFrame:
-    """Both branches in one plan: each model takes the per-round branch if
-    it has per-round rows, the missing-rows branch otherwise."""
-    has_ts = ts_redated.select(M).distinct()
-    with_ts = by_date.join(has_ts, M, "left_semi")
-    without = by_date.join(has_ts, M, "left_anti")
-    return (cumulative_by_model(with_ts, daily_aggregates(ts_redated), token, asset)
-            .unionByName(cumulative_missing_ts(without, token, asset)))
+    """Both branches in one pass: a model with per-round rows takes the
+    per-round branch, a model without them the missing-rows branch.  The
+    per-model flag comes from a distinct list of model names (one row per
+    model), so routing adds no second scan of ``by_date``."""
+    has_ts = ts_redated.select(M).distinct().withColumn("_has_ts", F.lit(True))
+    daily = daily_aggregates(ts_redated)
+    has = F.coalesce(F.col("_has_ts"), F.lit(False))
+    x = (by_date.drop("return", "leveredreturn")
+         .join(has_ts, M, "left")
+         .join(daily, [M, "date"], "left")
+         .withColumn("totalpayout",
+                     F.when(has, F.coalesce("ts_totalpayout", "totalpayout", F.lit(0.0))).otherwise(F.lit(0.0)))
+         .withColumn("totalpayoutdailychg",
+                     F.when(has, F.coalesce("ts_totalpayoutdailychg", "totalpayoutdailychg", F.lit(0.0)))
+                     .otherwise(F.lit(0.0)))
+         .withColumn("cumbalance", F.col("totalpayout") + F.col("walletestimate"))
+         .withColumn("cumstakebalance", F.col("totalpayout") + F.col("cumstake"))
+         .drop("ts_totalpayout", "ts_totalpayoutdailychg", "_has_ts"))
+    return _with_usd(coalesce_numeric(x), token, asset)
 
 
 def cumulative_allmodels(portfolio: DataFrame, token: DataFrame, asset: str = TOKEN_COLUMN) -> DataFrame:

@@ -10,7 +10,7 @@ stable sorts break them -- by file order):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stakeperf.functions.columns import date_of_text, safe_div
@@ -43,9 +43,16 @@ def staked_daily(scores: DataFrame) -> DataFrame:
                                    .otherwise(F.col("returns") - F.lag("returns").over(w)), F.lit(0.0))))
 
 
-def staked_by_date(ts: DataFrame) -> DataFrame:
-    """Per (model, date) aggregates of the per-round rows, then the
-    day-over-day change of ``totalpayout`` and the two returns.
+def _last_order() -> Column:
+    """Order of "the last row" among per-round rows of one date: full date
+    text, round, day with missing last, file order."""
+    return F.struct(F.col("_full"), F.col(RN), F.col("day").isNull().alias("_day_missing"),
+                    F.col("day"), F.col("seq"))
+
+
+def daily_summary(ts: DataFrame) -> DataFrame:
+    """One row per (model, date) over the per-round rows, holding everything
+    later stages need from the raw rows:
 
     totalpayout    = sum(dailypayout)          (missing -> 0)
     cumstake       = sum(atRisk)               (missing -> 0)
@@ -54,27 +61,48 @@ def staked_by_date(ts: DataFrame) -> DataFrame:
     NMRwtret       = stake-weighted sum of dailyrets, weights
                      stakeandpayout / sum(stakeandpayout); 0 unless that
                      sum is positive
+    _last, _last_key = the date's last raw row and its ordering key, from
+                     which the re-dated raw rows are derived (a last-of-last
+                     is the last of the union, so no second pass over raw
+                     rows is needed)
+
+    A single aggregate with partial (map-side) aggregation: a model that
+    holds most rows does not produce a hot task.
     """
     x = (ts.where(F.col("date").isNotNull())
          .withColumn("_full", F.col("date"))
          .withColumn("date", date_of_text("date")))
     sp = F.col("stakeandpayout")
-    order = F.struct(F.col("day"), F.col("_full"), F.col(RN), F.col("seq"))
-    per_day = x.groupBy(M, "date").agg(
+    first_order = F.struct(F.col("day"), F.col("_full"), F.col(RN), F.col("seq"))
+    payload = [c for c in ts.columns if c not in (M, "date")] + ["_full"]
+    return x.groupBy(M, "date").agg(
         F.coalesce(F.sum("dailypayout"), F.lit(0.0)).alias("totalpayout"),
         F.coalesce(F.sum("atRisk"), F.lit(0.0)).alias("cumstake"),
-        F.when(F.count("day") == F.count(F.lit(1)), F.min_by("atRisk", order)).alias("walletestimate"),
+        F.when(F.count("day") == F.count(F.lit(1)), F.min_by("atRisk", first_order)).alias("walletestimate"),
         F.when(F.sum(sp) > 0,
                F.coalesce(F.sum(sp * F.col("dailyrets")), F.lit(0.0)) / F.sum(sp))
         .otherwise(F.lit(0.0)).alias("NMRwtret"),
+        F.max_by(F.struct(*payload), _last_order()).alias("_last"),
+        F.max(_last_order()).alias("_last_key"),
     )
+
+
+def by_date_from_summary(summary: DataFrame) -> DataFrame:
+    """The day-over-day change of ``totalpayout`` and the two returns."""
     w = Window.partitionBy(M).orderBy("date")
     chg = F.col("totalpayout") - F.lag("totalpayout").over(w)
-    return (per_day.withColumn("totalpayoutdailychg", chg)
+    return (summary.select(M, "date", "totalpayout", "cumstake", "walletestimate", "NMRwtret")
+            .withColumn("totalpayoutdailychg", chg)
             .withColumn("return", safe_div("totalpayoutdailychg", "cumstake"))
             .withColumn("leveredreturn", safe_div("totalpayoutdailychg", "walletestimate")))
 
 
+def staked_by_date(ts: DataFrame) -> DataFrame:
+    """Per (model, date) aggregates of the per-round rows (see
+    ``daily_summary``), then the day-over-day change and the returns."""
+    return by_date_from_summary(daily_summary(ts))
+
+
 def bizday_by_date(by_date: DataFrame, calendar: DataFrame | None = None) -> DataFrame:
     """Re-date per-date rows to business days and keep, per new date, the
     row whose original date is latest.  A date the calendar cannot shift

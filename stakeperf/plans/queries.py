@@ -12,9 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from stakeperf.config import LedgerConfig
-from stakeperf.functions.columns import round_doubles, sig_round
+from stakeperf.functions.columns import edge_round, sig_round
 from stakeperf.operators import assets as A
 from stakeperf.operators import calendar as C
 from stakeperf.operators import cumulative as CU
@@ -45,8 +46,18 @@ CUM_ALL_COLS = ["date", "cumstake", "walletestimate", "cumbalance", "cumstakebal
                 "cumUSD", "cumstakeUSD"]
 
 
-def _out(df: DataFrame, cols: list[str]) -> DataFrame:
-    return round_doubles(df.select(*cols))
+# Pass-through source doubles (money with two decimals, integral values).
+RAW_SCORE = ("atRisk", "payoutPending", "payoutSettled", "percentile", "value")
+RAW_CLEAN = ("day", "payoutPending", "atRisk")
+
+
+def _out(df: DataFrame, cols: list[str], raw: tuple[str, ...] = ()) -> DataFrame:
+    """Final projection; computed doubles are rounded (``edge_round``).
+    ``raw`` names pass-through source values with at most four decimals,
+    for which the rounding is the identity and is skipped."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[edge_round(c).alias(c) if isinstance(types[c], DoubleType) and c not in raw
+                       else F.col(c) for c in cols])
 
 
 # ---------------------------------------------------------------- stages
@@ -59,41 +70,54 @@ def ts_stage(spark, sf) -> DataFrame:
     return ST.staked_daily(scores_stage(spark, sf))
 
 
-def by_date_stage(spark, sf) -> DataFrame:
-    return ST.staked_by_date(ts_stage(spark, sf))
-
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a stage that several branches read: the rows are
+    written once to the reliable checkpoint folder (``spark.checkpoint.dir``)
+    and every branch reads them back, instead of each branch re-scanning and
+    re-windowing the raw score rows.  Used on the per-(model, date) summary,
+    whose size is models x dates, not raw rows."""
+    return df.checkpoint(eager=True)
 
-def by_date_biz_stage(spark, sf) -> DataFrame:
-    return ST.bizday_by_date(by_date_stage(spark, sf))
 
+class Staking:
+    """The staking half for one query, with the per-(model, date) summary
+    computed once.  ``shared=True`` materializes it for plans with several
+    consumers of the summary."""
 
-def portfolio_stage(spark, sf) -> DataFrame:
-    return P.allmodels(by_date_biz_stage(spark, sf))
+    def __init__(self, spark, sf, shared: bool = False):
+        self.spark, self.sf = spark, sf
+        self.ts = ts_stage(spark, sf)
+        summary = ST.daily_summary(self.ts)
+        self.summary = materialize(summary) if shared else summary
 
+    def by_date(self) -> DataFrame:
+        return ST.by_date_from_summary(self.summary)
 
-def token_price_stage(spark, sf) -> DataFrame:
-    px = A.asset_prices(FX.fx_token_prices(spark, sf), STAKING.start, STAKING.end)
-    return A.drop_empty_series(px)
+    def by_date_biz(self) -> DataFrame:
+        return ST.bizday_by_date(self.by_date())
 
+    def ts_biz(self) -> DataFrame:
+        return CU.bizday_ts_from_summary(self.summary, self.ts.columns)
 
-def nmr_stage(spark, sf) -> DataFrame:
-    return P.nmr_prices(token_price_stage(spark, sf), portfolio_stage(spark, sf))
+    def portfolio(self) -> DataFrame:
+        return P.allmodels(self.by_date_biz())
 
+    def nmr(self) -> DataFrame:
+        return P.nmr_prices(token_price_stage(self.spark, self.sf), self.portfolio())
 
-def currency_stage(spark, sf) -> DataFrame:
-    return P.allmodels_currency(portfolio_stage(spark, sf), nmr_stage(spark, sf))
+    def currency(self) -> DataFrame:
+        return P.allmodels_currency(self.portfolio(), self.nmr())
 
+    def cumulative_models(self) -> DataFrame:
+        return CU.cumulative(self.by_date_biz(), self.ts_biz(), self.nmr())
 
-def ts_biz_stage(spark, sf) -> DataFrame:
-    return CU.bizday_ts(ts_stage(spark, sf))
+    def cumulative_portfolio(self) -> DataFrame:
+        return CU.cumulative_allmodels(self.currency(), self.nmr())
 
 
-def cumulative_model_stage(spark, sf) -> DataFrame:
-    return CU.cumulative(by_date_biz_stage(spark, sf), ts_biz_stage(spark, sf), nmr_stage(spark, sf))
-
-
-def cumulative_portfolio_stage(spark, sf) -> DataFrame:
-    return CU.cumulative_allmodels(currency_stage(spark, sf), nmr_stage(spark, sf))
+def token_price_stage(spark, sf) -> DataFrame:
+    px = A.asset_prices(FX.fx_token_prices(spark, sf), STAKING.start, STAKING.end)
+    return A.drop_empty_series(px)
 
 
 def prices_stage(spark, sf) -> DataFrame:
@@ -151,14 +175,15 @@ def q_asset_balances(spark, sf):
 
 
 def q_investment_blotter(spark, sf):
-    return _out(blotter_stage(spark, sf), ["date", "GLDInv", "ETHInv", "NMRInv", "BondInv"])
+    cols = ["date", "GLDInv", "ETHInv", "NMRInv", "BondInv"]
+    return _out(blotter_stage(spark, sf), cols, tuple(cols))
 
 
 WORKING_COLS = ["date", *ASSET_NAMES, "GLDInv", "ETHInv", "NMRInv", "BondInv", "Principal", "Interest", "Adjustments"]
 
 
 def q_working_frame(spark, sf):
-    return _out(working_stage(spark, sf), WORKING_COLS)
+    return _out(working_stage(spark, sf), WORKING_COLS, tuple(WORKING_COLS))
 
 
 def q_cash_balance(spark, sf):
@@ -176,19 +201,19 @@ def q_table_profile(spark, sf):
 
 
 def q_flatten_scores(spark, sf):
-    return _out(S.flatten_scores(FX.fx_nested(spark, sf)), SCORE_COLS)
+    return _out(S.flatten_scores(FX.fx_nested(spark, sf)), SCORE_COLS, RAW_SCORE)
 
 
 def q_null_scores_default(spark, sf):
-    return _out(S.null_scores_default(FX.fx_nested(spark, sf)), SCORE_COLS)
+    return _out(S.null_scores_default(FX.fx_nested(spark, sf)), SCORE_COLS, RAW_SCORE)
 
 
 def q_filter_scores(spark, sf):
-    return _out(S.filter_scores(S.flatten_scores(FX.fx_nested(spark, sf))), SCORE_COLS)
+    return _out(S.filter_scores(S.flatten_scores(FX.fx_nested(spark, sf))), SCORE_COLS, RAW_SCORE)
 
 
 def q_filter_scores_parity(spark, sf):
-    return _out(S.filter_scores_parity(S.flatten_scores(FX.fx_nested(spark, sf))), SCORE_COLS)
+    return _out(S.filter_scores_parity(S.flatten_scores(FX.fx_nested(spark, sf))), SCORE_COLS, RAW_SCORE)
 
 
 def stringify_stage(spark, sf):
@@ -196,7 +221,7 @@ def stringify_stage(spark, sf):
 
 
 def q_stringify_scores(spark, sf):
-    return _out(stringify_stage(spark, sf), SCORE_COLS)
+    return _out(stringify_stage(spark, sf), SCORE_COLS, RAW_SCORE)
 
 
 def q_round_numbers(spark, sf):
@@ -212,19 +237,19 @@ def q_run_summary(spark, sf):
 
 
 def q_clean_scores(spark, sf):
-    return _out(scores_stage(spark, sf), CLEAN_COLS)
+    return _out(scores_stage(spark, sf), CLEAN_COLS, RAW_CLEAN)
 
 
 def q_staked_daily(spark, sf):
-    return _out(ts_stage(spark, sf), TS_COLS)
+    return _out(ts_stage(spark, sf), TS_COLS, RAW_CLEAN)
 
 
 def q_staked_by_date(spark, sf):
-    return _out(by_date_stage(spark, sf), BY_DATE_COLS)
+    return _out(Staking(spark, sf).by_date(), BY_DATE_COLS)
 
 
 def q_weekend_flags(spark, sf):
-    return C.weekend_flags(by_date_stage(spark, sf), ["model_name"]).select("model_name", "date", "is_weekend")
+    return C.weekend_flags(Staking(spark, sf).by_date(), ["model_name"]).select("model_name", "date", "is_weekend")
 
 
 def q_bizday_shift(spark, sf):
@@ -239,48 +264,50 @@ def q_bizday_shift_holidays(spark, sf):
 
 
 def q_bizday_by_date(spark, sf):
-    return _out(by_date_biz_stage(spark, sf), BY_DATE_COLS)
+    return _out(Staking(spark, sf).by_date_biz(), BY_DATE_COLS)
 
 
 def q_bizday_ts(spark, sf):
-    return _out(ts_biz_stage(spark, sf), TS_COLS)
+    return _out(Staking(spark, sf).ts_biz(), TS_COLS, RAW_CLEAN)
 
 
 PORTFOLIO_COLS = ["date", "totalpayout", "cumstake", "walletestimate", "totalpayoutdailychg", "return", "leveredreturn"]
 
 
 def q_allmodels(spark, sf):
-    return _out(portfolio_stage(spark, sf), PORTFOLIO_COLS)
+    return _out(Staking(spark, sf).portfolio(), PORTFOLIO_COLS)
 
 
 def q_nmr_prices(spark, sf):
-    return _out(nmr_stage(spark, sf), ["date", "NMR", "NMRreturn"])
+    return _out(Staking(spark, sf).nmr(), ["date", "NMR", "NMRreturn"])
 
 
 def q_allmodels_currency(spark, sf):
-    return _out(currency_stage(spark, sf),
+    return _out(Staking(spark, sf, shared=True).currency(),
                 PORTFOLIO_COLS + ["NMR", "NMRreturn", "return_currency", "leveredreturn_currency"])
 
 
 def q_daily_aggregates(spark, sf):
-    return _out(CU.daily_aggregates(ts_biz_stage(spark, sf)),
+    return _out(CU.daily_aggregates(Staking(spark, sf).ts_biz()),
                 ["model_name", "date", "ts_totalpayout", "ts_totalpayoutdailychg"])
 
 
 def q_cumulative_by_model(spark, sf):
-    return _out(cumulative_model_stage(spark, sf), CUM_COLS)
+    return _out(Staking(spark, sf, shared=True).cumulative_models(), CUM_COLS)
 
 
 def q_cumulative_missing_ts(spark, sf):
-    return _out(CU.cumulative_missing_ts(by_date_biz_stage(spark, sf), nmr_stage(spark, sf)), CUM_COLS)
+    st = Staking(spark, sf, shared=True)
+    return _out(CU.cumulative_missing_ts(st.by_date_biz(), st.nmr()), CUM_COLS)
 
 
 def q_cumulative_allmodels(spark, sf):
-    return _out(cumulative_portfolio_stage(spark, sf), CUM_ALL_COLS)
+    return _out(Staking(spark, sf, shared=True).cumulative_portfolio(), CUM_ALL_COLS)
 
 
 def q_cumulative_all(spark, sf):
-    both = CU.cumulative_all(cumulative_model_stage(spark, sf), cumulative_portfolio_stage(spark, sf))
+    st = Staking(spark, sf, shared=True)
+    both = CU.cumulative_all(st.cumulative_models(), st.cumulative_portfolio())
     return _out(both, CUM_COLS)
 
 
