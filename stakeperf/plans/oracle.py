@@ -49,7 +49,7 @@ def MONEY(x: str) -> str:
 def TEXT(x: str) -> str:
     """R toString of a number: plain notation, no trailing zeros."""
     t = rf"regexp_replace(CAST(CAST({x} AS DECIMAL(38,10)) AS VARCHAR), '\.?0+$', '')"
-    return f"coalesce(CASE WHEN {t} = '-0' THEN '0' ELSE {t} END, '')"
+    return f"coalesce({t}, '')"
 
 
 STAKING_START, STAKING_END = "2020-12-07", "2025-07-25"

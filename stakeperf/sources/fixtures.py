@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stakeperf.config import ASSET_CONFIG
@@ -81,10 +81,14 @@ def fx_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_discount").alias("percentile"),
         F.col("l_tax").alias("value"),
     )
-    # Lines per order are few, so the per-order array is bounded.
-    per_order = (li.groupBy("l_orderkey")
-                 .agg(F.sort_array(F.collect_list(F.struct(*[F.col(k) for k in sort_key],
-                                                            score.alias("s")))).alias("_lines"))
+    # Each line's position inside its order comes from a window sort (a
+    # code-generated sort on the full key); the per-order array is then
+    # ordered by that integer alone.  Lines per order are few, so both the
+    # window partition and the array are bounded.
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*sort_key))
+    per_order = (li.withColumn("_pos", pos)
+                 .groupBy("l_orderkey")
+                 .agg(F.sort_array(F.collect_list(F.struct(F.col("_pos"), score.alias("s")))).alias("_lines"))
                  .select("l_orderkey", F.transform("_lines", lambda x: x["s"]).alias("intraRoundSubmissionScores")))
     return (o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
             .select(_model(F.col("o_custkey")).alias("model_name"),
