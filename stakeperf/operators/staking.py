@@ -15,11 +15,15 @@ from pyspark.sql import functions as F
 
 from stakeperf.functions.columns import date_of_text, safe_div
 from stakeperf.operators.calendar import redate
+from stakeperf.operators.windows import blocked_lag
 
 M, RN = "model_name", "roundNumber"
 
 
-def staked_daily(scores: DataFrame) -> DataFrame:
+SEQ_BLOCK = 1 << 16
+
+
+def staked_daily(scores: DataFrame, seq_block: int = SEQ_BLOCK) -> DataFrame:
     """Per-round metrics over cleaned score rows.
 
     returns        = payoutPending / atRisk
@@ -28,19 +32,22 @@ def staked_daily(scores: DataFrame) -> DataFrame:
     stakeandpayout = atRisk + payoutPending
     dailyrets      = 0 on the first row, else the change of ``returns``;
                      missing -> 0
-    Partitioned by (model, round): a window never spans more than a round.
+
+    Order inside a (model, round): ``day`` (NULL last), then ``seq``.  The
+    lag is blocked (``blocked_lag``), so even a round holding a large share
+    of all rows is spread over tasks of at most ``seq_block`` rows.
     """
-    w = Window.partitionBy(M, RN).orderBy(F.col("day").asc_nulls_last(), F.col("seq").asc())
-    first = F.row_number().over(w) == 1
     p = F.col("payoutPending")
-    returns = safe_div(p, F.col("atRisk"))
-    return (scores.withColumn("returns", returns)
-            .withColumn("dailypayout",
-                        F.coalesce(F.when(first, p).otherwise(p - F.lag(p).over(w)), F.lit(0.0)))
+    x = scores.withColumn("returns", safe_div(p, F.col("atRisk")))
+    x = blocked_lag(x, [M, RN], "day", "seq", ["payoutPending", "returns"], seq_block)
+    first = F.col("_first")
+    return (x.withColumn("dailypayout",
+                         F.coalesce(F.when(first, p).otherwise(p - F.col("_prev_payoutPending")), F.lit(0.0)))
             .withColumn("stakeandpayout", F.col("atRisk") + p)
             .withColumn("dailyrets",
                         F.coalesce(F.when(first, F.lit(0.0))
-                                   .otherwise(F.col("returns") - F.lag("returns").over(w)), F.lit(0.0))))
+                                   .otherwise(F.col("returns") - F.col("_prev_returns")), F.lit(0.0)))
+            .drop("_first", "_prev_payoutPending", "_prev_returns"))
 
 
 def _last_order() -> Column:

@@ -34,3 +34,54 @@ def prefix_sum(df: DataFrame, value: Column, keys: Sequence[str], order: Sequenc
             .join(offsets, [*keys, "_blk"], "inner")
             .withColumn(out, F.col("_boff") + F.col("_in"))
             .drop("_blk", "_v", "_bt", "_boff", "_in"))
+
+
+MIN_LONG = -(1 << 63)
+
+
+def null_safe_keys(df: DataFrame, cols: Sequence[str], prefix: str) -> tuple[DataFrame, list[str]]:
+    """Non-null stand-ins for possibly-NULL key columns: for each column a
+    NULL flag and the value with NULL replaced.  Equal stand-ins mean equal
+    (or both NULL) keys, so they can serve as plain equi-join keys and as
+    window partition keys at the same time."""
+    names = []
+    for i, c in enumerate(cols):
+        dt = df.schema[c].dataType.simpleString()
+        filler = {"string": F.lit(""), "double": F.lit(0.0), "float": F.lit(0.0)}.get(dt, F.lit(0))
+        df = (df.withColumn(f"{prefix}{i}n", F.col(c).isNull())
+                .withColumn(f"{prefix}{i}v", F.coalesce(F.col(c), filler.cast(dt))))
+        names += [f"{prefix}{i}n", f"{prefix}{i}v"]
+    return df, names
+
+
+def blocked_lag(df: DataFrame, keys: Sequence[str], major: str, seq: str, values: Sequence[str],
+                block_size: int) -> DataFrame:
+    """``lag`` of ``values`` and a first-row flag within ``keys``, in the order
+    (``major`` NULL last, ``seq``), without putting a whole key into one task.
+
+    Rows are cut into blocks (keys, major, seq div block_size); blocks are
+    monotone in the order.  Inside a block a window gives the lag; the first
+    row of a block takes the last values of the previous block of its key,
+    found by a window over the (small) table of block ends.  Adds
+    ``_prev_<v>`` for each value and ``_first`` (first row of its key).
+    """
+    x, kcols = null_safe_keys(df, list(keys), "_k")
+    x = (x.withColumn("_mn", F.col(major).isNull())
+         .withColumn("_mv", F.coalesce(F.col(major), F.lit(0).cast(df.schema[major].dataType)))
+         .withColumn("_sb", F.coalesce(F.floor(F.col(seq) / block_size), F.lit(MIN_LONG))))
+    blk = [*kcols, "_mn", "_mv", "_sb"]
+    w_in = Window.partitionBy(*blk).orderBy(F.col(seq).asc_nulls_first())
+    x = x.withColumn("_i", F.row_number().over(w_in))
+    for v in values:
+        x = x.withColumn(f"_lag_{v}", F.lag(v).over(w_in))
+    ends = (x.groupBy(*blk)
+            .agg(F.max_by(F.struct(*[F.col(v) for v in values]), F.coalesce(F.col(seq), F.lit(MIN_LONG)))
+                 .alias("_end")))
+    w_blk = Window.partitionBy(*kcols).orderBy("_mn", "_mv", "_sb")
+    ends = ends.select(*blk, F.lag("_end").over(w_blk).alias("_prev"))
+    x = x.join(ends, blk, "inner")
+    first_in_block = F.col("_i") == 1
+    for v in values:
+        x = x.withColumn(f"_prev_{v}", F.when(first_in_block, F.col("_prev")[v]).otherwise(F.col(f"_lag_{v}")))
+    x = x.withColumn("_first", first_in_block & F.col("_prev").isNull())
+    return x.drop(*kcols, "_mn", "_mv", "_sb", "_i", "_prev", *[f"_lag_{v}" for v in values])
