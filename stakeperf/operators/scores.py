@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from stakeperf.config import SCORE_METRICS
 from stakeperf.functions.columns import as_number, blank_to_null, r_text
-from stakeperf.operators.windows import prefix_sum
+from stakeperf.operators.windows import MIN_LONG, null_safe_keys, prefix_sum
 
 SCORES = "intraRoundSubmissionScores"
 SCORE_PREFIX = SCORES + "."
@@ -62,17 +62,24 @@ def filter_scores(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS) -> Da
 
 
 def score_row_index(flat: DataFrame, model: str = "model_name", rnd: str = "roundNumber",
-                    seq: str = "seq", rounds_per_block: int = 1024) -> DataFrame:
+                    seq: str = "seq", rounds_per_block: int = 1024, seq_block: int = 1 << 16) -> DataFrame:
     """Add ``row_index`` (1-based) of every row inside its model, in
-    (round, seq) order, without putting a whole model into one task."""
-    w = Window.partitionBy(model, rnd).orderBy(F.col(seq).asc_nulls_first())
-    ranked = flat.withColumn("_pos", F.row_number().over(w))
-    per_round = ranked.groupBy(model, rnd).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = prefix_sum(per_round, F.col("_n"), keys=[model], order=[F.col(rnd)],
-                         block=F.floor(F.col(rnd) / rounds_per_block), out="_off", inclusive=False)
-    return (ranked.join(offsets.select(model, rnd, "_off"), [model, rnd], "inner")
+    (round, seq NULL first) order, with every task bounded: the position
+    inside a round is a blocked prefix count over ``seq``, and the offset of
+    a round is a blocked prefix sum of per-round counts over ``roundNumber``.
+    Neither a hot model nor a hot round ends up in one task."""
+    one = F.lit(1).cast("bigint")
+    seq_blk = F.coalesce(F.floor(F.col(seq) / seq_block), F.lit(MIN_LONG))
+    ranked = prefix_sum(flat, one, [model, rnd], [F.col(seq).asc_nulls_first()], seq_blk, "_pos")
+    per_round = flat.groupBy(model, rnd).agg(F.count(F.lit(1)).alias("_n"))
+    rnd_blk = F.coalesce(F.floor(F.col(rnd) / rounds_per_block), F.lit(MIN_LONG))
+    offsets = prefix_sum(per_round, F.col("_n"), [model], [F.col(rnd).asc_nulls_first()], rnd_blk, "_off",
+                         inclusive=False)
+    keyed, kcols = null_safe_keys(ranked, [model, rnd], "_r")
+    okeyed, _ = null_safe_keys(offsets.select(model, rnd, "_off"), [model, rnd], "_r")
+    return (keyed.join(okeyed.drop(model, rnd), kcols, "inner")
             .withColumn("row_index", (F.col("_off") + F.col("_pos")).cast("bigint"))
-            .drop("_off", "_pos"))
+            .drop("_off", "_pos", *kcols))
 
 
 def filter_scores_parity(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS) -> DataFrame:

@@ -19,21 +19,21 @@ def prefix_sum(df: DataFrame, value: Column, keys: Sequence[str], order: Sequenc
                block: Column, out: str, inclusive: bool = True) -> DataFrame:
     """Add ``out`` = running sum of ``value`` within ``keys`` in ``order``.
 
-    ``block`` must be monotone in ``order`` (rows of a lower block come first)
-    and bounds the rows per in-block window.  ``inclusive=False`` excludes the
-    current row.
+    ``block`` must be non-null and monotone in ``order`` (rows of a lower
+    block come first); it bounds the rows per in-block window.
+    ``inclusive=False`` excludes the current row.  NULL keys form their own
+    group, as in a window.
     """
-    keys = list(keys)
-    tmp = df.withColumn("_blk", block).withColumn("_v", value)
-    totals = tmp.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_bt"))
-    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_blk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_boff"))
+    tmp, kcols = null_safe_keys(df.withColumn("_blk", block).withColumn("_v", value), list(keys), "_p")
+    totals = tmp.groupBy(*kcols, "_blk").agg(F.sum("_v").alias("_bt"))
+    before = Window.partitionBy(*kcols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*kcols, "_blk", F.coalesce(F.sum("_bt").over(before), F.lit(0)).alias("_boff"))
     end = Window.currentRow if inclusive else -1
-    inner = Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    inner = Window.partitionBy(*kcols, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     return (tmp.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-            .join(offsets, [*keys, "_blk"], "inner")
+            .join(offsets, [*kcols, "_blk"], "inner")
             .withColumn(out, F.col("_boff") + F.col("_in"))
-            .drop("_blk", "_v", "_bt", "_boff", "_in"))
+            .drop(*kcols, "_blk", "_v", "_bt", "_boff", "_in"))
 
 
 MIN_LONG = -(1 << 63)
