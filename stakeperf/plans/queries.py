@@ -24,7 +24,7 @@ from stakeperf.operators import portfolio as P
 from stakeperf.operators import quality as Q
 from stakeperf.operators import scores as S
 from stakeperf.operators import staking as ST
-from stakeperf.session import scratch_path
+from stakeperf.session import checkpoint_root, scratch_path
 from stakeperf.sources import fixtures as FX
 from stakeperf.sources import files as IO
 
@@ -76,6 +76,7 @@ def materialize(df: DataFrame) -> DataFrame:
     and every branch reads them back, instead of each branch re-scanning and
     re-windowing the raw score rows.  Used on the per-(model, date) summary,
     whose size is models x dates, not raw rows."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
