@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeperf.config import CASH_COLUMNS, INVESTMENT_PATTERN, TOKEN_COLUMN
 from stakeperf.functions.columns import coalesce_numeric, columns_like
 from stakeperf.operators.assets import asset_balances, to_wide
+from stakeperf.operators.windows import prefix_sum
 
 
 def investment_blotter(investments: DataFrame, fixedincome: DataFrame) -> DataFrame:
@@ -45,12 +46,15 @@ def investment_flows(frame: DataFrame, pattern: str = INVESTMENT_PATTERN) -> Dat
 def cash_balance(frame: DataFrame, cash_columns: Sequence[str] = CASH_COLUMNS,
                  pattern: str = INVESTMENT_PATTERN) -> DataFrame:
     """Running cash: cumulative sum by date of the cash columns minus the
-    investment columns.  The series has one row per date, so the window's
-    single ordered partition is bounded by the calendar span, not by data."""
+    investment columns.  A blocked prefix sum with one block per month: the
+    per-date windows run per month in parallel and only the month totals
+    (one row per month) form a single ordered series."""
     inv_cols = columns_like(frame, pattern)
     net = sum((F.col(c) for c in cash_columns), F.lit(0.0)) - sum((F.col(c) for c in inv_cols), F.lit(0.0))
-    upto = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return frame.select("date", F.sum(net).over(upto).alias("cashbalance"))
+    month = F.year("date") * 12 + F.month("date")
+    out = prefix_sum(frame.select("date", net.alias("_net")), F.col("_net"), [], [F.col("date")], month,
+                     "cashbalance")
+    return out.select("date", "cashbalance")
 
 
 def ledger_with_balances(frame: DataFrame, returns: DataFrame, asset_names: Sequence[str]) -> DataFrame:
