@@ -142,7 +142,10 @@ def working_stage(spark, sf) -> DataFrame:
 
 
 def ledger_stage(spark, sf) -> DataFrame:
-    return L.ledger_with_balances(working_stage(spark, sf), returns_stage(spark, sf), ASSET_NAMES)
+    """The working frame (one row per date) is read three times -- flows,
+    the frame itself and the cash balance -- so it is materialized once."""
+    frame = materialize(working_stage(spark, sf))
+    return L.ledger_with_balances(frame, returns_stage(spark, sf), ASSET_NAMES)
 
 
 # ---------------------------------------------------------------- queries
