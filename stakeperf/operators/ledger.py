@@ -4,6 +4,7 @@ token ledger."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +15,17 @@ from stakeperf.operators.assets import asset_balances, to_wide
 from stakeperf.operators.windows import prefix_sum
 
 
-def investment_blotter(investments: DataFrame, fixedincome: DataFrame) -> DataFrame:
+def investment_blotter(investments: DataFrame, fixedincome: DataFrame,
+                       start: date | None = None, end: date | None = None) -> DataFrame:
     """FULL OUTER join on ``date``, missing -> 0.  Non-key columns present
-    on both sides get the suffixes ``.x`` / ``.y``, as in dplyr."""
+    on both sides get the suffixes ``.x`` / ``.y``, as in dplyr.
+
+    An optional date range filters both sides *before* the join (the same
+    rows as filtering the result, but it reaches both scans)."""
     left, right = investments, fixedincome
+    if start is not None and end is not None:
+        in_range = F.col("date").between(F.lit(start), F.lit(end))
+        left, right = left.where(in_range), right.where(in_range)
     shared = (set(left.columns) & set(right.columns)) - {"date"}
     for c in shared:
         left = left.withColumnRenamed(c, c + ".x")
@@ -26,9 +34,16 @@ def investment_blotter(investments: DataFrame, fixedincome: DataFrame) -> DataFr
 
 
 def working_frame(grid_dates: DataFrame, asset_names: Sequence[str], blotter: DataFrame,
-                  cash: DataFrame) -> DataFrame:
+                  cash: DataFrame, start: date | None = None, end: date | None = None) -> DataFrame:
     """One row per grid date: zero asset columns, the blotter's columns and
-    the cash columns, all missing values 0 (left joins on ``date``)."""
+    the cash columns, all missing values 0 (left joins on ``date``).
+
+    ``start`` / ``end`` (the range the grid dates come from) restrict the
+    blotter and cash inputs before the joins; rows outside could not match
+    anyway, and the literal range reaches their scans as pushed filters."""
+    if start is not None and end is not None:
+        in_range = F.col("date").between(F.lit(start), F.lit(end))
+        blotter, cash = blotter.where(in_range), cash.where(in_range)
     base = grid_dates.select("date").distinct().select("date", *[F.lit(0.0).alias(a) for a in asset_names])
     return coalesce_numeric(base.join(blotter, "date", "left").join(cash, "date", "left"))
 

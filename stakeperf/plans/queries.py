@@ -138,7 +138,10 @@ def blotter_stage(spark, sf) -> DataFrame:
 
 
 def working_stage(spark, sf) -> DataFrame:
-    return L.working_frame(prices_stage(spark, sf), ASSET_NAMES, blotter_stage(spark, sf), FX.fx_cash(spark, sf))
+    blotter = L.investment_blotter(FX.fx_investments(spark, sf), FX.fx_fixedincome(spark, sf),
+                                   LEDGER.start, LEDGER.end)
+    return L.working_frame(prices_stage(spark, sf), ASSET_NAMES, blotter, FX.fx_cash(spark, sf),
+                           LEDGER.start, LEDGER.end)
 
 
 def ledger_stage(spark, sf) -> DataFrame:

@@ -99,18 +99,22 @@ def fx_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """long price table (date, symbol, price) on the grid of order dates
-    times the configured symbols; unpriced cells are NULL."""
+    times the configured symbols; unpriced cells are NULL.
+
+    One conditional aggregate per date (average order price per priority),
+    then ``unpivot``: no join, so a date filter on the result reaches the
+    orders scan."""
     o = table(spark, sf_dir, "orders")
-    sym = F.lit(None).cast("string")
-    for pri, s in reversed(list(PRIORITY_SYMBOL.items())):
-        sym = F.when(F.col("o_orderpriority") == pri, s).otherwise(sym)
-    priced = (o.select(F.to_date("o_orderdate").alias("date"), sym.alias("symbol"), "o_totalprice")
-              .where(F.col("symbol").isNotNull())
-              .groupBy("date", "symbol")
-              .agg((money_sum(F.col("o_totalprice")) / F.count(F.lit(1))).alias("price")))
-    grid = (o.select(F.to_date("o_orderdate").alias("date")).distinct()
-            .select("date", F.explode(F.array(*[F.lit(a.symbol) for a in ASSET_CONFIG])).alias("symbol")))
-    return grid.join(priced, ["date", "symbol"], "left")
+    sym_of = {s: pri for pri, s in PRIORITY_SYMBOL.items()}
+
+    def avg_of(pri):
+        hit = F.col("o_orderpriority") == pri
+        return F.try_divide(money_sum(F.when(hit, F.col("o_totalprice"))), F.count(F.when(hit, F.lit(1))))
+
+    per_date = o.groupBy(F.to_date("o_orderdate").alias("date")).agg(
+        *[(avg_of(sym_of[a.symbol]) if a.symbol in sym_of else F.lit(None).cast("double")).alias(a.symbol)
+          for a in ASSET_CONFIG])
+    return per_date.unpivot("date", [a.symbol for a in ASSET_CONFIG], "symbol", "price")
 
 
 def fx_token_prices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 results do not depend on the number of shuffle partitions (which proves the
 tie-breaks are total orders)."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -16,6 +18,16 @@ def plan_text(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def formatted(df) -> str:
+    """``explain("formatted")`` as text (scan details are not truncated)."""
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
 def test_no_python_in_plan(spark, sf_small, name):
     text = plan_text(QUERIES[name](spark, sf_small))
@@ -23,13 +35,14 @@ def test_no_python_in_plan(spark, sf_small, name):
 
 
 def test_filters_reach_the_scan(spark, sf_small):
-    text = plan_text(QP.q_asset_prices(spark, sf_small))
-    assert "PushedFilters" in text or "DataFilters" in text
-    scores = plan_text(QP.q_clean_scores(spark, sf_small))
-    # only the columns the fixture needs are read from the events table
+    # the ledger date range becomes a Parquet filter on the orders scan
+    text = formatted(QP.q_asset_prices(spark, sf_small))
+    assert "GreaterThanOrEqual(o_orderdate,1998-01-01T00:00)" in text
+    assert "LessThan(o_orderdate,1998-04-01T00:00)" in text
+    # the score fixture reads only the columns it uses (no `props`)
+    scores = formatted(QP.q_clean_scores(spark, sf_small))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" \
-        in QP.q_clean_scores(spark, sf_small)._jdf.queryExecution().explainString(
-            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) or "ReadSchema" in scores
+        in scores
 
 
 @pytest.mark.parametrize("name", ["staked_daily", "staked_by_date", "bizday_by_date", "bizday_ts",
@@ -42,3 +55,14 @@ def test_results_independent_of_partitioning(spark, sf_small, name):
         out.append(digest(df.columns, [tuple(r) for r in df.collect()])[0])
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1]
+
+
+def test_ledger_range_reaches_every_scan(spark, sf_small):
+    # the working frame only keeps dates of the ledger range, so every input
+    # scan (prices, investments, fixed income, cash) gets the range pushed
+    text = formatted(QP.q_working_frame(spark, sf_small))
+    scans = [sec for sec in text.split("\n\n") if re.match(r"\s*\(\d+\) Scan parquet", sec)]
+    assert len(scans) == 4
+    for sec in scans:
+        pushed = next(line for line in sec.splitlines() if line.startswith("PushedFilters"))
+        assert "GreaterThanOrEqual(o_orderdate,1998-01-01" in pushed or "GreaterThanOrEqual(l_shipdate,1998-01-01" in pushed
