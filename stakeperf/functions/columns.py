@@ -61,9 +61,11 @@ def r_text(c: Column | str, dtype) -> Column:
     if isinstance(dtype, StringType):
         txt = col
     elif isinstance(dtype, (NumericType,)):
-        # DECIMAL has no negative zero, so -0.0 prints as "0" like in R.
+        # Plain decimal text always has a point and ten decimals; dropping
+        # trailing zeros and then a trailing point gives R's digits.  DECIMAL
+        # has no negative zero, so -0.0 prints as "0" like in R.
         plain = col.cast(DecimalType(38, 10)).cast("string")
-        txt = F.regexp_replace(plain, r"\.?0+$", "")
+        txt = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
     else:
         txt = col.cast("string")
     return F.coalesce(txt, F.lit(""))
