@@ -181,9 +181,21 @@ def q_asset_balances(spark, sf):
     return _out(bal.withColumn("balance", sig_round("balance")), ["date", "asset", "balance"])
 
 
+INVESTMENTS_SCHEMA = "date date, GLDInv double, ETHInv double, NMRInv double"
+FIXEDINCOME_SCHEMA = "date date, BondInv double"
+
+
 def q_investment_blotter(spark, sf):
+    """The blotter as the source reads it: two CSV files in a data folder
+    (here written from fixture F5), scanned with explicit schemas."""
+    datadir = scratch_path(spark, "data")
+    for name, df in ((LEDGER.investments_file, FX.fx_investments(spark, sf)),
+                     (LEDGER.fixedincome_file, FX.fx_fixedincome(spark, sf))):
+        df.write.mode("overwrite").option("header", True).csv(f"{datadir}/{name}")
+    inv, fi = IO.read_investment_data(spark, datadir, LEDGER.investments_file, LEDGER.fixedincome_file,
+                                      INVESTMENTS_SCHEMA, FIXEDINCOME_SCHEMA)
     cols = ["date", "GLDInv", "ETHInv", "NMRInv", "BondInv"]
-    return _out(blotter_stage(spark, sf), cols, tuple(cols))
+    return _out(L.investment_blotter(inv, fi), cols, tuple(cols))
 
 
 WORKING_COLS = ["date", *ASSET_NAMES, "GLDInv", "ETHInv", "NMRInv", "BondInv", "Principal", "Interest", "Adjustments"]
