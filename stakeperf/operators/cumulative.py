@@ -61,7 +61,7 @@ def cumulative_by_model(by_date: DataFrame, daily: DataFrame, token: DataFrame,
                         asset: str = TOKEN_COLUMN) -> DataFrame:
     """Per-model cumulative balances when the model has per-round rows."""
     x = (by_date.drop("return", "leveredreturn")
-         .join(daily, [M, "date"], "left")
+         .join(daily.hint("merge"), [M, "date"], "left")
          .withColumn("totalpayout", F.coalesce("ts_totalpayout", "totalpayout", F.lit(0.0)))
          .withColumn("totalpayoutdailychg", F.coalesce("ts_totalpayoutdailychg", "totalpayoutdailychg", F.lit(0.0)))
          .withColumn("cumbalance", F.col("totalpayout") + F.col("walletestimate"))
@@ -92,7 +92,7 @@ def cumulative(by_date: DataFrame, ts_redated: DataFrame, token: DataFrame,
     has = F.coalesce(F.col("_has_ts"), F.lit(False))
     x = (by_date.drop("return", "leveredreturn")
          .join(has_ts, M, "left")
-         .join(daily, [M, "date"], "left")
+         .join(daily.hint("merge"), [M, "date"], "left")
          .withColumn("totalpayout",
                      F.when(has, F.coalesce("ts_totalpayout", "totalpayout", F.lit(0.0))).otherwise(F.lit(0.0)))
          .withColumn("totalpayoutdailychg",

@@ -77,7 +77,7 @@ def score_row_index(flat: DataFrame, model: str = "model_name", rnd: str = "roun
                          inclusive=False)
     keyed, kcols = null_safe_keys(ranked, [model, rnd], "_r")
     okeyed, _ = null_safe_keys(offsets.select(model, rnd, "_off"), [model, rnd], "_r")
-    return (keyed.join(okeyed.drop(model, rnd), kcols, "inner")
+    return (keyed.join(okeyed.drop(model, rnd).hint("merge"), kcols, "inner")
             .withColumn("row_index", (F.col("_off") + F.col("_pos")).cast("bigint"))
             .drop("_off", "_pos", *kcols))
 

@@ -31,7 +31,7 @@ def prefix_sum(df: DataFrame, value: Column, keys: Sequence[str], order: Sequenc
     end = Window.currentRow if inclusive else -1
     inner = Window.partitionBy(*kcols, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     return (tmp.withColumn("_in", F.coalesce(F.sum("_v").over(inner), F.lit(0)))
-            .join(offsets, [*kcols, "_blk"], "inner")
+            .join(offsets.hint("merge"), [*kcols, "_blk"], "inner")
             .withColumn(out, F.col("_boff") + F.col("_in"))
             .drop(*kcols, "_blk", "_v", "_bt", "_boff", "_in"))
 
@@ -79,7 +79,9 @@ def blocked_lag(df: DataFrame, keys: Sequence[str], major: str, seq: str, values
                  .alias("_end")))
     w_blk = Window.partitionBy(*kcols).orderBy("_mn", "_mv", "_sb")
     ends = ends.select(*blk, F.lag("_end").over(w_blk).alias("_prev"))
-    x = x.join(ends, blk, "inner")
+    # ``ends`` has one row per block, so it grows with the data: sort-merge
+    # (``x`` is already partitioned and ordered by the block key).
+    x = x.join(ends.hint("merge"), blk, "inner")
     first_in_block = F.col("_i") == 1
     for v in values:
         x = x.withColumn(f"_prev_{v}", F.when(first_in_block, F.col("_prev")[v]).otherwise(F.col(f"_lag_{v}")))

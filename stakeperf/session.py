@@ -20,9 +20,13 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Our size-checked broadcasts use explicit hints; keep the automatic
-    # threshold at Spark's default so large sides are never broadcast blindly.
-    "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
+    # No broadcast on planner *estimates* (an aggregate's estimate is not a
+    # bound).  AQE still turns a join into a broadcast when the measured size
+    # of a finished shuffle is small, and falls back to sort-merge otherwise;
+    # tables bounded by configuration (calendar, per-date prices) carry an
+    # explicit broadcast.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }
 
 

@@ -90,7 +90,9 @@ def fx_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .groupBy("l_orderkey")
                  .agg(F.sort_array(F.collect_list(F.struct(F.col("_pos"), score.alias("s")))).alias("_lines"))
                  .select("l_orderkey", F.transform("_lines", lambda x: x["s"]).alias("intraRoundSubmissionScores")))
-    return (o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left")
+    # The arrays side grows with the line table: never broadcast it (a size
+    # estimate of an aggregate is not a bound); sort-merge on the order key.
+    return (o.join(per_order.hint("merge"), o.o_orderkey == per_order.l_orderkey, "left")
             .select(_model(F.col("o_custkey")).alias("model_name"),
                     F.col("o_orderkey").alias("roundNumber"),
                     F.col("o_totalprice").alias("atRisk"),
