@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
@@ -64,22 +64,28 @@ def filter_scores(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS) -> Da
 def score_row_index(flat: DataFrame, model: str = "model_name", rnd: str = "roundNumber",
                     seq: str = "seq", rounds_per_block: int = 1024, seq_block: int = 1 << 16) -> DataFrame:
     """Add ``row_index`` (1-based) of every row inside its model, in
-    (round, seq NULL first) order, with every task bounded: the position
-    inside a round is a blocked prefix count over ``seq``, and the offset of
-    a round is a blocked prefix sum of per-round counts over ``roundNumber``.
-    Neither a hot model nor a hot round ends up in one task."""
-    one = F.lit(1).cast("bigint")
-    seq_blk = F.coalesce(F.floor(F.col(seq) / seq_block), F.lit(MIN_LONG))
-    ranked = prefix_sum(flat, one, [model, rnd], [F.col(seq).asc_nulls_first()], seq_blk, "_pos")
-    per_round = flat.groupBy(model, rnd).agg(F.count(F.lit(1)).alias("_n"))
-    rnd_blk = F.coalesce(F.floor(F.col(rnd) / rounds_per_block), F.lit(MIN_LONG))
-    offsets = prefix_sum(per_round, F.col("_n"), [model], [F.col(rnd).asc_nulls_first()], rnd_blk, "_off",
-                         inclusive=False)
-    keyed, kcols = null_safe_keys(ranked, [model, rnd], "_r")
-    okeyed, _ = null_safe_keys(offsets.select(model, rnd, "_off"), [model, rnd], "_r")
-    return (keyed.join(okeyed.drop(model, rnd).hint("merge"), kcols, "inner")
-            .withColumn("row_index", (F.col("_off") + F.col("_pos")).cast("bigint"))
-            .drop("_off", "_pos", *kcols))
+    (round NULL first, seq NULL first) order, with every task bounded.
+
+    Rows are cut into blocks (model, round, seq div ``seq_block``).  The
+    input is read twice: a window numbers the rows inside each block, and a
+    partial aggregate counts rows per block.  The (small) block counts give
+    each block's offset inside its model through a blocked prefix sum over
+    rounds; a merge join adds it back.  Neither a hot model nor a hot round
+    ends up in one task.
+    """
+    x, kcols = null_safe_keys(flat, [model, rnd], "_r")
+    mk, (rn_null, rn_val) = kcols[:2], kcols[2:]
+    x = x.withColumn("_sb", F.coalesce(F.floor(F.col(seq) / seq_block), F.lit(MIN_LONG)))
+    blk = [*kcols, "_sb"]
+    ranked = x.withColumn("_i", F.row_number().over(
+        Window.partitionBy(*blk).orderBy(F.col(seq).asc_nulls_first())))
+    totals = x.groupBy(*blk).agg(F.count(F.lit(1)).alias("_n"))
+    round_blk = F.when(F.col(rn_null), F.lit(MIN_LONG)).otherwise(F.floor(F.col(rn_val) / rounds_per_block))
+    offsets = prefix_sum(totals, F.col("_n"), mk, [~F.col(rn_null), F.col(rn_val), F.col("_sb")],
+                         round_blk, "_off", inclusive=False)
+    return (ranked.join(offsets.drop("_n").hint("merge"), blk, "inner")
+            .withColumn("row_index", (F.col("_off") + F.col("_i")).cast("bigint"))
+            .drop("_off", "_i", "_sb", *kcols))
 
 
 def filter_scores_parity(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS) -> DataFrame:
