@@ -133,10 +133,6 @@ def returns_stage(spark, sf) -> DataFrame:
     return A.asset_returns(live_prices_stage(spark, sf))
 
 
-def blotter_stage(spark, sf) -> DataFrame:
-    return L.investment_blotter(FX.fx_investments(spark, sf), FX.fx_fixedincome(spark, sf))
-
-
 def working_stage(spark, sf) -> DataFrame:
     blotter = L.investment_blotter(FX.fx_investments(spark, sf), FX.fx_fixedincome(spark, sf),
                                    LEDGER.start, LEDGER.end)
