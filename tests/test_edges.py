@@ -65,3 +65,12 @@ def test_staking_plan_shares_one_summary(spark, sf_small):
     scans = [line for line in plan.splitlines() if "events.parquet" in line]
     assert scans and all("purchase" in line for line in scans)
     assert scores_stage(spark, sf_small).count() > 0
+
+
+def test_cluster_conf_sizes_partitions_from_volume():
+    from stakeperf.session import cluster_conf
+    conf = cluster_conf(100 * (1 << 40), executors=1000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20)
+    assert conf["spark.sql.autoBroadcastJoinThreshold"] == "-1"
+    small = cluster_conf(1 << 20, executors=2)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
