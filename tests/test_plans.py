@@ -66,3 +66,18 @@ def test_ledger_range_reaches_every_scan(spark, sf_small):
     for sec in scans:
         pushed = next(line for line in sec.splitlines() if line.startswith("PushedFilters"))
         assert "GreaterThanOrEqual(o_orderdate,1998-01-01" in pushed or "GreaterThanOrEqual(l_shipdate,1998-01-01" in pushed
+
+
+# Single-partition exchanges are allowed only over bounded data:
+#   cash_balance            the month totals of the blocked prefix sum
+#   table_profile, run_summary   global aggregates (partial aggregation first)
+#   bizday_shift_holidays   the calendar window and its two-value range
+#   nmr_prices and its users   the token's per-date price series
+SINGLE_PARTITION_OK = {"cash_balance", "table_profile", "run_summary", "bizday_shift_holidays", "nmr_prices",
+                       "allmodels_currency", "cumulative_by_model", "cumulative_missing_ts",
+                       "cumulative_allmodels", "cumulative_all", "nmr_ledger"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS - SINGLE_PARTITION_OK))
+def test_no_single_partition_exchange(spark, sf_small, name):
+    assert "SinglePartition" not in plan_text(QUERIES[name](spark, sf_small))
