@@ -6,6 +6,7 @@ from datetime import date, timedelta
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from stakeperf.plans import inspect
 from stakeperf.operators import cumulative as CU
 from stakeperf.operators import portfolio as P
 from stakeperf.operators import staking as ST
@@ -58,7 +59,7 @@ def test_redated_dates_are_never_weekends(spark, offsets):
 
 def test_staking_plan_shares_one_summary(spark, sf_small):
     st_ = Staking(spark, sf_small, shared=True)
-    plan = st_.cumulative_models()._jdf.queryExecution().executedPlan().toString()
+    plan = inspect.plan_text(st_.cumulative_models(), "simple")
     # raw score rows are read by no branch (everything comes from the
     # materialized per-(model, date) summary); the only scan of the events
     # table left is the token-price fixture, filtered to purchases

@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from stakeperf.plans import inspect
 from stakeperf.functions.columns import columns_like
 from stakeperf.operators import assets as A
 from stakeperf.operators import ledger as L
@@ -82,4 +83,4 @@ def test_asset_values_grid_without_join(spark):
                                "date date, asset string, price double")
     grid = A.asset_values(px)
     assert grid.count() == 14 and {r.value for r in grid.collect()} == {0.0}
-    assert "Join" not in grid._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in inspect.plan_text(grid, "simple")

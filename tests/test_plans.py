@@ -2,11 +2,10 @@
 results do not depend on the number of shuffle partitions (which proves the
 tie-breaks are total orders)."""
 
-import re
-
 import pytest
 
 import __spark_entry__ as E
+from stakeperf.plans import inspect
 from stakeperf.plans import queries as QP
 from tests.compare import digest
 
@@ -15,23 +14,17 @@ WRITERS = {"scan_models", "sink_roundtrip_scores", "sink_roundtrip_cash"}
 
 
 def plan_text(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    return inspect.plan_text(df, "simple")
 
 
 def formatted(df) -> str:
-    """``explain("formatted")`` as text (scan details are not truncated)."""
-    import contextlib
-    import io
-    buf = io.StringIO()
-    with contextlib.redirect_stdout(buf):
-        df.explain("formatted")
-    return buf.getvalue()
+    return inspect.plan_text(df, "formatted")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
-def test_no_python_in_plan(spark, sf_small, name):
-    text = plan_text(QUERIES[name](spark, sf_small))
-    assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text and "PythonUDF" not in text
+def test_no_python_and_no_cartesian_in_plan(spark, sf_small, name):
+    summary = inspect.plan_summary(QUERIES[name](spark, sf_small))
+    assert summary["python"] == 0 and summary["cartesian"] == 0
 
 
 def test_filters_reach_the_scan(spark, sf_small):
@@ -61,7 +54,7 @@ def test_ledger_range_reaches_every_scan(spark, sf_small):
     # the working frame only keeps dates of the ledger range, so every input
     # scan (prices, investments, fixed income, cash) gets the range pushed
     text = formatted(QP.q_working_frame(spark, sf_small))
-    scans = [sec for sec in text.split("\n\n") if re.match(r"\s*\(\d+\) Scan parquet", sec)]
+    scans = inspect.scan_sections(QP.q_working_frame(spark, sf_small))
     assert len(scans) == 4
     for sec in scans:
         pushed = next(line for line in sec.splitlines() if line.startswith("PushedFilters"))

@@ -3,6 +3,7 @@ derived from the test tables."""
 
 from pyspark.sql import functions as F
 
+from stakeperf.plans import inspect
 from stakeperf.operators import scores as S
 from stakeperf.session import scratch_path
 from stakeperf.sources import files as IO
@@ -27,7 +28,7 @@ def test_scan_models_prunes_partitions(spark, sf_small):
     root = scratch_path(spark, "staked")
     IO.write_per_model(FX.fx_scores(spark, sf_small), root, "csv")
     df = IO.scan_models(spark, root).where(F.col("model_name") == "m3")
-    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = inspect.plan_text(df, "simple")
     assert "PartitionFilters: [isnotnull(model_name" in plan
     assert df.count() == FX.fx_scores(spark, sf_small).where("model_name = 'm3'").count()
 
