@@ -43,12 +43,16 @@ def read_investment_data(spark: SparkSession, datadir: str, investments_file: st
             read_csv_typed(spark, f"{base}/{fixedincome_file}", fixedincome_schema))
 
 
-def scan_models(spark: SparkSession, root: str, schema: StructType = schemas.STAKED_SCORES) -> DataFrame:
+def scan_models(spark: SparkSession, root: str, schema: StructType = schemas.STAKED_SCORES,
+                null_value: str | None = None) -> DataFrame:
     """All per-model score files under ``root/model_name=<m>/`` in one scan.
     The model comes from the partition directory, so a filter on
-    ``model_name`` prunes whole directories."""
-    return (spark.read.schema(schema).option("header", True)
-            .option("basePath", root).csv(root))
+    ``model_name`` prunes whole directories.  ``null_value="NA"`` reads files
+    written by R's ``write.csv``."""
+    reader = spark.read.schema(schema).option("header", True).option("basePath", root)
+    if null_value is not None:
+        reader = reader.option("nullValue", null_value)
+    return reader.csv(root)
 
 
 def read_nested_scores(spark: SparkSession, path: str, schema: StructType = schemas.ROUND_RECORD) -> DataFrame:

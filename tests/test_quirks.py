@@ -293,3 +293,32 @@ def test_null_round_is_kept_as_its_own_group(spark):
             ("m", None, 2, "mmc", "2024-01-03 00:00:00", 2.0, 8.0, 10.0)]
     out = by_key(ST.staked_daily(ts_frame(spark, rows)), "seq")
     assert len(out) == 2 and out[(2,)]["dailypayout"] == 3.0
+
+
+def test_bizday_by_date_with_holiday_calendar(spark):
+    # Mon 2024-01-15 is a holiday: Tue 16th moves back to Fri 12th, and the
+    # Sunday 14th moves forward to Tue 16th and back to Fri 12th as well.
+    hol = spark.createDataFrame([(date(2024, 1, 15),)], "date date")
+    cal = C.build_calendar(spark, date(2024, 1, 1), date(2024, 1, 31), hol)
+    rows = [("m", date(2024, 1, 14), 1.0, 1.0, 1.0, 0.0, 0.1, 0.1, 0.1),
+            ("m", date(2024, 1, 16), 2.0, 1.0, 1.0, 0.0, 0.2, 0.2, 0.2),
+            ("m", date(2024, 1, 17), 3.0, 1.0, 1.0, 0.0, 0.3, 0.3, 0.3)]
+    out = by_key(ST.bizday_by_date(spark.createDataFrame(rows, BD_SCHEMA), cal), "date")
+    assert set(out) == {(date(2024, 1, 12),), (date(2024, 1, 16),)}
+    assert out[(date(2024, 1, 12),)]["totalpayout"] == 2.0
+
+
+def test_bizday_by_date_falls_back_outside_the_calendar(spark):
+    cal = C.build_calendar(spark, date(2024, 1, 1), date(2024, 1, 31))
+    rows = [("m", date(2024, 3, 6), 1.0, 1.0, 1.0, 0.0, 0.1, 0.1, 0.1)]
+    out = ST.bizday_by_date(spark.createDataFrame(rows, BD_SCHEMA), cal).collect()
+    assert out[0]["date"] == date(2024, 3, 5)       # original date minus one calendar day
+
+
+def test_scan_models_reads_r_style_na(spark, tmp_path):
+    d = tmp_path / "model_name=m1"
+    d.mkdir()
+    (d / "part.csv").write_text("roundNumber,seq,displayName,date,day,payoutPending,atRisk\n"
+                                "1,1,mmc,NA,NA,NA,5\n")
+    r = IO.scan_models(spark, str(tmp_path), null_value="NA").collect()[0]
+    assert r["model_name"] == "m1" and r["date"] is None and r["payoutPending"] is None and r["atRisk"] == 5.0
