@@ -1,9 +1,10 @@
 """The query catalog: one plan per operator of the inventory.
 
 Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
-test tables at ``sf_dir``.  The stages are shared functions, so a query for
-a late stage is literally the plan of the earlier stages plus its own step.
-Doubles are rounded only at the very end (``round_doubles``).
+test tables at ``sf_dir``.  The staking and ledger queries are outputs of
+``plans.runs.StakingRun`` / ``LedgerRun`` built over the fixtures, so a query
+for a late stage is literally the plan of the earlier stages plus its own
+step.  Doubles are rounded only at the very end (``_out``).
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ from stakeperf.operators import assets as A
 from stakeperf.operators import calendar as C
 from stakeperf.operators import cumulative as CU
 from stakeperf.operators import ledger as L
-from stakeperf.operators import portfolio as P
 from stakeperf.operators import quality as Q
 from stakeperf.operators import scores as S
-from stakeperf.operators import staking as ST
-from stakeperf.session import checkpoint_root, scratch_path
+from stakeperf.plans.runs import LedgerRun, StakingRun
+from stakeperf.session import scratch_path
 from stakeperf.sources import fixtures as FX
 from stakeperf.sources import files as IO
 
@@ -62,89 +62,15 @@ def _out(df: DataFrame, cols: list[str], raw: tuple[str, ...] = ()) -> DataFrame
 
 # ---------------------------------------------------------------- stages
 
-def scores_stage(spark, sf) -> DataFrame:
-    return S.clean_scores(S.filter_scores(FX.fx_scores(spark, sf)))
+def staking(spark, sf, shared: bool = False) -> StakingRun:
+    """The staking half over fixtures F1 (scores) and F4 (token prices)."""
+    return StakingRun(FX.fx_scores(spark, sf), FX.fx_token_prices(spark, sf), STAKING, shared=shared)
 
 
-def ts_stage(spark, sf) -> DataFrame:
-    return ST.staked_daily(scores_stage(spark, sf))
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a stage that several branches read: the rows are
-    written once to the reliable checkpoint folder (``spark.checkpoint.dir``)
-    and every branch reads them back, instead of each branch re-scanning and
-    re-windowing the raw score rows.  Used on the per-(model, date) summary,
-    whose size is models x dates, not raw rows."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-class Staking:
-    """The staking half for one query, with the per-(model, date) summary
-    computed once.  ``shared=True`` materializes it for plans with several
-    consumers of the summary."""
-
-    def __init__(self, spark, sf, shared: bool = False):
-        self.spark, self.sf = spark, sf
-        self.ts = ts_stage(spark, sf)
-        summary = ST.daily_summary(self.ts)
-        self.summary = materialize(summary) if shared else summary
-
-    def by_date(self) -> DataFrame:
-        return ST.by_date_from_summary(self.summary)
-
-    def by_date_biz(self) -> DataFrame:
-        return ST.bizday_by_date(self.by_date())
-
-    def ts_biz(self) -> DataFrame:
-        return CU.bizday_ts_from_summary(self.summary, self.ts.columns)
-
-    def portfolio(self) -> DataFrame:
-        return P.allmodels(self.by_date_biz())
-
-    def nmr(self) -> DataFrame:
-        return P.nmr_prices(token_price_stage(self.spark, self.sf), self.portfolio())
-
-    def currency(self) -> DataFrame:
-        return P.allmodels_currency(self.portfolio(), self.nmr())
-
-    def cumulative_models(self) -> DataFrame:
-        return CU.cumulative(self.by_date_biz(), self.ts_biz(), self.nmr())
-
-    def cumulative_portfolio(self) -> DataFrame:
-        return CU.cumulative_allmodels(self.currency(), self.nmr())
-
-
-def token_price_stage(spark, sf) -> DataFrame:
-    px = A.asset_prices(FX.fx_token_prices(spark, sf), STAKING.start, STAKING.end)
-    return A.drop_empty_series(px)
-
-
-def prices_stage(spark, sf) -> DataFrame:
-    return A.asset_prices(FX.fx_prices(spark, sf), LEDGER.start, LEDGER.end)
-
-
-def live_prices_stage(spark, sf) -> DataFrame:
-    return A.drop_empty_series(prices_stage(spark, sf))
-
-
-def returns_stage(spark, sf) -> DataFrame:
-    return A.asset_returns(live_prices_stage(spark, sf))
-
-
-def working_stage(spark, sf) -> DataFrame:
-    blotter = L.investment_blotter(FX.fx_investments(spark, sf), FX.fx_fixedincome(spark, sf),
-                                   LEDGER.start, LEDGER.end)
-    return L.working_frame(prices_stage(spark, sf), ASSET_NAMES, blotter, FX.fx_cash(spark, sf),
-                           LEDGER.start, LEDGER.end)
-
-
-def ledger_stage(spark, sf) -> DataFrame:
-    """The working frame (one row per date) is read three times -- flows,
-    the frame itself and the cash balance -- so it is materialized once."""
-    frame = materialize(working_stage(spark, sf))
-    return L.ledger_with_balances(frame, returns_stage(spark, sf), ASSET_NAMES)
+def ledger(spark, sf, shared: bool = False) -> LedgerRun:
+    """The ledger half over fixtures F3 (prices) and F5 (blotter, cash)."""
+    return LedgerRun(FX.fx_prices(spark, sf), FX.fx_investments(spark, sf), FX.fx_fixedincome(spark, sf),
+                     FX.fx_cash(spark, sf), LEDGER, shared=shared)
 
 
 # ---------------------------------------------------------------- queries
@@ -156,24 +82,23 @@ def q_scan_models(spark, sf):
 
 
 def q_asset_prices(spark, sf):
-    return _out(prices_stage(spark, sf), ["date", "asset", "price"])
+    return _out(ledger(spark, sf).prices, ["date", "asset", "price"])
 
 
 def q_drop_empty_series(spark, sf):
-    return _out(live_prices_stage(spark, sf), ["date", "asset", "price"])
+    return _out(ledger(spark, sf).live_prices(), ["date", "asset", "price"])
 
 
 def q_asset_returns(spark, sf):
-    return _out(returns_stage(spark, sf), ["date", "asset", "ret"])
+    return _out(ledger(spark, sf).returns(), ["date", "asset", "ret"])
 
 
 def q_asset_values(spark, sf):
-    return _out(A.asset_values(prices_stage(spark, sf), LEDGER.assets), ["date", "asset", "value"])
+    return _out(ledger(spark, sf).asset_values(), ["date", "asset", "value"])
 
 
 def q_asset_balances(spark, sf):
-    flows = L.investment_flows(working_stage(spark, sf))
-    bal = A.asset_balances(returns_stage(spark, sf), flows)
+    bal = ledger(spark, sf).balances()
     return _out(bal.withColumn("balance", sig_round("balance")), ["date", "asset", "balance"])
 
 
@@ -198,20 +123,21 @@ WORKING_COLS = ["date", *ASSET_NAMES, "GLDInv", "ETHInv", "NMRInv", "BondInv", "
 
 
 def q_working_frame(spark, sf):
-    return _out(working_stage(spark, sf), WORKING_COLS, tuple(WORKING_COLS))
+    return _out(ledger(spark, sf).working_frame(), WORKING_COLS, tuple(WORKING_COLS))
 
 
 def q_cash_balance(spark, sf):
-    return _out(L.cash_balance(working_stage(spark, sf)), ["date", "cashbalance"])
+    return _out(ledger(spark, sf).cash_balance(), ["date", "cashbalance"])
 
 
 def q_nmr_ledger(spark, sf):
-    led = L.token_ledger(ledger_stage(spark, sf))
+    # the working frame feeds flows, the frame itself and the cash balance
+    led = ledger(spark, sf, shared=True).token_ledger()
     return _out(led.withColumn("NMR", sig_round("NMR")), ["date", "NMR", "NMRInv"])
 
 
 def q_table_profile(spark, sf):
-    wide = A.to_wide(prices_stage(spark, sf), ASSET_NAMES, "price")
+    wide = A.to_wide(ledger(spark, sf).prices, ASSET_NAMES, "price")
     return Q.table_profile(wide.select("date", *ASSET_NAMES))
 
 
@@ -252,19 +178,19 @@ def q_run_summary(spark, sf):
 
 
 def q_clean_scores(spark, sf):
-    return _out(scores_stage(spark, sf), CLEAN_COLS, RAW_CLEAN)
+    return _out(staking(spark, sf).scores, CLEAN_COLS, RAW_CLEAN)
 
 
 def q_staked_daily(spark, sf):
-    return _out(ts_stage(spark, sf), TS_COLS, RAW_CLEAN)
+    return _out(staking(spark, sf).ts, TS_COLS, RAW_CLEAN)
 
 
 def q_staked_by_date(spark, sf):
-    return _out(Staking(spark, sf).by_date(), BY_DATE_COLS)
+    return _out(staking(spark, sf).by_date(), BY_DATE_COLS)
 
 
 def q_weekend_flags(spark, sf):
-    return C.weekend_flags(Staking(spark, sf).by_date(), ["model_name"]).select("model_name", "date", "is_weekend")
+    return C.weekend_flags(staking(spark, sf).by_date(), ["model_name"]).select("model_name", "date", "is_weekend")
 
 
 def q_bizday_shift(spark, sf):
@@ -279,49 +205,49 @@ def q_bizday_shift_holidays(spark, sf):
 
 
 def q_bizday_by_date(spark, sf):
-    return _out(Staking(spark, sf).by_date_biz(), BY_DATE_COLS)
+    return _out(staking(spark, sf).by_date_biz(), BY_DATE_COLS)
 
 
 def q_bizday_ts(spark, sf):
-    return _out(Staking(spark, sf).ts_biz(), TS_COLS, RAW_CLEAN)
+    return _out(staking(spark, sf).ts_biz(), TS_COLS, RAW_CLEAN)
 
 
 PORTFOLIO_COLS = ["date", "totalpayout", "cumstake", "walletestimate", "totalpayoutdailychg", "return", "leveredreturn"]
 
 
 def q_allmodels(spark, sf):
-    return _out(Staking(spark, sf).portfolio(), PORTFOLIO_COLS)
+    return _out(staking(spark, sf).portfolio(), PORTFOLIO_COLS)
 
 
 def q_nmr_prices(spark, sf):
-    return _out(Staking(spark, sf).nmr(), ["date", "NMR", "NMRreturn"])
+    return _out(staking(spark, sf).token(), ["date", "NMR", "NMRreturn"])
 
 
 def q_allmodels_currency(spark, sf):
-    return _out(Staking(spark, sf, shared=True).currency(),
+    return _out(staking(spark, sf, shared=True).currency(),
                 PORTFOLIO_COLS + ["NMR", "NMRreturn", "return_currency", "leveredreturn_currency"])
 
 
 def q_daily_aggregates(spark, sf):
-    return _out(CU.daily_aggregates(Staking(spark, sf).ts_biz()),
+    return _out(CU.daily_aggregates(staking(spark, sf).ts_biz()),
                 ["model_name", "date", "ts_totalpayout", "ts_totalpayoutdailychg"])
 
 
 def q_cumulative_by_model(spark, sf):
-    return _out(Staking(spark, sf, shared=True).cumulative_models(), CUM_COLS)
+    return _out(staking(spark, sf, shared=True).cumulative_models(), CUM_COLS)
 
 
 def q_cumulative_missing_ts(spark, sf):
-    st = Staking(spark, sf, shared=True)
-    return _out(CU.cumulative_missing_ts(st.by_date_biz(), st.nmr()), CUM_COLS)
+    st = staking(spark, sf, shared=True)
+    return _out(CU.cumulative_missing_ts(st.by_date_biz(), st.token()), CUM_COLS)
 
 
 def q_cumulative_allmodels(spark, sf):
-    return _out(Staking(spark, sf, shared=True).cumulative_portfolio(), CUM_ALL_COLS)
+    return _out(staking(spark, sf, shared=True).cumulative_portfolio(), CUM_ALL_COLS)
 
 
 def q_cumulative_all(spark, sf):
-    st = Staking(spark, sf, shared=True)
+    st = staking(spark, sf, shared=True)
     both = CU.cumulative_all(st.cumulative_models(), st.cumulative_portfolio())
     return _out(both, CUM_COLS)
 
@@ -337,7 +263,7 @@ def q_sink_roundtrip_scores(spark, sf):
 
 def q_sink_roundtrip_cash(spark, sf):
     path = scratch_path(spark, "cash-balance")
-    ok = IO.persist(L.cash_balance(working_stage(spark, sf)), path, "cash balance")
+    ok = IO.persist(ledger(spark, sf).cash_balance(), path, "cash balance")
     if not ok:
         raise RuntimeError("cash balance sink failed")
     return _out(spark.read.parquet(path), ["date", "cashbalance"])

@@ -10,7 +10,7 @@ from stakeperf.plans import inspect
 from stakeperf.operators import cumulative as CU
 from stakeperf.operators import portfolio as P
 from stakeperf.operators import staking as ST
-from stakeperf.plans.queries import Staking, scores_stage
+from stakeperf.plans.queries import staking
 
 TS_SCHEMA = ("model_name string, roundNumber bigint, seq bigint, displayName string, date string, "
              "day double, payoutPending double, atRisk double")
@@ -58,14 +58,14 @@ def test_redated_dates_are_never_weekends(spark, offsets):
 
 
 def test_staking_plan_shares_one_summary(spark, sf_small):
-    st_ = Staking(spark, sf_small, shared=True)
+    st_ = staking(spark, sf_small, shared=True)
     plan = inspect.plan_text(st_.cumulative_models(), "simple")
     # raw score rows are read by no branch (everything comes from the
     # materialized per-(model, date) summary); the only scan of the events
     # table left is the token-price fixture, filtered to purchases
     scans = [line for line in plan.splitlines() if "events.parquet" in line]
     assert scans and all("purchase" in line for line in scans)
-    assert scores_stage(spark, sf_small).count() > 0
+    assert st_.scores.count() > 0
 
 
 def test_cluster_conf_sizes_partitions_from_volume():

@@ -277,10 +277,10 @@ def test_persist_reports_failure(spark, tmp_path):
 def test_blocked_lag_equals_plain_window(spark, sf_small):
     # Tiny blocks split every round into many tasks; the result must equal
     # one block per round (a plain window) and the oracle-checked query.
-    from stakeperf.plans.queries import scores_stage
+    from stakeperf.plans.queries import staking
     from tests.compare import digest
 
-    scores = scores_stage(spark, sf_small)
+    scores = staking(spark, sf_small).scores
     tiny = ST.staked_daily(scores, seq_block=3)
     whole = ST.staked_daily(scores, seq_block=1 << 62)
     a = digest(tiny.columns, [tuple(r) for r in tiny.collect()])[0]
