@@ -58,6 +58,8 @@ def active_assets(config: tuple[AssetSpec, ...] = ASSET_CONFIG) -> list[AssetSpe
 class LedgerConfig:
     """Date range and file names of the ledger half."""
 
+    # The analysis date range and input file names configured
+    # by the reference.
     start: date = date(2020, 12, 7)
     end: date = date(2025, 7, 25)
     assets: tuple[AssetSpec, ...] = ASSET_CONFIG

@@ -14,7 +14,7 @@ as ``functions.columns.edge_round`` (and ``sig_round`` for balances).
 
 from __future__ import annotations
 
-from stakeperf.config import active_assets
+from stakeperf.config import LedgerConfig, active_assets
 from stakeperf.sources.fixtures import LEDGER_END, LEDGER_START, PRIORITY_SYMBOL
 
 
@@ -52,7 +52,7 @@ def TEXT(x: str) -> str:
     return f"coalesce({t}, '')"
 
 
-STAKING_START, STAKING_END = "2020-12-07", "2025-07-25"
+STAKING_START, STAKING_END = LedgerConfig().start.isoformat(), LedgerConfig().end.isoformat()
 ASSETS = active_assets()
 ASSET_COLS = [a.column for a in ASSETS]
 SYMBOL_VALUES = ", ".join(f"('{a.symbol}')" for a in ASSETS)
