@@ -15,6 +15,7 @@ import logging
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stakeperf import schemas
@@ -55,6 +56,20 @@ def scan_models(spark: SparkSession, root: str, schema: StructType = schemas.STA
     return reader.csv(root)
 
 
+def scan_model_files(spark: SparkSession, folder: str, schema: StructType = schemas.STAKED_SCORES,
+                     null_value: str | None = "NA") -> DataFrame:
+    """The flat layout: one ``<model>.csv`` per model in one folder (as the
+    source writes them).  Still one scan; ``model_name`` comes from each
+    row's file name through the file source's ``_metadata`` column, so no
+    loop over models and no per-file read."""
+    reader = spark.read.schema(schema).option("header", True)
+    if null_value is not None:
+        reader = reader.option("nullValue", null_value)
+    df = reader.csv(f"{folder.rstrip('/')}/*.csv")
+    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    return df.select(name.alias("model_name"), *df.columns)
+
+
 def read_nested_scores(spark: SparkSession, path: str, schema: StructType = schemas.ROUND_RECORD) -> DataFrame:
     """Stored nested responses (JSON lines, one round record per line)."""
     return spark.read.schema(schema).json(path)

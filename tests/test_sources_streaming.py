@@ -51,3 +51,14 @@ def test_streaming_ingest_matches_batch(spark, sf_small):
     q2 = score_ingest_query(spark, src, sink, checkpoint=ckpt)
     q2.awaitTermination(300)
     assert spark.read.parquet(sink).count() == n
+
+
+def test_scan_model_files_flat_layout(spark, tmp_path):
+    # one CSV per model, named after the model, as the source writes them
+    header = "roundNumber,seq,displayName,date,day,payoutPending,atRisk\n"
+    (tmp_path / "v1a.csv").write_text(header + '1,1,"mmc","2024-01-02 00:00:00","1",3.5,10\n'
+                                               '1,2,"fnc_v4","2024-01-03 00:00:00","NA",NA,10\n')
+    (tmp_path / "glb.csv").write_text(header + '7,1,"mmc","2024-01-05 00:00:00","2",1,4\n')
+    df = IO.scan_model_files(spark, str(tmp_path))
+    got = sorted((r.model_name, r.seq, r.day, r.payoutPending) for r in df.collect())
+    assert got == [("glb", 1, "2", 1.0), ("v1a", 1, "1", 3.5), ("v1a", 2, None, None)]
