@@ -1,10 +1,18 @@
 """Scalable ordered scans.
 
-A running total over one long ordered series cannot be a single window: the
-whole series would land in one task.  ``prefix_count`` splits the order into
-blocks, totals each block with a partial aggregate, turns the (small) block
-totals into offsets with a window over blocks, and adds a window inside each
-block.  Every task then holds at most one block, whatever the key skew.
+A running total (or a lag) over one long ordered series cannot be a single
+window: the whole series would land in one task.  Both helpers here cut the
+order into blocks that are monotone in it:
+
+* ``prefix_sum`` totals each block with a partial aggregate, turns the
+  (small) block totals into offsets with a window over blocks, and adds a
+  window inside each block;
+* ``blocked_lag`` lags inside each block and hands each block the last
+  values of the previous one through a window over the block ends.
+
+Every task then holds at most one block, whatever the key skew; the joins
+that bring block results back are sort-merge joins on the block key, which
+the big side is already partitioned and sorted by.
 """
 
 from __future__ import annotations
