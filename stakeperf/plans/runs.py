@@ -116,11 +116,22 @@ class LedgerRun:
         self.prices = A.asset_prices(prices, config.start, config.end, config.assets)
         self.investments, self.fixedincome, self.cash = investments, fixedincome, cash
         self.shared = shared
+        self._frame: DataFrame | None = None
 
     def live_prices(self) -> DataFrame:
         """``assetprices`` without all-missing series."""
         return A.drop_empty_series(self.prices)
 
+    def wide_prices(self) -> DataFrame:
+        """``assetprices`` as the source shows it: ``date`` plus one column
+        per surviving asset, in configured (priority, symbol) order.  The
+        surviving names are read first (at most one per configured asset),
+        so the pivot needs no extra pass to find its columns."""
+        live = self.live_prices()
+        alive = {r["asset"] for r in live.select("asset").distinct().collect()}
+        names = [a for a in self.asset_names if a in alive]
+        return A.to_wide(live, names, "price").select("date", *names)
+
     def returns(self) -> DataFrame:
         """``assetrets``."""
         return A.asset_returns(self.live_prices())
@@ -134,10 +145,12 @@ class LedgerRun:
 
     def working_frame(self) -> DataFrame:
         """``workingdf`` before balances (inputs restricted to the range)."""
-        c = self.config
-        blotter = L.investment_blotter(self.investments, self.fixedincome, c.start, c.end)
-        frame = L.working_frame(self.prices, self.asset_names, blotter, self.cash, c.start, c.end)
-        return materialize(frame) if self.shared else frame
+        if self._frame is None:
+            c = self.config
+            blotter = L.investment_blotter(self.investments, self.fixedincome, c.start, c.end)
+            frame = L.working_frame(self.prices, self.asset_names, blotter, self.cash, c.start, c.end)
+            self._frame = materialize(frame) if self.shared else frame
+        return self._frame
 
     def balances(self) -> DataFrame:
         """Running asset balances, long ``(date, asset, balance)``."""

@@ -21,6 +21,15 @@ ROUND_RECORD = StructType([
     StructField("intraRoundSubmissionScores", ArrayType(SCORE)),
 ])
 
+# One stored response document per model: the round records sit in a list
+# under data.v2RoundModelPerformances (only the fields the analysis uses).
+RESPONSE_RECORD = StructType([f for f in ROUND_RECORD.fields if f.name != "model_name"])
+RESPONSE = StructType([
+    StructField("data", StructType([
+        StructField("v2RoundModelPerformances", ArrayType(RESPONSE_RECORD)),
+    ])),
+])
+
 # Per-model score file, as written by the ingest (``model_name`` comes from
 # the directory name when the files are partitioned by model).
 STAKED_SCORES = StructType([

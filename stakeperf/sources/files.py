@@ -75,6 +75,19 @@ def read_nested_scores(spark: SparkSession, path: str, schema: StructType = sche
     return spark.read.schema(schema).json(path)
 
 
+def read_responses(spark: SparkSession, folder: str, schema: StructType = schemas.RESPONSE) -> DataFrame:
+    """Stored response documents, one JSON document per model named
+    ``<model>.json``: one scan of the folder, the round records exploded
+    out of ``data.v2RoundModelPerformances`` and the model taken from the
+    file name.  Gives the nested records ``flatten_scores`` expects."""
+    docs = spark.read.schema(schema).option("multiLine", True).json(f"{folder.rstrip('/')}/*.json")
+    model = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    records = docs.select(model.alias("model_name"),
+                          F.explode_outer("data.v2RoundModelPerformances").alias("_r"))
+    return records.where(F.col("_r").isNotNull()).select(
+        "model_name", *[F.col("_r")[f.name].alias(f.name) for f in schemas.RESPONSE_RECORD.fields])
+
+
 def write_per_model(df: DataFrame, root: str, fmt: str = "csv", model: str = "model_name") -> None:
     """One directory per model (created as needed).  ``overwrite`` replaces
     the whole output, so a retried job never leaves a mix of attempts."""

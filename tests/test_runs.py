@@ -28,3 +28,12 @@ def test_staking_run_shared_and_recomputed_agree(spark, sf_small):
         return QP._out(run.cumulative(), QP.CUM_COLS)
     assert _digest(build(True)) == _digest(build(False))
     assert _digest(build(False)) == _digest(QP.q_cumulative_all(spark, sf_small))
+
+
+def test_wide_prices_in_configured_order(spark, sf_small):
+    run = LedgerRun(FX.fx_prices(spark, sf_small), FX.fx_investments(spark, sf_small),
+                    FX.fx_fixedincome(spark, sf_small), FX.fx_cash(spark, sf_small), QP.LEDGER)
+    wide = run.wide_prices()
+    # all-missing series (SOL, MATIC) are dropped; the rest keep config order
+    assert wide.columns == ["date", *[a for a in QP.LEDGER.asset_columns if a not in ("SOL", "MATIC")]]
+    assert wide.count() == run.live_prices().select("date").distinct().count()

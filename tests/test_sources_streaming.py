@@ -62,3 +62,20 @@ def test_scan_model_files_flat_layout(spark, tmp_path):
     df = IO.scan_model_files(spark, str(tmp_path))
     got = sorted((r.model_name, r.seq, r.day, r.payoutPending) for r in df.collect())
     assert got == [("glb", 1, "2", 1.0), ("v1a", 1, "1", 3.5), ("v1a", 2, None, None)]
+
+
+def test_read_responses_document_per_model(spark, tmp_path):
+    import json
+    doc = {"data": {"v2RoundModelPerformances": [
+        {"roundNumber": 500, "atRisk": 12.5, "intraRoundSubmissionScores": [
+            {"date": "2024-01-02T00:00:00Z", "day": 1, "displayName": "mmc", "payoutPending": 0.5,
+             "payoutSettled": 0.0, "percentile": 0.4, "value": 0.01},
+            {"date": "2024-01-02T00:00:00Z", "day": 1, "displayName": "fnc_v4", "payoutPending": 0.7,
+             "payoutSettled": 0.0, "percentile": 0.6, "value": 0.02}]},
+        {"roundNumber": 501, "atRisk": 13.0, "intraRoundSubmissionScores": None}]}}
+    (tmp_path / "v1a.json").write_text(json.dumps(doc, indent=2))
+    (tmp_path / "glb.json").write_text(json.dumps({"data": {"v2RoundModelPerformances": []}}))
+    recs = IO.read_responses(spark, str(tmp_path))
+    assert sorted((r.model_name, r.roundNumber) for r in recs.collect()) == [("v1a", 500), ("v1a", 501)]
+    flat = S.filter_scores(S.flatten_scores(recs)).collect()
+    assert sorted(r.displayName for r in flat) == ["fnc_v4", "mmc"]
