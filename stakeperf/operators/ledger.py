@@ -53,7 +53,8 @@ def investment_flows(frame: DataFrame, pattern: str = INVESTMENT_PATTERN) -> Dat
     column ``<asset>Inv`` feeds asset ``<asset>``."""
     inv_cols = columns_like(frame, pattern)
     if not inv_cols:
-        return frame.select("date", F.lit(None).cast("string").alias("asset"), F.lit(0.0).alias("inv")).limit(0)
+        return (frame.select("date", F.lit(None).cast("string").alias("asset"), F.lit(0.0).alias("inv"))
+                .where(F.lit(False)))
     stacked = frame.unpivot("date", inv_cols, "_col", "inv")
     return stacked.select("date", F.regexp_replace("_col", "(?i)" + pattern + "$", "").alias("asset"), "inv")
 
