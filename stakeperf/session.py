@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpointed stages are deleted once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # No broadcast on planner *estimates* (an aggregate's estimate is not a
     # bound).  AQE still turns a join into a broadcast when the measured size
     # of a finished shuffle is small, and falls back to sort-merge otherwise;
@@ -59,6 +61,7 @@ def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int = 4,
         "spark.decommission.enabled": "true",
         "spark.storage.decommission.shuffleBlocks.enabled": "true",
         "spark.stage.maxConsecutiveAttempts": "8",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
 
 
