@@ -75,3 +75,25 @@ def test_cluster_conf_sizes_partitions_from_volume():
     assert conf["spark.sql.autoBroadcastJoinThreshold"] == "-1"
     small = cluster_conf(1 << 20, executors=2)
     assert int(small["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_hot_round_is_spread_and_exact(spark, sf_small):
+    # A third of all score rows moved into ONE (model, round): the blocked
+    # lag must spread it over many blocks and still equal a single window.
+    from pyspark.sql import functions as F
+
+    from tests.compare import digest
+
+    base = staking(spark, sf_small).scores
+    hot = base.withColumn("model_name", F.when(F.col("seq") % 3 == 0, F.lit("hot")).otherwise(F.col("model_name"))) \
+              .withColumn("roundNumber", F.when(F.col("seq") % 3 == 0, F.lit(0)).otherwise(F.col("roundNumber")))
+    n_hot = hot.where("model_name = 'hot'").count()
+    assert n_hot * 4 > hot.count()                        # about a third of all rows
+    blocks = (hot.where("model_name = 'hot'")
+              .select(F.col("day").isNull().alias("_n"), "day", F.floor(F.col("seq") / 16).alias("_b"))
+              .distinct().count())
+    assert blocks > 10                                     # the hot key is cut into many blocks
+    small = ST.staked_daily(hot, seq_block=16)
+    whole = ST.staked_daily(hot, seq_block=1 << 62)
+    assert digest(small.columns, [tuple(r) for r in small.collect()])[0] == \
+        digest(whole.columns, [tuple(r) for r in whole.collect()])[0]
