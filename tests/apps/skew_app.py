@@ -1,0 +1,31 @@
+"""A separate Spark application (own event log) for the skew test: a third
+of all score rows are moved into ONE (model, round, day); then either a
+plain per-round window or the blocked per-round lag runs over them."""
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+from pyspark.sql import Window  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from stakeperf.operators import staking as ST  # noqa: E402
+from stakeperf.plans.queries import staking  # noqa: E402
+from stakeperf.session import build_session  # noqa: E402
+
+log_dir, mode, sf_dir = sys.argv[1], sys.argv[2], sys.argv[3]
+spark = build_session("local[4]", 16, extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+                                               "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+base = staking(spark, sf_dir).scores
+third = F.col("seq") % 3 == 0
+hot = (base.withColumn("model_name", F.when(third, F.lit("hot")).otherwise(F.col("model_name")))
+       .withColumn("roundNumber", F.when(third, F.lit(0)).otherwise(F.col("roundNumber")))
+       .withColumn("day", F.when(third, F.lit(1.0)).otherwise(F.col("day"))))
+if mode == "plain":
+    w = Window.partitionBy("model_name", "roundNumber").orderBy(F.col("day").asc_nulls_last(), "seq")
+    out = hot.withColumn("d", F.col("payoutPending") - F.lag("payoutPending").over(w))
+else:
+    out = ST.staked_daily(hot, seq_block=256)
+out.write.format("noop").mode("overwrite").save()
+spark.stop()
