@@ -52,3 +52,9 @@ def max_task_share(log_dir: str) -> float:
         if total >= 1000:
             worst = max(worst, max(counts) / total)
     return worst
+
+
+def max_task_records(log_dir: str) -> int:
+    """The most shuffled records any single task read, over all stages."""
+    return max((max(v) for v in task_records(log_dir).values() if v), default=0)
+

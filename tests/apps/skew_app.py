@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspa
 from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
+from stakeperf.operators import scores as S  # noqa: E402
 from stakeperf.operators import staking as ST  # noqa: E402
 from stakeperf.plans.queries import staking  # noqa: E402
 from stakeperf.session import build_session  # noqa: E402
@@ -25,7 +26,12 @@ hot = (base.withColumn("model_name", F.when(third, F.lit("hot")).otherwise(F.col
 if mode == "plain":
     w = Window.partitionBy("model_name", "roundNumber").orderBy(F.col("day").asc_nulls_last(), "seq")
     out = hot.withColumn("d", F.col("payoutPending") - F.lag("payoutPending").over(w))
-else:
+elif mode == "blocked":
     out = ST.staked_daily(hot, seq_block=256)
+elif mode == "index-plain":
+    out = hot.withColumn("i", F.row_number().over(Window.partitionBy("model_name").orderBy("roundNumber", "seq")))
+else:  # index-blocked
+    out = S.score_row_index(hot, seq_block=256)
 out.write.format("noop").mode("overwrite").save()
+print(hot.count())
 spark.stop()
