@@ -126,8 +126,18 @@ def q_working_frame(spark, sf):
     return _out(ledger(spark, sf).working_frame(), WORKING_COLS, tuple(WORKING_COLS))
 
 
+CASH_SCHEMA = "date date, Principal double, Interest double, Adjustments double"
+
+
 def q_cash_balance(spark, sf):
-    return _out(ledger(spark, sf).cash_balance(), ["date", "cashbalance"])
+    """The cash input read as the source reads it: ``cashbalance.csv`` in the
+    data folder (here written from fixture F5), typed, and required."""
+    datadir = scratch_path(spark, "data")
+    FX.fx_cash(spark, sf).write.mode("overwrite").option("header", True).csv(f"{datadir}/{LEDGER.cashbalance_file}")
+    cash = IO.read_csv_typed(spark, f"{datadir}/{LEDGER.cashbalance_file}", CASH_SCHEMA, fail_if_missing=True)
+    run = LedgerRun(FX.fx_prices(spark, sf), FX.fx_investments(spark, sf), FX.fx_fixedincome(spark, sf),
+                    cash, LEDGER)
+    return _out(run.cash_balance(), ["date", "cashbalance"])
 
 
 def q_nmr_ledger(spark, sf):
