@@ -35,3 +35,25 @@ def test_fixture_counts(spark, sf):
            o.count(), o.select(F.to_date("o_orderdate")).distinct().count(),
            n.where("intraRoundSubmissionScores is null").count(), S.flatten_scores(n).count())
     assert got == EXPECTED[sf]
+
+
+# sf: (models, (model, round) pairs, tied (model, round, day) groups after the
+#      metric filter, (model, date) groups, of which on a weekend)
+EXPECTED_SCORES = {"0.001": (15, 15, 99, 262, 71), "0.01": (21, 150, 994, 630, 168)}
+
+
+@pytest.mark.parametrize("sf", sorted(EXPECTED_SCORES))
+def test_score_fixture_groups(spark, sf):
+    from stakeperf.functions.calendar import is_weekend
+    from stakeperf.plans.queries import staking
+
+    d = f"/root/testdata/sf{sf}"
+    if not os.path.isdir(d):
+        pytest.skip("test tables not present")
+    sc = FX.fx_scores(spark, d)
+    st = staking(spark, d)
+    bd = st.by_date()
+    got = (sc.select("model_name").distinct().count(), sc.select("model_name", "roundNumber").distinct().count(),
+           st.scores.groupBy("model_name", "roundNumber", "day").count().where("count > 1").count(),
+           bd.count(), bd.where(is_weekend("date")).count())
+    assert got == EXPECTED_SCORES[sf]
