@@ -130,11 +130,14 @@ cte("fx_cash", (), f"""
   FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
 
 # ------------------------------------------------------------- staking half
+# D2 + F2: metric filter, casts (failures -> NULL), blank date -> NULL.
 cte("scores", ("fx_scores",), """
   SELECT model_name, roundNumber, seq, displayName, nullif(trim(date), '') AS date,
          try_cast(day AS DOUBLE) AS day, payoutPending, atRisk
   FROM fx_scores WHERE displayName IN ('mmc', 'fnc_v4')""")
 
+# One plain window per (model, round) -- the brute-force form of
+# the blocked lag.
 cte("ts0", ("scores",), """
   SELECT *, payoutPending / nullif(atRisk, 0) AS returns,
          row_number() OVER w AS _k,
@@ -150,6 +153,8 @@ cte("ts", ("ts0",), """
            (PARTITION BY model_name, roundNumber ORDER BY day ASC NULLS LAST, seq ASC) END, 0.0) AS dailyrets
   FROM ts0""")
 
+# A1-A3: per (model, date); walletestimate by ranking rows, the weighted
+# return in the source's own form (weights first, then the sum).
 cte("bd0", ("ts",), """
   SELECT *, date AS date_full, try_cast(substr(date, 1, 10) AS DATE) AS d,
          sum(stakeandpayout) OVER (PARTITION BY model_name, try_cast(substr(date, 1, 10) AS DATE)) AS _s,
@@ -165,12 +170,15 @@ cte("bd1", ("bd0",), """
          CASE WHEN max(_s) > 0 THEN coalesce(sum(stakeandpayout / _s * dailyrets), 0.0) ELSE 0.0 END AS NMRwtret
   FROM bd0 GROUP BY model_name, d""")
 
+# Change from the previous date of the model, then the returns.
 cte("bd", ("bd1",), """
   SELECT *, totalpayoutdailychg / nullif(cumstake, 0) AS "return",
          totalpayoutdailychg / nullif(walletestimate, 0) AS leveredreturn
   FROM (SELECT *, totalpayout - lag(totalpayout) OVER (PARTITION BY model_name ORDER BY date) AS totalpayoutdailychg
         FROM bd1)""")
 
+# Weekend -> next weekday, then one weekday back; keep the latest
+# source date per new date.
 cte("bdb", ("bd",), f"""
   SELECT *, coalesce({PREV(f"CASE WHEN {WEEKEND('date')} THEN {NEXT('date')} ELSE date END")},
                      date - 1) AS new_date
@@ -182,6 +190,7 @@ cte("bizbd", ("bdb",), """
   FROM bdb
   QUALIFY row_number() OVER (PARTITION BY model_name, new_date ORDER BY date DESC) = 1""")
 
+# Roll-up over models.
 cte("allm", ("bizbd",), """
   SELECT *, totalpayoutdailychg / nullif(cumstake, 0) AS "return",
          totalpayoutdailychg / nullif(walletestimate, 0) AS leveredreturn
@@ -196,6 +205,7 @@ cte("tokpx", ("fx_token_prices",), f"""
     AND regexp_replace(symbol, '-USD', '') IN
         (SELECT regexp_replace(symbol, '-USD', '') FROM fx_token_prices GROUP BY 1 HAVING count(price) > 0)""")
 
+# The semi join first, then the lag over the matched dates.
 cte("nmr", ("tokpx", "allm"), """
   SELECT date, price AS NMR,
          coalesce(price / nullif(lag(price) OVER (ORDER BY date), 0) - 1, 0.0) AS NMRreturn
@@ -206,6 +216,9 @@ cte("allmc", ("allm", "nmr"), """
          a.leveredreturn + n.NMRreturn AS leveredreturn_currency
   FROM allm a LEFT JOIN nmr n USING (date)""")
 
+# Raw rows re-dated, last row per new date, fallback to the
+# model's latest date - 1 (a direct ranking of raw rows, not the two-level
+# summary the library uses).
 cte("bts0", ("ts",), f"""
   SELECT *, date AS date_full, try_cast(substr(date, 1, 10) AS DATE) AS d0
   FROM ts WHERE date IS NOT NULL""")
@@ -225,6 +238,8 @@ cte("dagg", ("bts",), """
          coalesce(sum(dailypayout), 0.0) AS ts_totalpayoutdailychg
   FROM bts GROUP BY model_name, date""")
 
+# Per-model cumulative balances; ``h`` routes models
+# without per-round rows to the D12 formulas.
 cte("cum_model", ("bizbd", "dagg", "nmr", "bts"), """
   SELECT *, cumbalance * NMR AS cumUSD, cumstakebalance * NMR AS cumstakeUSD
   FROM (
@@ -253,6 +268,7 @@ cte("cum_missing", ("bizbd", "nmr"), """
            coalesce(b.cumstake, 0.0) AS cumstakebalance, coalesce(n.NMR, 1.0) AS NMR
     FROM bizbd b LEFT JOIN nmr n ON n.date = b.date)""")
 
+# The portfolio rows of the cumulative table.
 cte("cum_port", ("allmc", "nmr"), """
   SELECT a.date, a.cumstake, a.walletestimate, CAST(0 AS DOUBLE) AS cumbalance, CAST(0 AS DOUBLE) AS cumstakebalance,
          coalesce(n.NMR, 1.0) AS NMR, CAST(0 AS DOUBLE) * coalesce(n.NMR, 1.0) AS cumUSD, CAST(0 AS DOUBLE) * coalesce(n.NMR, 1.0) AS cumstakeUSD
