@@ -64,7 +64,8 @@ def cash_balance(frame: DataFrame, cash_columns: Sequence[str] = CASH_COLUMNS,
     """Running cash: cumulative sum by date of the cash columns minus the
     investment columns.  A blocked prefix sum with one block per month: the
     per-date windows run per month in parallel and only the month totals
-    (one row per month) form a single ordered series."""
+    (one row per month) form a single ordered series.  The frame is read
+    twice (block totals and in-block sums): materialize an expensive one."""
     inv_cols = columns_like(frame, pattern)
     net = sum((F.col(c) for c in cash_columns), F.lit(0.0)) - sum((F.col(c) for c in inv_cols), F.lit(0.0))
     month = F.year("date") * 12 + F.month("date")

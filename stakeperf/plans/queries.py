@@ -135,8 +135,10 @@ def q_cash_balance(spark, sf):
     datadir = scratch_path(spark, "data")
     FX.fx_cash(spark, sf).write.mode("overwrite").option("header", True).csv(f"{datadir}/{LEDGER.cashbalance_file}")
     cash = IO.read_csv_typed(spark, f"{datadir}/{LEDGER.cashbalance_file}", CASH_SCHEMA, fail_if_missing=True)
+    # the blocked running sum reads the (per-date) working frame twice, so
+    # the frame is materialized once instead of re-scanning its four inputs
     run = LedgerRun(FX.fx_prices(spark, sf), FX.fx_investments(spark, sf), FX.fx_fixedincome(spark, sf),
-                    cash, LEDGER)
+                    cash, LEDGER, shared=True)
     return _out(run.cash_balance(), ["date", "cashbalance"])
 
 
@@ -273,7 +275,7 @@ def q_sink_roundtrip_scores(spark, sf):
 
 def q_sink_roundtrip_cash(spark, sf):
     path = scratch_path(spark, "cash-balance")
-    ok = IO.persist(ledger(spark, sf).cash_balance(), path, "cash balance")
+    ok = IO.persist(ledger(spark, sf, shared=True).cash_balance(), path, "cash balance")
     if not ok:
         raise RuntimeError("cash balance sink failed")
     return _out(spark.read.parquet(path), ["date", "cashbalance"])
