@@ -15,7 +15,8 @@ per-(model, date) summary, which several outputs share.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame
 
@@ -30,6 +31,19 @@ from stakeperf.session import checkpoint_root
 from stakeperf.sources import files as IO
 
 
+def once(method: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Build an intermediate once per run: every output that needs it gets
+    the same DataFrame, so identical subtrees can share their shuffles
+    (exchange reuse) instead of being planned again."""
+    @wraps(method)
+    def wrapper(self):
+        memo = self.__dict__.setdefault("_memo", {})
+        if method.__name__ not in memo:
+            memo[method.__name__] = method(self)
+        return memo[method.__name__]
+    return wrapper
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a stage that several branches read: the rows are
     written once to the reliable checkpoint folder (``spark.checkpoint.dir``)
@@ -62,40 +76,49 @@ class StakingRun:
         self.token_prices = token_prices
 
     # -- per model
+    @once
     def by_date(self) -> DataFrame:
         """Per-date aggregates, changes and returns, before re-dating."""
         return ST.by_date_from_summary(self.summary)
 
+    @once
     def by_date_biz(self) -> DataFrame:
         """``stakedmodel_by_date``: re-dated to business days."""
         return ST.bizday_by_date(self.by_date(), self.calendar)
 
+    @once
     def ts_biz(self) -> DataFrame:
         """The per-round rows re-dated and de-duplicated (cumulative stage)."""
         return CU.bizday_ts_from_summary(self.summary, self.ts.columns, self.calendar)
 
     # -- portfolio
+    @once
     def portfolio(self) -> DataFrame:
         """``allmodels`` before the currency adjustment."""
         return P.allmodels(self.by_date_biz())
 
+    @once
     def token(self) -> DataFrame:
         """``nmrprices``: token price and return on the portfolio's dates."""
         px = A.drop_empty_series(A.asset_prices(self.token_prices, self.config.start, self.config.end,
                                                 self.config.assets))
         return P.nmr_prices(px, self.portfolio())
 
+    @once
     def currency(self) -> DataFrame:
         """``allmodels`` with the token price, its return and the adjusted returns."""
         return P.allmodels_currency(self.portfolio(), self.token())
 
     # -- cumulative
+    @once
     def cumulative_models(self) -> DataFrame:
         return CU.cumulative(self.by_date_biz(), self.ts_biz(), self.token())
 
+    @once
     def cumulative_portfolio(self) -> DataFrame:
         return CU.cumulative_allmodels(self.currency(), self.token())
 
+    @once
     def cumulative(self) -> DataFrame:
         """``cumstakedmodel_by_date``: every model plus the ``allmodels`` rows."""
         return CU.cumulative_all(self.cumulative_models(), self.cumulative_portfolio())
@@ -118,6 +141,7 @@ class LedgerRun:
         self.shared = shared
         self._frame: DataFrame | None = None
 
+    @once
     def live_prices(self) -> DataFrame:
         """``assetprices`` without all-missing series."""
         return A.drop_empty_series(self.prices)
@@ -132,13 +156,16 @@ class LedgerRun:
         names = [a for a in self.asset_names if a in alive]
         return A.to_wide(live, names, "price").select("date", *names)
 
+    @once
     def returns(self) -> DataFrame:
         """``assetrets``."""
         return A.asset_returns(self.live_prices())
 
+    @once
     def asset_values(self) -> DataFrame:
         return A.asset_values(self.prices, self.config.assets)
 
+    @once
     def blotter(self) -> DataFrame:
         """``investmentblotter``: the full outer join over all dates."""
         return L.investment_blotter(self.investments, self.fixedincome)
@@ -152,17 +179,21 @@ class LedgerRun:
             self._frame = materialize(frame) if self.shared else frame
         return self._frame
 
+    @once
     def balances(self) -> DataFrame:
         """Running asset balances, long ``(date, asset, balance)``."""
         return A.asset_balances(self.returns(), L.investment_flows(self.working_frame()))
 
+    @once
     def cash_balance(self) -> DataFrame:
         return L.cash_balance(self.working_frame())
 
+    @once
     def ledger(self) -> DataFrame:
         """``workingdf`` with asset balances and ``cashbalance``."""
         return L.ledger_with_balances(self.working_frame(), self.returns(), self.asset_names)
 
+    @once
     def token_ledger(self) -> DataFrame:
         """``NMRledger``."""
         return L.token_ledger(self.ledger())
