@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, StructType
 
 from stakeperf.config import SCORE_METRICS
 from stakeperf.functions.columns import as_number, blank_to_null, r_text
-from stakeperf.operators.windows import MIN_LONG, null_safe_keys, prefix_sum
+from stakeperf.operators.windows import MIN_LONG, null_safe_keys
 
 SCORES = "intraRoundSubmissionScores"
 SCORE_PREFIX = SCORES + "."
@@ -62,16 +62,16 @@ def filter_scores(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS) -> Da
 
 
 def score_row_index(flat: DataFrame, model: str = "model_name", rnd: str = "roundNumber",
-                    seq: str = "seq", rounds_per_block: int = 1024, seq_block: int = 1 << 16) -> DataFrame:
+                    seq: str = "seq", seq_block: int = 1 << 16) -> DataFrame:
     """Add ``row_index`` (1-based) of every row inside its model, in
-    (round NULL first, seq NULL first) order, with every task bounded.
-
-    Rows are cut into blocks (model, round, seq div ``seq_block``).  The
-    input is read twice: a window numbers the rows inside each block, and a
-    partial aggregate counts rows per block.  The (small) block counts give
-    each block's offset inside its model through a blocked prefix sum over
-    rounds; a merge join adds it back.  Neither a hot model nor a hot round
-    ends up in one task.
+    (round NULL first, seq NULL first) order.
+
+    Rows are cut into blocks (model, round, seq div ``seq_block``), so no
+    task holds more than ``seq_block`` rows of one round.  The input is read
+    twice: a window numbers the rows inside each block, and a partial
+    aggregate counts rows per block.  The block counts -- ``seq_block`` times
+    fewer rows than the input -- become each block's offset inside its model
+    through one window per model; a merge join adds it back.
     """
     x, kcols = null_safe_keys(flat, [model, rnd], "_r")
     mk, (rn_null, rn_val) = kcols[:2], kcols[2:]
@@ -80,10 +80,10 @@ def score_row_index(flat: DataFrame, model: str = "model_name", rnd: str = "roun
     ranked = x.withColumn("_i", F.row_number().over(
         Window.partitionBy(*blk).orderBy(F.col(seq).asc_nulls_first())))
     totals = x.groupBy(*blk).agg(F.count(F.lit(1)).alias("_n"))
-    round_blk = F.when(F.col(rn_null), F.lit(MIN_LONG)).otherwise(F.floor(F.col(rn_val) / rounds_per_block))
-    offsets = prefix_sum(totals, F.col("_n"), mk, [~F.col(rn_null), F.col(rn_val), F.col("_sb")],
-                         round_blk, "_off", inclusive=False)
-    return (ranked.join(offsets.drop("_n").hint("merge"), blk, "inner")
+    before = (Window.partitionBy(*mk).orderBy(~F.col(rn_null), F.col(rn_val), F.col("_sb"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select(*blk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (ranked.join(offsets.hint("merge"), blk, "inner")
             .withColumn("row_index", (F.col("_off") + F.col("_i")).cast("bigint"))
             .drop("_off", "_i", "_sb", *kcols))
 

@@ -225,7 +225,7 @@ def test_parity_row_index_matches_a_plain_row_number(spark):
     rnd = random.Random(7)
     rows = [("m%d" % (i % 3), rnd.randrange(0, 500), i, "mmc", None, 1.0, 1.0, 1.0) for i in range(3000)]
     df = ts_frame(spark, rows)
-    idx = S.score_row_index(df, rounds_per_block=16, seq_block=4).collect()
+    idx = S.score_row_index(df, seq_block=4).collect()
     want = {}
     for m in ("m0", "m1", "m2"):
         mine = sorted((r for r in rows if r[0] == m), key=lambda r: (r[1], r[2]))
