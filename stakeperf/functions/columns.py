@@ -64,8 +64,9 @@ def r_text(c: Column | str, dtype) -> Column:
         # Plain decimal text always has a point and ten decimals; dropping
         # trailing zeros and then a trailing point gives R's digits.  DECIMAL
         # has no negative zero, so -0.0 prints as "0" like in R.
-        plain = col.cast(DecimalType(38, 10)).cast("string")
-        txt = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
+        # Beyond DECIMAL(38,10) (|x| >= 1e28) fall back to Spark's own text.
+        plain = col.try_cast(DecimalType(38, 10)).cast("string")
+        txt = F.coalesce(F.rtrim(F.rtrim(plain, F.lit("0")), F.lit(".")), col.cast("string"))
     else:
         txt = col.cast("string")
     return F.coalesce(txt, F.lit(""))

@@ -239,9 +239,11 @@ def test_null_scores_default_row(spark):
 
 
 def test_stringify_like_r_tostring(spark):
-    df = spark.createDataFrame([(23.0, 0.05, None, "x", 6)], "a double, b double, c double, d string, e int")
-    r = S.stringify_scores(df, ["a", "b", "c", "d", "e"]).collect()[0]
-    assert (r.a, r.b, r.c, r.d, r.e) == ("23", "0.05", "", "x", "6")
+    df = spark.createDataFrame([(23.0, 0.05, None, "x", 6, -0.0, 1e30)],
+                               "a double, b double, c double, d string, e int, f double, g double")
+    r = S.stringify_scores(df, ["a", "b", "c", "d", "e", "f", "g"]).collect()[0]
+    assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("23", "0.05", "", "x", "6", "0")
+    assert r.g == "1.0E30"           # out of DECIMAL range: no error, Spark's text
 
 
 def test_clean_scores_casts_and_blank_dates(spark):
