@@ -24,15 +24,40 @@ from stakeperf.config import ASSET_CONFIG, AssetSpec
 log = logging.getLogger(__name__)
 
 
+def _as_struct(spark: SparkSession, schema: StructType | str) -> StructType:
+    if isinstance(schema, StructType):
+        return schema
+    return spark.createDataFrame([], schema).schema
+
+
+def by_name(df: DataFrame, schema: StructType, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Project text columns onto a schema by column *name* (as R's
+    ``read.csv`` does), casting with ``try_cast``; a column the file lacks
+    is NULL.  ``keep`` names extra columns passed through unchanged."""
+    have = set(df.columns)
+    cols = [F.col(k) for k in keep if k in have]
+    for f in schema.fields:
+        src = F.col(f"`{f.name}`") if f.name in have else F.lit(None)
+        cols.append(src.try_cast(f.dataType).alias(f.name))
+    return df.select(*cols)
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: StructType | str,
-                   fail_if_missing: bool = False) -> DataFrame:
+                   fail_if_missing: bool = False, null_value: str | None = None) -> DataFrame:
+    """A CSV file (or folder) with a header, columns matched to ``schema`` by
+    name.  A missing path is an empty frame with the schema (logged), or an
+    error when ``fail_if_missing``."""
+    struct = _as_struct(spark, schema)
+    reader = spark.read.option("header", True)
+    if null_value is not None:
+        reader = reader.option("nullValue", null_value)
     try:
-        return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+        return by_name(reader.csv(path), struct)
     except AnalysisException as exc:
         if fail_if_missing or "PATH_NOT_FOUND" not in str(exc):
             raise
         log.warning("File not found: %s", path)
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], struct)
 
 
 def read_investment_data(spark: SparkSession, datadir: str, investments_file: str,
@@ -50,10 +75,10 @@ def scan_models(spark: SparkSession, root: str, schema: StructType = schemas.STA
     The model comes from the partition directory, so a filter on
     ``model_name`` prunes whole directories.  ``null_value="NA"`` reads files
     written by R's ``write.csv``."""
-    reader = spark.read.schema(schema).option("header", True).option("basePath", root)
+    reader = spark.read.option("header", True).option("basePath", root)
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
-    return reader.csv(root)
+    return by_name(reader.csv(root), schema, keep=("model_name",))
 
 
 def scan_model_files(spark: SparkSession, folder: str, schema: StructType = schemas.STAKED_SCORES,
@@ -62,12 +87,12 @@ def scan_model_files(spark: SparkSession, folder: str, schema: StructType = sche
     source writes them).  Still one scan; ``model_name`` comes from each
     row's file name through the file source's ``_metadata`` column, so no
     loop over models and no per-file read."""
-    reader = spark.read.schema(schema).option("header", True)
+    reader = spark.read.option("header", True)
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
     df = reader.csv(f"{folder.rstrip('/')}/*.csv")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    return df.select(name.alias("model_name"), *df.columns)
+    return by_name(df.withColumn("model_name", name), schema, keep=("model_name",))
 
 
 def read_nested_scores(spark: SparkSession, path: str, schema: StructType = schemas.ROUND_RECORD) -> DataFrame:
