@@ -324,3 +324,12 @@ def test_scan_models_reads_r_style_na(spark, tmp_path):
                                 "1,1,mmc,NA,NA,NA,5\n")
     r = IO.scan_models(spark, str(tmp_path), null_value="NA").collect()[0]
     assert r["model_name"] == "m1" and r["date"] is None and r["payoutPending"] is None and r["atRisk"] == 5.0
+
+
+def test_nan_input_is_missing(spark):
+    # Q5: NaN from a file counts as missing (R's replace_na / na.rm), not as
+    # a number that would poison every sum.
+    df = spark.createDataFrame([("m", "2024-01-02 00:00:00", "1", "NaN", "4")],
+                               "model_name string, date string, day string, payoutPending string, atRisk string")
+    r = S.clean_scores(df).collect()[0]
+    assert r["payoutPending"] is None and r["atRisk"] == 4.0 and r["day"] == 1.0
