@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import logging
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,17 @@ from stakeperf.config import ASSET_CONFIG, AssetSpec
 log = logging.getLogger(__name__)
 
 
+@contextmanager
+def _partition_type_inference(spark: SparkSession, enabled: bool):
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, str(enabled).lower())
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _as_struct(spark: SparkSession, schema: StructType | str) -> StructType:
     if isinstance(schema, StructType):
         return schema
@@ -78,7 +90,11 @@ def scan_models(spark: SparkSession, root: str, schema: StructType = schemas.STA
     reader = spark.read.option("header", True).option("basePath", root)
     if null_value is not None:
         reader = reader.option("nullValue", null_value)
-    return by_name(reader.csv(root), schema, keep=("model_name",))
+    # model names are text even when they look like numbers ("007"): the
+    # partition values are typed when the file index is built, i.e. here
+    with _partition_type_inference(spark, False):
+        df = reader.csv(root)
+    return by_name(df, schema, keep=("model_name",))
 
 
 def scan_model_files(spark: SparkSession, folder: str, schema: StructType = schemas.STAKED_SCORES,

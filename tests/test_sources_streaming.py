@@ -79,3 +79,12 @@ def test_read_responses_document_per_model(spark, tmp_path):
     assert sorted((r.model_name, r.roundNumber) for r in recs.collect()) == [("v1a", 500), ("v1a", 501)]
     flat = S.filter_scores(S.flatten_scores(recs)).collect()
     assert sorted(r.displayName for r in flat) == ["fnc_v4", "mmc"]
+
+
+def test_scan_models_keeps_numeric_looking_names_as_text(spark, tmp_path):
+    d = tmp_path / "model_name=007"
+    d.mkdir()
+    (d / "part.csv").write_text("roundNumber,seq,displayName,date,day,payoutPending,atRisk\n1,1,mmc,,1,2.5,3\n")
+    r = IO.scan_models(spark, str(tmp_path)).collect()[0]
+    assert r["model_name"] == "007" and r["payoutPending"] == 2.5
+    assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
