@@ -47,3 +47,27 @@ def test_ingest_command(spark, tmp_path):
     summary = spark.read.parquet(f"{out}/run_summary").collect()[0]
     assert (summary.total_models, summary.successful, summary.failed_models) == (2, 1, "m2")
     assert IO.scan_models(spark, f"{out}/staked").count() == 1
+
+
+def test_staking_with_holidays(spark, sf_small, tmp_path):
+    from datetime import date
+
+    from stakeperf.operators import staking as ST
+    from stakeperf.operators.calendar import build_calendar
+
+    root = scratch_path(spark, "cli-hol")
+    IO.write_per_model(S.filter_scores(FX.fx_scores(spark, sf_small)), f"{root}/staked", "csv")
+    FX.fx_token_prices(spark, sf_small).write.parquet(f"{root}/token")
+    hol = tmp_path / "holidays.csv"
+    hol.write_text("date\n2024-01-01\n2024-01-15\n")
+    out = f"{root}/out"
+    assert main(["staking", "--scores", f"{root}/staked", "--partitioned", "--token-prices", f"{root}/token",
+                 "--holidays", str(hol), "--out", out], spark) == 0
+    got = spark.read.parquet(f"{out}/stakedmodel_by_date")
+    # no re-dated row lands on a holiday or a weekend
+    assert got.where("date IN (DATE'2024-01-01', DATE'2024-01-15') OR dayofweek(date) IN (1, 7)").count() == 0
+    # and it equals the operator run with the same calendar
+    cal = build_calendar(spark, date(2023, 11, 1), date(2024, 3, 1),
+                         spark.createDataFrame([(date(2024, 1, 1),), (date(2024, 1, 15),)], "date date"))
+    want = ST.bizday_by_date(QP.staking(spark, sf_small).by_date(), cal)
+    assert got.count() == want.count()
