@@ -122,6 +122,12 @@ def read_responses(spark: SparkSession, folder: str, schema: StructType = schema
     out of ``data.v2RoundModelPerformances`` and the model taken from the
     file name.  Gives the nested records ``flatten_scores`` expects."""
     docs = spark.read.schema(schema).option("multiLine", True).json(f"{folder.rstrip('/')}/*.json")
+    return response_records(docs)
+
+
+def response_records(docs: DataFrame) -> DataFrame:
+    """Round records out of response documents read by a file source (batch
+    or streaming); the model is the document's file name without ``.json``."""
     model = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
     records = docs.select(model.alias("model_name"),
                           F.explode_outer("data.v2RoundModelPerformances").alias("_r"))

@@ -23,23 +23,31 @@ from pyspark.sql.types import StructType
 from stakeperf import schemas
 from stakeperf.config import SCORE_METRICS
 from stakeperf.operators.scores import filter_scores, flatten_scores
+from stakeperf.sources.files import response_records
 from stakeperf.session import scratch_path
 
 
 def score_ingest_query(spark: SparkSession, source_dir: str, sink_dir: str,
                        checkpoint: str | None = None, schema: StructType = schemas.ROUND_RECORD,
                        metrics: Sequence[str] = SCORE_METRICS, available_now: bool = True,
-                       max_files_per_trigger: int | None = None) -> StreamingQuery:
+                       max_files_per_trigger: int | None = None, documents: bool = False) -> StreamingQuery:
     """Start the ingest; returns the running query.
 
     ``available_now=True`` processes every file present at start (in as many
     micro-batches as ``max_files_per_trigger`` asks for) and stops, which is
     how a scheduled ingest runs; ``False`` keeps polling the folder.
+    ``documents=True`` reads whole response documents (``<model>.json``)
+    instead of JSON lines of round records.
     """
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    records = reader.json(source_dir)
+    if documents:
+        # one response document per model, <model>.json, as stored by a fetch
+        docs = reader.schema(schemas.RESPONSE).option("multiLine", True).json(source_dir)
+        records = response_records(docs)
+    else:
+        records = reader.schema(schema).json(source_dir)
     rows = filter_scores(flatten_scores(records), metrics)
     writer = (rows.writeStream.format("parquet")
               .option("path", sink_dir)

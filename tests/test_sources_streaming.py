@@ -88,3 +88,23 @@ def test_scan_models_keeps_numeric_looking_names_as_text(spark, tmp_path):
     r = IO.scan_models(spark, str(tmp_path)).collect()[0]
     assert r["model_name"] == "007" and r["payoutPending"] == 2.5
     assert spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled") == "true"
+
+
+def test_streaming_ingest_of_response_documents(spark, tmp_path):
+    import json
+
+    src = tmp_path / "responses"
+    src.mkdir()
+    for model, rounds in (("m1", [1, 2]), ("m2", [7])):
+        doc = {"data": {"v2RoundModelPerformances": [
+            {"roundNumber": r, "atRisk": 1.0, "intraRoundSubmissionScores": [
+                {"date": "2024-01-02", "day": 1, "displayName": "mmc", "payoutPending": 0.5,
+                 "payoutSettled": 0.0, "percentile": 0.1, "value": 0.2},
+                {"date": "2024-01-02", "day": 1, "displayName": "other", "payoutPending": 0.5,
+                 "payoutSettled": 0.0, "percentile": 0.1, "value": 0.2}]} for r in rounds]}}
+        (src / f"{model}.json").write_text(json.dumps(doc, indent=1))
+    sink = scratch_path(spark, "ingested-docs")
+    q = score_ingest_query(spark, str(src), sink, checkpoint=scratch_path(spark, "ckpt-docs"), documents=True)
+    q.awaitTermination(300)
+    got = sorted((r.model_name, r.roundNumber) for r in spark.read.parquet(sink).collect())
+    assert got == [("m1", 1), ("m1", 2), ("m2", 7)]
