@@ -333,3 +333,10 @@ def test_nan_input_is_missing(spark):
                                "model_name string, date string, day string, payoutPending string, atRisk string")
     r = S.clean_scores(df).collect()[0]
     assert r["payoutPending"] is None and r["atRisk"] == 4.0 and r["day"] == 1.0
+
+
+def test_model_id_lookup_null_when_unknown(spark):
+    names = spark.createDataFrame([("a",), ("a",), ("zz",)], "model_name string")
+    reg = spark.createDataFrame([("a", "id-a"), ("b", "id-b")], "model_name string, model_id string")
+    got = {r.model_name: r.model_id for r in S.model_ids(names, reg).collect()}
+    assert got == {"a": "id-a", "zz": None}
