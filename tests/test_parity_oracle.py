@@ -32,3 +32,17 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "cumUSD" in df.columns
     assert E.entry(spark).schema == df.schema          # stable across calls
+
+
+SPARK_TO_DUCK = {"double": "DOUBLE", "bigint": "BIGINT", "int": "INTEGER", "date": "DATE",
+                 "boolean": "BOOLEAN", "string": "VARCHAR"}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_types_match_oracle(spark, sf_small, con, name):
+    df = QUERIES[name](spark, sf_small)
+    mine = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+            for f in df.schema.fields}
+    rel = con.sql(SQL[name])
+    theirs = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert mine == theirs
