@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeperf.llm import bpe, packing
+from stakeperf.llm import bpe, minhash, packing
 from stakeperf.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -15,9 +15,13 @@ def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
 
 
+def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op5_forced_boundary_bpe, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op5_forced_boundary_bpe, op9_superminhash, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
