@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeperf.llm import bpe, minhash, packing, phrases
+from stakeperf.llm import bpe, langid, minhash, packing, phrases
 from stakeperf.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op3_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -27,5 +31,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op3_phrase_automata, op5_forced_boundary_bpe, op9_superminhash, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_cross_parsing, op3_phrase_automata, op5_forced_boundary_bpe, op9_superminhash, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
