@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeperf.llm import bpe, langid, minhash, packing, phrases
+from stakeperf.llm import bpe, langid, minhash, packing, phrases, pii
 from stakeperf.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
 
 
+def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
@@ -31,5 +35,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_parsing, op3_phrase_automata, op5_forced_boundary_bpe, op9_superminhash, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_cross_parsing, op3_phrase_automata, op5_forced_boundary_bpe, op7_semi_markov_pii, op9_superminhash, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
