@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stakeperf.session import scratch_path
 
@@ -83,6 +84,49 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         yield batch.slice(a, b - a)
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """One table per run of rows equal in ``names``, over batches that come sorted by these."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(n).to_numpy() for n in names], axis=1)
+        edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        if held and any(held[-1].column(n)[held[-1].num_rows - 1].as_py() != k for n, k in zip(names, key[0].tolist())):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(edges[:-2], edges[1:-1]):
+            yield pa.Table.from_batches([*held, batch.slice(a, b - a)])
+            held = []
+        held.append(batch.slice(edges[-2]))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+#: Bits of an IdFilter: 4 MB, whatever the data.
+FILTER_BITS = 1 << 25
+
+
+class IdFilter:
+    """A bitmap of hashed ids of fixed size, to leave most other rows out before
+    a join: never refuses an id that was put in, and the join settles the rest."""
+
+    def __init__(self, ids: DataFrame, column: str):
+        slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+        parts = ids.where(F.col(column).isNotNull()).select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+        self.bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for r in parts.toLocalIterator():  # at most FILTER_BITS / 32768 rows of 4096 bytes
+            at = (r["k"] - 1) * 4096
+            self.bits[at:at + 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    def slots(self, column):
+        """The column to be looked up by ``has``."""
+        return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+    def has(self, slots: np.ndarray) -> np.ndarray:
+        return (self.bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+
+
 def empty(schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
 

@@ -43,4 +43,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before, state = state, _state(edges)
         if state == before:
             break
+    # a star forest: each node but the roots has one row
     return edges.selectExpr("hi node", "lo component").unionAll(edges.selectExpr("lo node", "lo component").distinct())

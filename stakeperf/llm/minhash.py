@@ -15,8 +15,12 @@ Linking, for all documents:
    candidates: first each with the smallest id of its bucket, a star, so a
    bucket of n near copies costs n comparisons.
 3. Candidates are confirmed on their full shingle sets, and components found.
-4. Buckets that still hold different components compare the pairs between
-   components, all of them, so no candidate is left out; then components again.
+4. Representatives joined by shared buckets form a family.  In a family that
+   still has several components, every pair of different components that shares
+   a band is a candidate too: the members outside the largest component meet
+   each other and the largest component's members in groups of two blocks.  A
+   group tries its pairs by the number of shared bands and leaves out pairs that
+   it has joined meanwhile; it returns links, not pairs.  Then components again.
 
 Shingle sets are held as 64-bit hashes of word sequences, classes as 128 bits.
 
@@ -35,13 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import Texts, chunks, empty, written
+from stakeperf.llm.common import IdFilter, Texts, chunks, empty, sorted_groups, written
 from stakeperf.llm.components import components
 from stakeperf.llm.spans import BASES, LOWER, U, gram_hash, mix, word_hash, words
 
 WORDS, BANDS, ROWS = 5, 25, 5
 SCAN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Members of a block of a family.
+BLOCK = 256
 #: Text a task turns into signatures at a time: a slot permutation is kept for every shingle.
 SIGN_BYTES = 1 << 20
 
@@ -135,36 +142,105 @@ def _scan(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(doc_id, shingles) of the documents with these ids, and of a few others."""
+    wanted = IdFilter(ids, "doc_id")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.has(batch.column("slot").to_numpy())))
             for part in chunks(batch):
                 items, edge = shingles(Texts(part.column("text")), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([items[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], schema=SETS)
         yield empty(SETS)
-    return docs.mapInArrow(run, "doc_id bigint, shingles binary")
+    rows = docs.where("doc_id is not null").select("doc_id", wanted.slots("doc_id").alias("slot"), "text")
+    return rows.mapInArrow(run, "doc_id bigint, shingles binary")
+
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted distinct shingles."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = pairs.selectExpr("a doc_id").unionAll(pairs.selectExpr("b doc_id")).distinct()
-    sets = written(_sets(docs.join(ids, "doc_id", "left_semi"), k), "sets")
 
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets are similar."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("left"), batch.column("right")
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            good = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(left, right)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(sets.selectExpr("doc_id a", "shingles left"), "a").join(sets.selectExpr("doc_id b", "shingles right"), "b")
     return joined.select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def join_group(ids, component, outside, part, sets, bands, kind, p, q, percent) -> list[tuple[int, int]]:
+    """Links between different components among the pairs of one group of a family.
+
+    kind 0: members outside the largest component (block p) with its members
+    (block q); kind 1: members outside it, blocks p and q."""
+    left = np.flatnonzero(outside & (part == p))
+    right = np.flatnonzero(~outside if kind == 0 else outside & (part == q))
+    if not len(left) or not len(right):
+        return []
+    shared = (bands[left][:, None, :] == bands[right][None, :, :]).sum(axis=2)
+    size = np.array([len(s) for s in sets], np.int64)
+    fits = 100 * np.minimum(size[left][:, None], size[right][None, :]) >= percent * np.maximum(size[left][:, None], size[right][None, :])
+    i, j = np.nonzero((shared > 0) & fits & (component[left][:, None] != component[right][None, :]))
+    if kind == 1 and p == q:
+        i, j = i[left[i] < right[j]], j[left[i] < right[j]]
+    order = np.argsort(-shared[i, j], kind="stable")
+    root = {c: c for c in component.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for a, b in zip(left[i[order]].tolist(), right[j[order]].tolist()):
+        x, y = find(int(component[a])), find(int(component[b]))
+        if x != y and similar(sets[a], sets[b], percent):
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[a]), int(ids[b])))
+    return out
+
+
+def _family_links(families: DataFrame, found: DataFrame, bands: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between the components inside families that have several."""
+    members = families.selectExpr("node doc_id", "component family").join(found.selectExpr("node doc_id", "component"), "doc_id", "left")
+    members = written(members.withColumn("component", F.coalesce("component", "doc_id")), "members")
+    size = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = size.groupBy("family").agg(F.max(F.struct("n", F.col("component"))).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    mixed = mixed.selectExpr("family", "main.component main", f"cast(ceil(main.n / {block}) as bigint) mains", f"cast(ceil((n - main.n) / {block}) as bigint) others")
+    rows = members.join(mixed, "family").withColumn("outside", F.expr("component <> main"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside"), F.col("others")).otherwise(F.col("mains"))))
+    jobs = F.expr("""if(outside,
+        concat(transform(sequence(0L, mains - 1), x -> named_struct('kind', 0L, 'p', part, 'q', x)),
+               transform(sequence(0L, others - 1), x -> named_struct('kind', 1L, 'p', least(part, x), 'q', greatest(part, x)))),
+        transform(sequence(0L, others - 1), x -> named_struct('kind', 0L, 'p', x, 'q', part)))""")
+    rows = rows.join(bands, "doc_id").join(sets, "doc_id").select("family", F.explode(jobs).alias("job"), "doc_id", "component", "outside", "part", "bands", "shingles")
+    rows = rows.select("family", "job.kind", "job.p", "job.q", "doc_id", "component", "outside", "part", "bands", "shingles")
+    group = ["family", "kind", "p", "q"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, group):
+            t = t.combine_chunks()
+            n = t.num_rows
+            column = {c: t.column(c).to_numpy() for c in ("doc_id", "component", "outside", "part")}
+            keys = t.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
+            sets_ = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+            kind, p, q = (t.column(c)[0].as_py() for c in ("kind", "p", "q"))
+            links = join_group(column["doc_id"], column["component"], column["outside"].astype(bool), column["part"], sets_, keys, kind, p, q, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], schema=LINKS)
+        yield empty(LINKS)
+
+    return rows.repartition(*group).sortWithinPartitions(*group, "doc_id").mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     With 25 bands of 5 slots a pair of similarity 0.85 shares a band with
@@ -173,33 +249,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, bands: i
     scan = written(_scan(docs, k, bands, rows), "scan")
     key = ["n_shingles", "set_a", "set_b"]
     classes = written(scan.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scan.join(classes, (scan.doc_id == classes.rep) & (scan.set_a == classes.set_a) & (scan.set_b == classes.set_b) & (scan.n_shingles == classes.n_shingles), "left_semi")
-    buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    shared = written(buckets.join(lead, "key"), "shared")
+    reps = scan.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    buckets = reps.select("doc_id", F.explode("bands").alias("key"))
+    lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    star = written(buckets.join(lead, "key").where("doc_id <> lead").select("lead", "doc_id").distinct(), "star")
 
     # J(x, y) <= min(|x|, |y|) / max(|x|, |y|)
-    fits = "100 * least(n, m) >= {0} * greatest(n, m)".format(int(percent))
-    sizes = reps.selectExpr("doc_id lead", "n_shingles m").distinct()
-    star = shared.where("doc_id <> lead").select("doc_id", "n", "lead").distinct().join(sizes, "lead").where(fits)
-    star = written(star.selectExpr("lead a", "doc_id b").distinct(), "star")
-    links = written(confirm(star, docs, percent, k), "linked")
-    found = written(components(links), "components")
-
-    # buckets that still hold several components
-    held = shared.join(found.selectExpr("node doc_id", "component"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    held = written(held.join(mixed, "key", "left_semi"), "held")
-    other = held.selectExpr("key", "doc_id b", "n m", "component other")
-    rest = held.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and component <> other").where(fits).select("a", "b").distinct()
-    rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = found.selectExpr("node a", "component b").unionAll(confirm(rest, docs, percent, k))
-        found = written(components(links), "components")
+    sizes = reps.selectExpr("doc_id", "n_shingles n")
+    sized = star.join(sizes, "doc_id").join(sizes.selectExpr("doc_id lead", "n m"), "lead")
+    pairs = sized.where(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)").selectExpr("lead a", "doc_id b")
+    ids = star.select("doc_id").unionAll(star.selectExpr("lead doc_id")).distinct()
+    sets = written(_sets(docs, ids, k).dropDuplicates(["doc_id"]), "sets")
+    found = components(written(_confirmed(pairs, sets, percent), "linked"))
+
+    signs = reps.select("doc_id", "bands")
+    more = written(_family_links(components(star, "lead", "doc_id"), found, signs, sets, percent, block), "more")
+    if not more.isEmpty():
+        found = components(found.selectExpr("node a", "component b").unionAll(more))
 
     member = scan.drop("bands").join(classes, key, "left").join(found.selectExpr("node rep", "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def kept_documents(docs: DataFrame, percent: int = 80, **options) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, phrases, pii, toxicity
+from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, phrases, pii, topk, toxicity
 from stakeperf.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -36,6 +36,10 @@ def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_uniform_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
@@ -44,5 +48,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op7_semi_markov_pii, op9_superminhash, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
