@@ -5,9 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, phrases, pii, topk, toxicity
+from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, phrases, pii, topk, toxicity, urls
 from stakeperf.llm.common import table
 
+#: Fixed values of the URL rules: (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -32,6 +35,13 @@ def op5_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE)
 
 
+def op6_bloom_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed: the canonical URLs that more than one page has."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judge(pages, rules, urls.repeated_urls(pages))
+
+
 def op7_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,5 +58,51 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op6_bloom_url_filter, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing)}
+
+_URL_PARTS = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT row_number() OVER () AS n, page_id,
+         translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut)"""
+
+_EMBEDDED = "FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_phrase_automata": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+gone AS (SELECT DISTINCT doc_id, p + k AS i FROM (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY h) AS first FROM win) WHERE first < doc_id), range(0, 50) r(k)),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS line FROM each e ANTI JOIN gone g USING (doc_id, i) GROUP BY e.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op6_bloom_url_filter": _URL_PARTS + """,
+rules(rule_host, rule_path, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fits AS (
+  SELECT n, rule_host || rule_path AS rule, action, row_number() OVER (PARTITION BY n ORDER BY length(rule_host || rule_path) DESC) AS k
+  FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)),
+listed AS (SELECT host, path FROM parts WHERE host <> '' GROUP BY host, path HAVING count(*) > 1)
+SELECT page_id, p.host, p.path, rule, CASE WHEN action IS NOT NULL THEN action WHEN l.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM parts p LEFT JOIN fits f ON f.n = p.n AND k = 1 LEFT JOIN listed l ON l.host = p.host AND l.path = p.path""",
+    "op8_uniform_threshold": f"""
+WITH v AS (SELECT vec_id, [floor(256 * CAST(e AS DOUBLE)) for e in embedding] AS x {_EMBEDDED}),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
+    "op9_superminhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.r),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}
