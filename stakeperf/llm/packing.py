@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import Texts, chunks, empty, per_worker, written
+from stakeperf.llm.common import Texts, chunks, empty, per_worker, sorted_groups, written
 from stakeperf.llm.tokens import LibraryPieces, PieceTable
 
 CAPACITY = 2048
@@ -117,20 +117,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, close: int = 0)
 def _packed(rows: DataFrame, n_partitions: int, round_no: int, capacity: int) -> DataFrame:
     """Each partition packed on its own; ``gap``: its sequences beyond its lower bound."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = (round_no << 56) + (TaskContext.get().partitionId() << 32)
-        got = [b for b in batches if b.num_rows]
-        if got:
-            t = pa.Table.from_batches(got).combine_chunks()
+        for t in sorted_groups(batches, ["part"]):
             # the same packing whatever order the shuffle delivers
-            t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+            t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).combine_chunks()
+            first = (round_no << 56) + (t.column("part")[0].as_py() << 32)
             lengths = t.column("length").to_numpy()
             place, offset, room = best_fit_decreasing(lengths, capacity)
             gap = len(room) - lower_bound(lengths, capacity)
-            yield from pa.Table.from_arrays([*t.columns, pa.array(first + place), pa.array(offset), pa.array(room[place]), pa.array(np.full(len(lengths), gap))], schema=PLACED).to_batches()
+            columns = [t.column(n) for n in PIECES.names]
+            yield from pa.Table.from_arrays([*columns, pa.array(first + place), pa.array(offset), pa.array(room[place]), pa.array(np.full(len(lengths), gap))], schema=PLACED).to_batches()
         yield empty(PLACED)
-    dealt = rows.repartition(n_partitions, F.xxhash64(F.lit(round_no), "doc_id", "piece", "ids_crc32"))
+    part = F.pmod(F.xxhash64(F.lit(round_no), "doc_id", "piece", "ids_crc32"), F.lit(n_partitions)).alias("part")
+    dealt = rows.select(*PIECES.names, part).repartition(n_partitions, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, ", ".join(f"{f.name} bigint" for f in PLACED))
 
 
