@@ -45,6 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, or ``name`` after underscores where a column has it already."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
+
+
 class Texts:
     """UTF-8 bytes of some rows of an Arrow string column; null counts as empty."""
 

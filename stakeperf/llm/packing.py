@@ -7,10 +7,11 @@
 3. Dual-feasible functions of the lengths give a lower bound on the number of
    sequences that any packing of those pieces needs.  A partition that meets
    its bound is certified: no other packing of it has fewer sequences.
-4. Partitions with a gap give up every sequence that has room left.  Those
-   pieces are dealt anew, so that partitions exchange documents, and packed
-   again; the full sequences stay.  This ends when no partition has a gap, when
-   one partition holds all that is left, or after ``rounds``.
+4. While all sequences together are more than the bound for all pieces, the
+   partitions exchange documents: one with a gap gives up every sequence that
+   has room left, a certified one those with a sixteenth or more left.  These
+   pieces are dealt anew and packed again; the other sequences stay.  This ends
+   at the bound, when one partition holds all that is left, or after ``rounds``.
 
 Defined results: null or empty text is the closing id alone; equal documents
 are packed one by one; an empty table gives no rows; other columns are ignored.
@@ -38,16 +39,15 @@ PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "piece", "start", "lengt
 PLACED = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("free", pa.int64()), ("gap", pa.int64())])
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The best of the bounds that two families of dual-feasible functions give.
+def lower_bound(count: np.ndarray) -> int:
+    """The best of the bounds that two families of dual-feasible functions give;
+    ``count``: how many pieces have each length from 0 to the capacity.
 
     For a threshold t up to half the capacity, lengths above capacity - t count
     as a full sequence, lengths below t as nothing and others as themselves.
     For a whole number k, a length x counts as floor((k+1)x/capacity)/k, or as
     x/capacity where (k+1)x is a multiple of the capacity."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    capacity = len(count) - 1
     size = np.arange(capacity + 1)
     ones = np.concatenate([[0], np.cumsum(count)])  # ones[x]: pieces shorter than x
     mass = np.concatenate([[0], np.cumsum(count * size)])
@@ -123,7 +123,7 @@ def _packed(rows: DataFrame, n_partitions: int, round_no: int, capacity: int) ->
             first = (round_no << 56) + (t.column("part")[0].as_py() << 32)
             lengths = t.column("length").to_numpy()
             place, offset, room = best_fit_decreasing(lengths, capacity)
-            gap = len(room) - lower_bound(lengths, capacity)
+            gap = len(room) - lower_bound(np.bincount(lengths, minlength=capacity + 1))
             columns = [t.column(n) for n in PIECES.names]
             yield from pa.Table.from_arrays([*columns, pa.array(first + place), pa.array(offset), pa.array(room[place]), pa.array(np.full(len(lengths), gap))], schema=PLACED).to_batches()
         yield empty(PLACED)
@@ -135,15 +135,21 @@ def _packed(rows: DataFrame, n_partitions: int, round_no: int, capacity: int) ->
 def pack(rows: DataFrame, capacity: int = CAPACITY, rounds: int = 3, partition_rows: int = PARTITION_ROWS) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset``; ``rows`` as from ``pieces``."""
     rows = written(rows, "pieces")
-    left, done = rows, []
+    count = np.zeros(capacity + 1, np.int64)
+    for r in rows.groupBy("length").count().collect():  # a row per length at most
+        count[r["length"]] = r["count"]
+    bound, left, done, used = lower_bound(count), rows, [], 0
     for r in range(rounds):
         n = left.count()
         placed = written(_packed(left, max(1, -(-n // partition_rows)), r, capacity), f"packed-{r}")
-        loose = (F.col("gap") > 0) & (F.col("free") > 0)
+        loose = ((F.col("gap") > 0) & (F.col("free") > 0)) | (F.col("free") >= capacity // 16)
+        first = F.col("offset") == 0
+        new, stay = placed.agg(F.count_if(first), F.count_if(first & ~loose)).first()
         # a single partition has none to exchange with
-        if n <= partition_rows or r == rounds - 1 or placed.where(loose).isEmpty():
+        if used + new <= bound or n <= partition_rows or r == rounds - 1 or new == stay:
             done.append(placed)
             break
+        used += stay
         done.append(placed.where(~loose))
         left = placed.where(loose).select(*PIECES.names)
     return reduce(DataFrame.unionByName, done).drop("free", "gap")

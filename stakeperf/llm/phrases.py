@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import Texts, chunks, empty, written
+from stakeperf.llm.common import Texts, chunks, empty, fresh, written
 from stakeperf.llm.spans import BASES, U, gram_hash, mix, ranges, window_hash, word_hash, words
 
 WIDTH, PHRASE = 50, 16
@@ -184,7 +184,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_phr
     return both.groupBy("doc_id").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("starts")).alias("starts"))
 
 
-def _apply(batch: pa.RecordBatch, width: int):
+def _apply(batch: pa.RecordBatch, width: int, marks: tuple[str, str]):
     """(slice of the batch, words, words removed, kept words joined by one space) of every text."""
     for part in chunks(batch):
         t = Texts(part.column("text"))
@@ -192,7 +192,7 @@ def _apply(batch: pa.RecordBatch, width: int):
         count = np.bincount(doc, minlength=t.n)
         first = np.cumsum(count) - count
         cover = np.zeros(len(start) + 1, np.int64)
-        whole, starts = part.column("whole"), part.column("starts")
+        whole, starts = part.column(marks[0]), part.column(marks[1])
         for i in np.flatnonzero(np.asarray(whole.is_valid())).tolist():
             if whole[i].as_py() and count[i] >= width:
                 at, n = np.array([0]), count[i]
@@ -209,32 +209,37 @@ def _apply(batch: pa.RecordBatch, width: int):
         yield part, count, count - kept, [line[a:b - 1] if b > a else b"" for a, b in zip(edge, edge[1:])]
 
 
-def _with_repeats(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    return docs.join(marks, docs["doc_id"] == marks["doc_id"], "left").drop(marks["doc_id"])
+def _with_repeats(docs: DataFrame, width: int, **options) -> tuple[DataFrame, tuple[str, str]]:
+    """The rows with what they lose, and the names of the two columns that say so."""
+    key, whole, starts = (fresh(docs.columns, n) for n in ("repeat_id", "whole", "starts"))
+    marks = repeats(docs, width, **options).toDF(key, whole, starts)
+    return docs.join(marks, F.col("doc_id") == F.col(key), "left").drop(key), (whole, starts)
 
 
 def digests(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
+    rows, marks = _with_repeats(docs, width, **options)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, count, removed, kept in _apply(batch, width):
+            for part, count, removed, kept in _apply(batch, width, marks):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())], schema=schema)
         yield empty(schema)
 
-    return _with_repeats(docs, repeats(docs, width, **options)).mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     """The rows with the kept words as ``text`` (texts that lose nothing stay as
     they are, null included) and, where there is such a column, ``n_chars`` renewed."""
     fields = docs.schema
+    rows, marks = _with_repeats(docs, width, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, removed, kept in _apply(batch, width):
+            for part, _, removed, kept in _apply(batch, width, marks):
                 text = part.column("text").to_pylist()
                 for i in np.flatnonzero(removed).tolist():
                     text[i] = kept[i].decode()
@@ -247,4 +252,4 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
                     columns["n_chars"] = pa.array(n_chars, columns["n_chars"].type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return _with_repeats(docs, repeats(docs, width, **options)).mapInArrow(run, fields)
+    return rows.mapInArrow(run, fields)

@@ -1,0 +1,25 @@
+import pytest
+
+from stakeperf.llm.common import on_workers
+
+#: Columns that clash with names the operators use themselves.
+CLASH = "rep long, whole string, starts string, slot string, part int, kept int, bands int, score string"
+
+
+@pytest.fixture(scope="session")
+def sp(spark):
+    return on_workers(spark)
+
+
+@pytest.fixture(scope="session")
+def documents(sp):
+    """documents from (doc_id, text) pairs, with clashing and null extra columns."""
+    def make(rows, partitions=3):
+        schema = "doc_id long, text string, lang string, source string, n_chars long, " + CLASH
+        full = [(i, t, None, None, None, None, None, None, None, None, None, None, None) for i, t in rows]
+        return sp.createDataFrame(full, schema).repartition(partitions)
+    return make
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
