@@ -1,7 +1,7 @@
 """Command line: the source's three scripts as Spark jobs over files.
 
     python -m stakeperf ingest  --responses DIR --out DIR [--models FILE]
-    python -m stakeperf staking --scores DIR --token-prices PATH --out DIR [--holidays FILE]
+    python -m stakeperf staking --scores DIR --token-prices PATH --out DIR [--holidays FILE] [--start D] [--end D]
     python -m stakeperf ledger  --prices PATH --data-dir DIR --start D --end D --out DIR
 
 Outputs are Parquet folders under ``--out`` (one per result table).  Paths
@@ -17,9 +17,8 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from stakeperf.config import LedgerConfig
-from stakeperf.functions.columns import date_of_text
 from stakeperf.operators import scores as S
-from stakeperf.operators.calendar import calendar_for
+from stakeperf.operators.calendar import holiday_shifts
 from stakeperf.plans.runs import LedgerRun, StakingRun
 from stakeperf.session import build_session
 from stakeperf.sources import files as IO
@@ -46,18 +45,19 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.models:
         registry = spark.read.option("header", True).csv(a.models)
         _write(S.run_summary(registry, records), a.out, "run_summary")
+        _write(S.model_status(registry, rows), a.out, "model_status")
 
 
 def staking(spark: SparkSession, a: argparse.Namespace) -> None:
     scores = IO.scan_models(spark, a.scores) if a.partitioned else IO.scan_model_files(spark, a.scores)
     calendar = None
     if a.holidays:
-        # business days = weekdays minus the listed holidays, over the score
-        # dates padded by a month (shifts never leave that window)
-        holidays = IO.read_csv_typed(spark, a.holidays, "date date", fail_if_missing=True)
-        dates = scores.select(date_of_text("date").alias("date")).where("date IS NOT NULL")
-        calendar = calendar_for(spark, dates, "date", 31, holidays)
-    run = StakingRun(scores, _prices(spark, a.token_prices), LedgerConfig(), calendar=calendar,
+        # business days = weekdays minus the listed holidays
+        calendar = holiday_shifts(IO.read_csv_typed(spark, a.holidays, "date date", fail_if_missing=True))
+    default = LedgerConfig()
+    cfg = LedgerConfig(start=date.fromisoformat(a.start) if a.start else default.start,
+                       end=date.fromisoformat(a.end) if a.end else date.max)
+    run = StakingRun(scores, _prices(spark, a.token_prices), cfg, calendar=calendar,
                      shared=True, prefiltered=True)
     _write(run.ts, a.out, "stakedmodel_ts")
     _write(run.by_date_biz(), a.out, "stakedmodel_by_date")
@@ -90,6 +90,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--partitioned", action="store_true", help="scores are model_name=<m>/ folders")
     s.add_argument("--token-prices", required=True, help="Parquet or CSV: date, symbol, price")
     s.add_argument("--holidays", help="CSV with a date column: non-business weekdays")
+    s.add_argument("--start", help="first token price date (default: the configured start)")
+    s.add_argument("--end", help="last token price date (default: none, all later prices are used)")
     s.add_argument("--out", required=True)
     led = sub.add_parser("ledger")
     led.add_argument("--prices", required=True, help="Parquet or CSV: date, symbol, price")

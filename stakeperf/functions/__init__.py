@@ -10,14 +10,11 @@ from stakeperf.functions.columns import (  # noqa: F401
     date_of_text,
     edge_round,
     r_text,
-    round_doubles,
     safe_div,
-    sig_round,
     strip_suffix,
 )
 from stakeperf.functions.calendar import (  # noqa: F401
     is_weekend,
     next_weekday,
     prev_weekday,
-    shift_weekdays,
 )

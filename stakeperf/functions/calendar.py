@@ -31,11 +31,3 @@ def prev_weekday(d: Column | str) -> Column:
     d = _c(d)
     step = F.when(F.dayofweek(d) == 2, 3).when(F.dayofweek(d) == 1, 2).otherwise(1)
     return F.date_sub(d, step)
-
-
-def shift_weekdays(d: Column | str, n: int) -> Column:
-    """Add ``n`` business days (weekends only); n = 0 returns the date."""
-    out = _c(d)
-    for _ in range(abs(n)):
-        out = next_weekday(out) if n > 0 else prev_weekday(out)
-    return out

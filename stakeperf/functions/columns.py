@@ -12,7 +12,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType, FloatType, IntegralType, NumericType, StringType
+from pyspark.sql.types import NumericType
 
 
 def _c(c: Column | str) -> Column:
@@ -54,46 +54,40 @@ def _regex_escape(s: str) -> str:
     return "".join("\\" + ch if ch in r".^$*+?{}[]\|()-" else ch for ch in s)
 
 
-def r_text(c: Column | str, dtype) -> Column:
-    """R ``toString`` of a one-element cell: numbers without a trailing
-    ``.0`` in plain (non-scientific) notation, text as is, NULL as ``""``."""
-    col = _c(c)
-    if isinstance(dtype, StringType):
-        txt = col
-    elif isinstance(dtype, (NumericType,)):
-        # Plain decimal text always has a point and ten decimals; dropping
-        # trailing zeros and then a trailing point gives R's digits.  DECIMAL
-        # has no negative zero, so -0.0 prints as "0" like in R.
-        # Beyond DECIMAL(38,10) (|x| >= 1e28) fall back to Spark's own text.
-        plain = col.try_cast(DecimalType(38, 10)).cast("string")
-        txt = F.coalesce(F.rtrim(F.rtrim(plain, F.lit("0")), F.lit(".")), col.cast("string"))
-    else:
-        txt = col.cast("string")
-    return F.coalesce(txt, F.lit(""))
-
+def plain_digits(c: Column | str) -> Column:
+    """A number's text with every significant digit and no exponent, at any
+    magnitude: Spark's own digits, with the point moved by the exponent."""
+    s = _c(c).cast("string")
+    plain = F.regexp_replace(F.regexp_replace(s, r"\.0*$", ""), "^-0$", "0")
+    sign = F.regexp_extract(s, "^-?", 0)
+    digits = F.regexp_replace(s, r"^-?([0-9]+)\.?([0-9]*)E.*$", "$1$2")
+    e = F.regexp_extract(s, r"E([+-]?[0-9]+)$", 1).try_cast("int")
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.rtrim(digits, F.lit("0")))
+    padded = F.rpad(digits, F.greatest(e + 1, F.lit(20)), F.lit("0"))
+    large = F.concat(sign, F.left(padded, e + 1), F.lit("."), F.substr(padded, e + 2))
+    large = F.regexp_replace(F.regexp_replace(large, "0+$", ""), r"\.$", "")
+    return F.when(e.isNull(), plain).when(e < 0, small).otherwise(large)
 
-def edge_round(c: Column | str, digits: int = 4) -> Column:
-    """Round a double for output.  Two steps: the first (9 digits) removes the
-    last-bit noise that depends on summation order, so that values sitting
-    exactly on a rounding boundary round the same way in every engine; the
-    ``+ 0.0`` turns ``-0.0`` into ``0.0``."""
-    return F.round(F.round(_c(c), 9), digits) + F.lit(0.0)
 
+def r_text(c: Column | str, dtype) -> Column:
+    """R ``toString`` of a one-element cell: numbers with all their digits in
+    plain (non-scientific) notation, text as is, NULL as ``""``."""
+    txt = plain_digits(c) if isinstance(dtype, NumericType) else _c(c).cast("string")
+    return F.coalesce(txt, F.lit(""))
 
-def sig_round(c: Column | str, digits: int = 9) -> Column:
-    """Round to ``digits`` significant digits (for quantities that grow
-    multiplicatively, where a fixed number of decimals is meaningless)."""
-    col = _c(c)
-    return F.when(col.isNotNull(), F.format_string(f"%.{digits - 1}e", col).cast("double"))
 
+def edge_round(c: Column | str, digits: int = 9) -> Column:
+    """Round a double for output to ``digits`` significant digits.
 
-def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Apply :func:`edge_round` to every double column of ``df``."""
-    return df.select([
-        edge_round(f.name, digits).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
-        else F.col(f.name)
-        for f in df.schema.fields
-    ])
+    Nine decimals and then twelve significant digits first remove the last-bit
+    noise that depends on summation order, so that a value on a rounding
+    boundary rounds the same way in every engine.  The power of ten multiplies
+    or divides, so it is exact; ``+ 0.0`` turns ``-0.0`` into ``0.0``."""
+    x = F.round(_c(c), 9)
+    x = F.when(x.isNotNull(), F.format_string("%.11e", x).cast("double"))
+    k = F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(x)))
+    up, down = F.pow(F.lit(10.0), F.greatest(k, F.lit(0.0))), F.pow(F.lit(10.0), F.greatest(-k, F.lit(0.0)))
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.round(x * up / down, 0) / up * down + F.lit(0.0))
 
 
 def coalesce_numeric(df: DataFrame, value: float = 0.0, exclude: Iterable[str] = ()) -> DataFrame:
@@ -101,8 +95,8 @@ def coalesce_numeric(df: DataFrame, value: float = 0.0, exclude: Iterable[str] =
     skip = set(exclude)
     out = []
     for f in df.schema.fields:
-        if f.name not in skip and isinstance(f.dataType, (NumericType,)) and not isinstance(f.dataType, DecimalType):
-            lit = F.lit(int(value)) if isinstance(f.dataType, IntegralType) else F.lit(float(value))
+        if f.name not in skip and isinstance(f.dataType, NumericType):
+            lit = F.lit(value).cast(f.dataType)
             out.append(F.coalesce(quoted(f.name), lit).alias(f.name))
         else:
             out.append(quoted(f.name))

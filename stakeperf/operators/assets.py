@@ -34,11 +34,11 @@ def asset_prices(prices: DataFrame, start: date, end: date,
 
 
 def drop_empty_series(prices: DataFrame) -> DataFrame:
-    """Drop assets whose prices are all missing.  A count over the asset's
-    own window: a price series has one row per date, so a window partition
-    is bounded by the calendar span, and no join is needed."""
-    n = F.count("price").over(Window.partitionBy("asset"))
-    return prices.withColumn("_n", n).where(F.col("_n") > 0).drop("_n")
+    """Drop assets whose prices are all missing: a partial-aggregated list of
+    the assets that have a price, and a semi join with it, so no task holds a
+    whole series."""
+    priced = prices.where(F.col("price").isNotNull()).select("asset").distinct()
+    return prices.join(priced, "asset", "left_semi")
 
 
 def asset_returns(prices: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Business-day calendars.
 
-Two forms of "add n business days":
+Three forms of "add n business days":
 
 * weekends only -- closed-form Column arithmetic
   (``stakeperf.functions.calendar``), no join at all;
-* with holidays -- a ``calendar`` table ``(date, is_biz, next_biz, prev_biz)``
+* with holidays -- ``holiday_shifts``: the closed form, and a row for each
+  holiday that leads past it; no calendar window, so any date can be shifted;
+* over a given window of days -- a ``calendar`` table ``(date, is_biz, next_biz, prev_biz)``
   built once for a bounded date window and broadcast.  Its size is the number
   of days in the window, checked before it is built, so the broadcast is
   bounded by configuration, never by the data volume.  A date outside the
@@ -13,7 +15,7 @@ Two forms of "add n business days":
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,24 +48,37 @@ def build_calendar(spark: SparkSession, start: date, end: date,
                       F.max(biz).over(before).alias("prev_biz"))
 
 
-def calendar_for(spark: SparkSession, dates: DataFrame, column: str = "date", pad_days: int = 10,
-                 holidays: DataFrame | None = None) -> DataFrame:
-    """A calendar covering the dates of a column, padded on both sides.
-    The window is read with one tiny aggregate (two values to the driver)."""
-    lo, hi = dates.agg(F.min(column), F.max(column)).first()
-    if lo is None:
-        lo = hi = date.today()
-    return build_calendar(spark, lo - timedelta(days=pad_days), hi + timedelta(days=pad_days), holidays)
+def holiday_shifts(holidays: DataFrame) -> DataFrame:
+    """(holiday, next_biz, prev_biz) of every holiday that is a weekday.
+
+    A date's next weekday is closed-form; only where that is a holiday does the
+    shift go on.  Weekdays are numbered, so holidays on neighbouring weekdays
+    form a run (number minus rank), and the shift leads past the run's end.
+    The result has a row per holiday, whatever dates it is used for; the one
+    window orders the holidays, which are configuration."""
+    days = holidays.select(F.col("date").cast("date").alias("holiday")).where(F.col("holiday").isNotNull() & ~is_weekend("holiday")).distinct()
+    since = F.datediff("holiday", F.lit(date(1970, 1, 5)))  # a Monday
+    number = F.floor(since / 7) * 5 + F.pmod(since, F.lit(7))
+    run = number - F.row_number().over(Window.orderBy("holiday"))
+    days = days.withColumn("_run", run)
+    ends = days.groupBy("_run").agg(next_weekday(F.max("holiday")).alias("next_biz"), prev_weekday(F.min("holiday")).alias("prev_biz"))
+    return days.join(ends, "_run").select("holiday", "next_biz", "prev_biz")
 
 
 def add_bizdays(df: DataFrame, column: str, n: int, out: str, calendar: DataFrame | None = None) -> DataFrame:
-    """``out`` = ``column`` shifted by ``n`` (= +1 or -1) business days."""
+    """``out`` = ``column`` shifted by ``n`` (= +1 or -1) business days;
+    ``calendar``: from ``holiday_shifts`` or ``build_calendar``."""
     if n not in (1, -1):
         raise ValueError("only one-day shifts are supported")
     if calendar is None:
         shifted = next_weekday(column) if n > 0 else prev_weekday(column)
         return df.withColumn(out, shifted)
     pick = "next_biz" if n > 0 else "prev_biz"
+    if "holiday" in calendar.columns:
+        near = next_weekday(column) if n > 0 else prev_weekday(column)
+        lookup = calendar.select(F.col("holiday").alias("_cal_date"), F.col(pick).alias("_cal_shift"))
+        return (df.withColumn("_near", near).join(lookup, F.col("_near") == F.col("_cal_date"), "left")
+                .withColumn(out, F.coalesce("_cal_shift", "_near")).drop("_cal_date", "_cal_shift", "_near"))
     lookup = F.broadcast(calendar.select(F.col("date").alias("_cal_date"), F.col(pick).alias("_cal_shift")))
     return (df.join(lookup, F.col(column) == F.col("_cal_date"), "left")
             .withColumn(out, F.col("_cal_shift")).drop("_cal_date", "_cal_shift"))

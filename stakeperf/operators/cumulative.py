@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stakeperf.config import ALL_MODELS, TOKEN_COLUMN
-from stakeperf.functions.columns import coalesce_numeric
+from stakeperf.functions.columns import coalesce_numeric, col_or
 from stakeperf.operators.calendar import redate
 from stakeperf.operators.staking import daily_summary
 
@@ -49,6 +49,13 @@ def daily_aggregates(redated_ts: DataFrame) -> DataFrame:
                  F.coalesce(F.sum("dailypayout"), F.lit(0.0)).alias("ts_totalpayoutdailychg")))
 
 
+def _complete(by_date: DataFrame) -> DataFrame:
+    """The per-date rows without the returns; a measure they lack is 0."""
+    names = ["totalpayout", "cumstake", "walletestimate", "NMRwtret", "totalpayoutdailychg"]
+    rest = [c for c in by_date.columns if c not in (*names, "return", "leveredreturn")]
+    return by_date.select(*rest, *[col_or(by_date, c, 0.0).alias(c) for c in names])
+
+
 def _with_usd(df: DataFrame, token: DataFrame, asset: str) -> DataFrame:
     px = token.select("date", F.col(asset).alias("_px"))
     return (df.join(px, "date", "left")
@@ -60,7 +67,7 @@ def _with_usd(df: DataFrame, token: DataFrame, asset: str) -> DataFrame:
 def cumulative_by_model(by_date: DataFrame, daily: DataFrame, token: DataFrame,
                         asset: str = TOKEN_COLUMN) -> DataFrame:
     """Per-model cumulative balances when the model has per-round rows."""
-    x = (by_date.drop("return", "leveredreturn")
+    x = (_complete(by_date)
          .join(daily.hint("merge"), [M, "date"], "left")
          .withColumn("totalpayout", F.coalesce("ts_totalpayout", "totalpayout", F.lit(0.0)))
          .withColumn("totalpayoutdailychg", F.coalesce("ts_totalpayoutdailychg", "totalpayoutdailychg", F.lit(0.0)))
@@ -73,7 +80,7 @@ def cumulative_by_model(by_date: DataFrame, daily: DataFrame, token: DataFrame,
 def cumulative_missing_ts(by_date: DataFrame, token: DataFrame, asset: str = TOKEN_COLUMN) -> DataFrame:
     """Per-model cumulative balances when the model has no per-round rows:
     payouts are 0, balances are the wallet estimate and the stake."""
-    x = (by_date.drop("return", "leveredreturn")
+    x = (_complete(by_date)
          .withColumn("totalpayout", F.lit(0.0))
          .withColumn("totalpayoutdailychg", F.lit(0.0))
          .withColumn("cumbalance", F.col("walletestimate"))
@@ -90,7 +97,7 @@ def cumulative(by_date: DataFrame, ts_redated: DataFrame, token: DataFrame,
     has_ts = ts_redated.select(M).distinct().withColumn("_has_ts", F.lit(True))
     daily = daily_aggregates(ts_redated)
     has = F.coalesce(F.col("_has_ts"), F.lit(False))
-    x = (by_date.drop("return", "leveredreturn")
+    x = (_complete(by_date)
          .join(has_ts, M, "left")
          .join(daily.hint("merge"), [M, "date"], "left")
          .withColumn("totalpayout",

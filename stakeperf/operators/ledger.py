@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeperf.config import CASH_COLUMNS, INVESTMENT_PATTERN, TOKEN_COLUMN
-from stakeperf.functions.columns import coalesce_numeric, columns_like
+from stakeperf.functions.columns import coalesce_numeric, columns_like, quoted
 from stakeperf.operators.assets import asset_balances, to_wide
 from stakeperf.operators.windows import prefix_sum
 
@@ -49,34 +49,37 @@ def working_frame(grid_dates: DataFrame, asset_names: Sequence[str], blotter: Da
 
 
 def investment_flows(frame: DataFrame, pattern: str = INVESTMENT_PATTERN) -> DataFrame:
-    """Long ``(date, asset, inv)`` from the investment columns of a frame:
-    column ``<asset>Inv`` feeds asset ``<asset>``."""
+    """Long ``(date, asset, inv)`` from the investment columns of a frame,
+    summed per date: column ``<asset>Inv`` feeds asset ``<asset>``."""
     inv_cols = columns_like(frame, pattern)
     if not inv_cols:
         return (frame.select("date", F.lit(None).cast("string").alias("asset"), F.lit(0.0).alias("inv"))
                 .where(F.lit(False)))
-    stacked = frame.unpivot("date", inv_cols, "_col", "inv")
+    per_date = frame.groupBy("date").agg(*[F.sum(quoted(c).cast("double")).alias(c) for c in inv_cols])
+    stacked = per_date.unpivot("date", [quoted(c) for c in inv_cols], "_col", "inv")
     return stacked.select("date", F.regexp_replace("_col", "(?i)" + pattern + "$", "").alias("asset"), "inv")
 
 
 def cash_balance(frame: DataFrame, cash_columns: Sequence[str] = CASH_COLUMNS,
                  pattern: str = INVESTMENT_PATTERN) -> DataFrame:
-    """Running cash: cumulative sum by date of the cash columns minus the
-    investment columns.  A blocked prefix sum with one block per month: the
+    """Running cash, one row per date: cumulative sum by date of the cash
+    columns minus the investment columns, over all rows of a date.  A blocked prefix sum with one block per month: the
     per-date windows run per month in parallel and only the month totals
     (one row per month) form a single ordered series.  The frame is read
     twice (block totals and in-block sums): materialize an expensive one."""
     inv_cols = columns_like(frame, pattern)
-    net = sum((F.col(c) for c in cash_columns), F.lit(0.0)) - sum((F.col(c) for c in inv_cols), F.lit(0.0))
+    net = sum((quoted(c).cast("double") for c in cash_columns), F.lit(0.0)) - sum((quoted(c).cast("double") for c in inv_cols), F.lit(0.0))
+    per_date = frame.groupBy("date").agg(F.sum(net).alias("_net"))
     month = F.year("date") * 12 + F.month("date")
-    out = prefix_sum(frame.select("date", net.alias("_net")), F.col("_net"), [], [F.col("date")], month,
+    out = prefix_sum(per_date, F.col("_net"), [], [F.col("date")], month,
                      "cashbalance")
     return out.select("date", "cashbalance")
 
 
 def ledger_with_balances(frame: DataFrame, returns: DataFrame, asset_names: Sequence[str]) -> DataFrame:
     """The working frame with asset columns replaced by running balances of
-    the assets that have returns (others stay 0), plus ``cashbalance``."""
+    the assets that have returns (others stay 0), plus ``cashbalance``.  Rows
+    that share a date stay as many rows, each with the date's balances."""
     bal = asset_balances(returns, investment_flows(frame))
     wide = to_wide(bal, asset_names, "balance")
     out = frame.drop(*asset_names).join(wide, "date", "left")

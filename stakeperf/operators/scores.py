@@ -10,16 +10,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from stakeperf.config import SCORE_METRICS
-from stakeperf.functions.columns import as_number, blank_to_null, r_text
+from stakeperf.functions.columns import as_number, blank_to_null, date_of_text, r_text
 from stakeperf.operators.windows import MIN_LONG, null_safe_keys
 
 SCORES = "intraRoundSubmissionScores"
 SCORE_PREFIX = SCORES + "."
+#: The score fields that the source keeps as text.
+TEXT_FIELDS = ("date", "day", "displayName", "payoutPending", "payoutSettled", "percentile", "value")
 
 
 def _outer_columns(nested: DataFrame, scores: str) -> list[str]:
@@ -61,31 +63,37 @@ def filter_scores(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS) -> Da
     return flat.where(F.col("displayName").isin(list(metrics)))
 
 
-def score_row_index(flat: DataFrame, model: str = "model_name", rnd: str = "roundNumber",
-                    seq: str = "seq", seq_block: int = 1 << 16) -> DataFrame:
-    """Add ``row_index`` (1-based) of every row inside its model, in
-    (round NULL first, seq NULL first) order.
+def score_row_index(flat: DataFrame, model: str = "model_name", record: str | None = None,
+                    seq: str = "seq", seq_block: int = 1 << 16, record_block: int = 1 << 12) -> DataFrame:
+    """Add ``row_index`` (1-based) of every row inside its model, in record
+    order (``rec_pos``, or the round number where records carry no position;
+    NULL first), then ``seq`` (NULL first).
 
-    Rows are cut into blocks (model, round, seq div ``seq_block``), so no
-    task holds more than ``seq_block`` rows of one round.  The input is read
-    twice: a window numbers the rows inside each block, and a partial
-    aggregate counts rows per block.  The block counts -- ``seq_block`` times
-    fewer rows than the input -- become each block's offset inside its model
-    through one window per model; a merge join adds it back.
+    Rows are numbered inside blocks (model, record, seq div ``seq_block``), and
+    blocks get offsets in two steps: inside runs of ``record_block`` records,
+    and over the runs of a model.  So no window holds more than ``seq_block``
+    rows, the blocks of ``record_block`` records, or one row per run; merge
+    joins add the offsets back.  The input is read twice.
     """
-    x, kcols = null_safe_keys(flat, [model, rnd], "_r")
-    mk, (rn_null, rn_val) = kcols[:2], kcols[2:]
+    record = record or ("rec_pos" if "rec_pos" in flat.columns else "roundNumber")
+    x, kcols = null_safe_keys(flat, [model, record], "_r")
+    mk, (rec_null, rec) = kcols[:2], kcols[2:]
     x = x.withColumn("_sb", F.coalesce(F.floor(F.col(seq) / seq_block), F.lit(MIN_LONG)))
-    blk = [*kcols, "_sb"]
+    x = x.withColumn("_run", F.when(F.col(rec_null), F.lit(MIN_LONG)).otherwise(F.floor(F.col(rec) / record_block)))
+    blk = [*mk, "_run", rec_null, rec, "_sb"]
     ranked = x.withColumn("_i", F.row_number().over(
         Window.partitionBy(*blk).orderBy(F.col(seq).asc_nulls_first())))
-    totals = x.groupBy(*blk).agg(F.count(F.lit(1)).alias("_n"))
-    before = (Window.partitionBy(*mk).orderBy(~F.col(rn_null), F.col(rn_val), F.col("_sb"))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*blk, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    blocks = x.groupBy(*blk).agg(F.count(F.lit(1)).alias("_n"))
+    until = (Window.unboundedPreceding, -1)
+    in_run = Window.partitionBy(*mk, "_run").orderBy(rec, "_sb").rowsBetween(*until)
+    runs = blocks.groupBy(*mk, "_run").agg(F.sum("_n").alias("_n"))
+    in_model = Window.partitionBy(*mk).orderBy("_run").rowsBetween(*until)
+    run_offsets = runs.select(*mk, "_run", F.coalesce(F.sum("_n").over(in_model), F.lit(0)).alias("_run_off"))
+    offsets = (blocks.select(*blk, F.coalesce(F.sum("_n").over(in_run), F.lit(0)).alias("_off"))
+               .join(run_offsets.hint("merge"), [*mk, "_run"], "inner"))
     return (ranked.join(offsets.hint("merge"), blk, "inner")
-            .withColumn("row_index", (F.col("_off") + F.col("_i")).cast("bigint"))
-            .drop("_off", "_i", "_sb", *kcols))
+            .withColumn("row_index", (F.col("_run_off") + F.col("_off") + F.col("_i")).cast("bigint"))
+            .drop("_run_off", "_off", "_i", "_sb", "_run", *kcols))
 
 
 def filter_scores_parity(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS) -> DataFrame:
@@ -102,9 +110,7 @@ def filter_scores_parity(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS
 def stringify_scores(flat: DataFrame, list_columns: Sequence[str] | None = None) -> DataFrame:
     """R ``across(where(is.list), ~ sapply(., toString))``: the score fields
     (list columns in the reference) become text, NULL becomes ``""``."""
-    cols = list(list_columns) if list_columns is not None else [
-        c for c in ("date", "day", "displayName", "payoutPending", "payoutSettled", "percentile", "value")
-        if c in flat.columns]
+    cols = list(list_columns) if list_columns is not None else [c for c in TEXT_FIELDS if c in flat.columns]
     types = {f.name: f.dataType for f in flat.schema.fields}
     return flat.select([r_text(c, types[c]).alias(c) if c in cols else F.col(c) for c in flat.columns])
 
@@ -140,16 +146,33 @@ def clean_scores(flat: DataFrame) -> DataFrame:
 
 
 def run_summary(registry: DataFrame, nested: DataFrame, model: str = "model_name") -> DataFrame:
-    """One row: models expected, models with score records, failures and the
-    failed names.  A model fails when no record arrived for it; failures do
-    not stop the others (they are rows of the same job)."""
+    """One row: models expected, models with score records, and failures.  A
+    model fails when no record arrived for it; failures do not stop the others
+    (they are rows of the same job).  ``model_status`` names them, one a row."""
     seen = nested.select(model).distinct().withColumn("_ok", F.lit(True))
     status = (registry.select(model).distinct().join(seen, model, "left")
               .withColumn("_ok", F.coalesce("_ok", F.lit(False))))
     return status.agg(
         F.count(F.lit(1)).alias("total_models"),
-        F.sum(F.col("_ok").cast("bigint")).alias("successful"),
-        F.sum((~F.col("_ok")).cast("bigint")).alias("failed"),
-        # failures are bounded by the registry size (one name per model)
-        F.array_join(F.sort_array(F.collect_list(F.when(~F.col("_ok"), F.col(model)))), ", ").alias("failed_models"),
+        F.coalesce(F.sum(F.col("_ok").cast("bigint")), F.lit(0)).alias("successful"),
+        F.coalesce(F.sum((~F.col("_ok")).cast("bigint")), F.lit(0)).alias("failed"),
     )
+
+
+def model_status(registry: DataFrame, flat: DataFrame, model: str = "model_name") -> DataFrame:
+    """One row per registered model: whether rows arrived, how many, and how
+    many of them have date text that is no date, or text in ``day``,
+    ``payoutPending`` or ``atRisk`` that is no number.  Such rows stay in the
+    run; the bad cell counts as missing."""
+    def rejects(c: str, parsed) -> Column:
+        text = blank_to_null(F.col(c).cast("string"))
+        bad = text.isNotNull() & parsed(c).isNull()
+        return F.coalesce(F.sum(bad.cast("bigint")), F.lit(0)).alias(f"bad_{c}")
+
+    counts = flat.groupBy(model).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        rejects("date", lambda c: date_of_text(F.col(c).cast("string"))),
+        *[rejects(c, as_number) for c in ("day", "payoutPending", "atRisk")])
+    zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts.columns if c != model]
+    return (registry.select(model).distinct().join(counts, model, "left")
+            .select(model, F.col("n_rows").isNotNull().alias("ok"), *zero))

@@ -73,12 +73,15 @@ def daily_summary(ts: DataFrame) -> DataFrame:
                      is the last of the union, so no second pass over raw
                      rows is needed)
 
+    Rows without a date, or with text that is no date, take no part
+    (``scores.model_status`` counts the latter).
+
     A single aggregate with partial (map-side) aggregation: a model that
     holds most rows does not produce a hot task.
     """
-    x = (ts.where(F.col("date").isNotNull())
-         .withColumn("_full", F.col("date"))
-         .withColumn("date", date_of_text("date")))
+    x = (ts.withColumn("_full", F.col("date"))
+         .withColumn("date", date_of_text("date"))
+         .where(F.col("date").isNotNull()))
     sp = F.col("stakeandpayout")
     first_order = F.struct(F.col("day"), F.col("_full"), F.col(RN), F.col("seq"))
     payload = [c for c in ts.columns if c not in (M, "date")] + ["_full"]

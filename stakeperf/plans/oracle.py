@@ -9,25 +9,22 @@ relational join where we build and explode arrays.  Tables ``orders``,
 Portability rules (Spark 4 vs DuckDB): ``x / nullif(y, 0)`` for
 ``try_divide``; ``isodow(d) >= 6`` for ``dayofweek(d) IN (1, 7)``; explicit
 NULLS FIRST / LAST; doubles rounded at the edge with the same two-step rule
-as ``functions.columns.edge_round`` (and ``sig_round`` for balances).
+as ``functions.columns.edge_round``.
 """
 
 from __future__ import annotations
 
 from stakeperf.config import LedgerConfig, active_assets
-from stakeperf.sources.fixtures import LEDGER_END, LEDGER_START, PRIORITY_SYMBOL
+from stakeperf.sources.fixtures import LEDGER_END, LEDGER_START, PRICES_END, PRICES_START, PRIORITY_SYMBOL
 
 
 def R(x: str) -> str:
-    """Edge rounding of a double expression (see ``edge_round``): through
-    DECIMAL, so that a tie rounds half away from zero on the decimal value,
-    as Spark's ``round`` does."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38,9)), 4) AS DOUBLE)"
-
-
-def SIG(x: str) -> str:
-    """Nine significant digits (see ``sig_round``), then edge rounding."""
-    return R(f"CAST(printf('%.8e', {x}) AS DOUBLE)")
+    """Nine significant digits (see ``edge_round``): nine decimals and twelve
+    digits first, then by a power of ten, half away from zero."""
+    z = f"CAST(printf('%.11e', CAST(CAST({x} AS DECIMAL(38,9)) AS DOUBLE)) AS DOUBLE)"
+    k = "(8 - floor(log10(abs(z))))"
+    return (f"(SELECT CASE WHEN z = 0 THEN 0.0 WHEN {k} >= 0 THEN round(z * pow(10, {k})) / pow(10, {k}) + 0.0 "
+            f"ELSE round(z / pow(10, -{k})) * pow(10, -{k}) + 0.0 END FROM (SELECT {z} AS z))")
 
 
 def NEXT(d: str) -> str:
@@ -47,9 +44,15 @@ def MONEY(x: str) -> str:
 
 
 def TEXT(x: str) -> str:
-    """R toString of a number: plain notation, no trailing zeros."""
-    t = rf"regexp_replace(CAST(CAST({x} AS DECIMAL(38,10)) AS VARCHAR), '\.?0+$', '')"
-    return f"coalesce({t}, '')"
+    """R toString of a number: all digits in plain notation.  DuckDB's own
+    text; where that has an exponent, its digits shifted by hand."""
+    v = f"CAST(CAST({x} AS DOUBLE) AS VARCHAR)"
+    d = f"replace(replace(split_part({v}, 'e', 1), '.', ''), '-', '')"
+    e = f"CAST(split_part({v}, 'e', 2) AS INTEGER)"
+    sign = f"CASE WHEN {x} < 0 THEN '-' ELSE '' END"
+    plain = rf"regexp_replace(regexp_replace({v}, '\.0*$', ''), '^-0$', '0')"
+    return (f"coalesce(CASE WHEN {v} NOT LIKE '%e%' THEN {plain} WHEN {e} < 0 THEN {sign} || '0.' || repeat('0', -{e} - 1) || rtrim({d}, '0') "
+            f"ELSE {sign} || rpad({d}, CAST(greatest({e} + 1, length({d})) AS INTEGER), '0') END, '')")
 
 
 STAKING_START, STAKING_END = LedgerConfig().start.isoformat(), LedgerConfig().end.isoformat()
@@ -73,7 +76,7 @@ cte("fx_scores", (), f"""
          user_id // 21 AS roundNumber,
          event_id AS seq,
          CASE event_type WHEN 'view' THEN 'mmc' WHEN 'click' THEN 'fnc_v4' ELSE event_type END AS displayName,
-         CASE WHEN event_id % 101 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
+         CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 89 = 0 THEN 'n/a' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS date,
          CASE WHEN event_id % 97 = 0 THEN '' ELSE CAST(day(ts) AS VARCHAR) END AS day,
          CASE WHEN event_id % 53 <> 0 THEN round(value - 50, 2) + 0.0 END AS payoutPending,
          CAST(event_id % 37 AS DOUBLE) AS atRisk
@@ -88,7 +91,8 @@ cte("flat", (), f"""
          l.l_linenumber AS day,
          CASE l.l_returnflag WHEN 'A' THEN 'mmc' WHEN 'N' THEN 'fnc_v4' WHEN 'R' THEN 'other' END AS displayName,
          l.l_extendedprice AS payoutPending, l.l_quantity AS payoutSettled,
-         l.l_discount AS percentile, l.l_tax AS value
+         l.l_discount / 7 AS percentile,
+         CASE l.l_linenumber % 4 WHEN 0 THEN l.l_tax * 1e-12 WHEN 1 THEN l.l_tax * 1e28 ELSE l.l_tax / 3 END AS value
   FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey""")
 
 cte("registry", (), f"""
@@ -160,7 +164,7 @@ cte("bd0", ("ts",), """
          sum(stakeandpayout) OVER (PARTITION BY model_name, try_cast(substr(date, 1, 10) AS DATE)) AS _s,
          row_number() OVER (PARTITION BY model_name, try_cast(substr(date, 1, 10) AS DATE)
                             ORDER BY day ASC NULLS LAST, date ASC, roundNumber ASC, seq ASC) AS _k
-  FROM ts WHERE date IS NOT NULL""")
+  FROM ts WHERE try_cast(substr(date, 1, 10) AS DATE) IS NOT NULL""")
 
 cte("bd1", ("bd0",), """
   SELECT model_name, d AS date,
@@ -221,7 +225,7 @@ cte("allmc", ("allm", "nmr"), """
 # summary the library uses).
 cte("bts0", ("ts",), f"""
   SELECT *, date AS date_full, try_cast(substr(date, 1, 10) AS DATE) AS d0
-  FROM ts WHERE date IS NOT NULL""")
+  FROM ts WHERE try_cast(substr(date, 1, 10) AS DATE) IS NOT NULL""")
 
 cte("bts1", ("bts0",), f"""
   SELECT *, {PREV(f"CASE WHEN {WEEKEND('d0')} THEN {NEXT('d0')} ELSE d0 END")} AS new_date FROM bts0""")
@@ -361,10 +365,10 @@ def _r(cols: list[str], doubles: set[str]) -> str:
 
 SCORE_COLS = ["model_name", "roundNumber", "atRisk", "seq", "date", "day", "displayName",
               "payoutPending", "payoutSettled", "percentile", "value"]
-SCORE_D = {"atRisk", "payoutPending", "payoutSettled", "percentile", "value"}
+SCORE_D: set[str] = set()  # source values, compared in full
 CLEAN_COLS = ["model_name", "roundNumber", "seq", "displayName", "date", "day", "payoutPending", "atRisk"]
 TS_COLS = CLEAN_COLS + ["returns", "dailypayout", "stakeandpayout", "dailyrets"]
-TS_D = {"day", "payoutPending", "atRisk", "returns", "dailypayout", "stakeandpayout", "dailyrets"}
+TS_D = {"returns", "dailypayout", "stakeandpayout", "dailyrets"}
 BD_COLS = ["model_name", "date", "totalpayout", "cumstake", "walletestimate", "NMRwtret",
            "totalpayoutdailychg", "return", "leveredreturn"]
 PORT_COLS = ["date", "totalpayout", "cumstake", "walletestimate", "totalpayoutdailychg", "return", "leveredreturn"]
@@ -394,19 +398,36 @@ ORACLE_SQL: dict[str, str] = {
     "scan_models": _with("fx_scores") + """
       SELECT model_name, roundNumber, seq, displayName, date, nullif(day, '') AS day, payoutPending, atRisk
       FROM fx_scores""",
-    "asset_prices": _with("ap") + f"SELECT date, asset, {R('price')} AS price FROM ap",
+    "scan_model_files": _with("fx_scores") + """
+      SELECT model_name, roundNumber, displayName, date, nullif(day, '') AS day, payoutPending, atRisk FROM fx_scores""",
+    "staked_daily_files": _with("ts") + "SELECT " + _r([c for c in TS_COLS if c != "seq"], TS_D) + " FROM ts",
+    "read_responses": _with("flat") + "SELECT " + _r(SCORE_COLS, SCORE_D) + """,
+             dense_rank() OVER (PARTITION BY model_name ORDER BY roundNumber DESC) - 1 AS rec_pos FROM flat""",
+    "model_status": _with("registry", "fx_scores") + """
+      SELECT r.model_name, count(s.model_name) > 0 AS ok, count(s.model_name) AS n_rows,
+             count(CASE WHEN trim(s.date) <> '' AND try_cast(substr(s.date, 1, 10) AS DATE) IS NULL THEN 1 END) AS bad_date,
+             count(CASE WHEN trim(s.day) <> '' AND try_cast(s.day AS DOUBLE) IS NULL THEN 1 END) AS bad_day,
+             0::BIGINT AS "bad_payoutPending", 0::BIGINT AS "bad_atRisk"
+      FROM registry r LEFT JOIN fx_scores s USING (model_name) GROUP BY r.model_name""",
+    "cumulative_default_columns": _with("cum_missing") + """
+      SELECT model_name, date, CAST(0 AS DOUBLE) AS totalpayout, """ + R("cumstake") + """ AS cumstake, CAST(0 AS DOUBLE) AS walletestimate,
+             CAST(0 AS DOUBLE) AS "NMRwtret", CAST(0 AS DOUBLE) AS totalpayoutdailychg, CAST(0 AS DOUBLE) AS cumbalance,
+             """ + R("cumstakebalance") + """ AS cumstakebalance, """ + R("NMR") + """ AS "NMR", CAST(0 AS DOUBLE) AS "cumUSD", """ + R("cumstakeUSD") + """ AS "cumstakeUSD"
+      FROM cum_missing""",
+    "asset_prices": _with("ap") + f"""
+      SELECT date, asset, {R('price')} AS price FROM ap WHERE date BETWEEN DATE '{PRICES_START}' AND DATE '{PRICES_END}'""",
     "drop_empty_series": _with("live") + f"SELECT date, asset, {R('price')} AS price FROM live",
     "asset_returns": _with("rets") + f"SELECT date, asset, {R('ret')} AS ret FROM rets",
     "asset_values": _with("ap") + f"""
       SELECT d.date, a.asset, CAST(0 AS DOUBLE) AS value FROM (SELECT DISTINCT date FROM ap) d
       CROSS JOIN (VALUES {', '.join(f"('{c}')" for c in ASSET_COLS)}) a(asset)""",
-    "asset_balances": _with("balances") + f"SELECT date, asset, {SIG('balance')} AS balance FROM balances",
+    "asset_balances": _with("balances") + f"SELECT date, asset, {R('balance')} AS balance FROM balances",
     "investment_blotter": _with("blotter") + "SELECT " + _r(
-        ["date", "GLDInv", "ETHInv", "NMRInv", "BondInv"], {"GLDInv", "ETHInv", "NMRInv", "BondInv"}) + " FROM blotter",
-    "working_frame": _with("wf") + "SELECT " + _r(WF_COLS, set(WF_COLS) - {"date"}) + " FROM wf",
+        ["date", "GLDInv", "ETHInv", "NMRInv", "BondInv"], set()) + " FROM blotter",
+    "working_frame": _with("wf") + "SELECT " + _r(WF_COLS, set()) + " FROM wf",
     "cash_balance": _with("cashbal") + f"SELECT date, {R('cashbalance')} AS cashbalance FROM cashbal",
     "nmr_ledger": _with("wf", "balances") + f"""
-      SELECT w.date, coalesce({SIG('b.balance')}, 0.0) AS NMR, {R('w.NMRInv')} AS NMRInv
+      SELECT w.date, coalesce({R('b.balance')}, 0.0) AS NMR, w.NMRInv
       FROM wf w LEFT JOIN balances b ON b.date = w.date AND b.asset = 'NMR'""",
     "table_profile": _with("wide_prices") + _profile,
     "flatten_scores": _with("flat") + "SELECT " + _r(SCORE_COLS, SCORE_D) + " FROM flat",
@@ -415,21 +436,20 @@ ORACLE_SQL: dict[str, str] = {
     "filter_scores": _with("flat") + "SELECT " + _r(SCORE_COLS, SCORE_D)
     + " FROM flat WHERE displayName IN ('mmc', 'fnc_v4')",
     "filter_scores_parity": _with("flat") + "SELECT " + _r(SCORE_COLS, SCORE_D) + """
-      FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY roundNumber, seq NULLS FIRST) AS i FROM flat)
+      FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY roundNumber DESC, seq NULLS FIRST) AS i FROM flat)
       WHERE displayName = CASE WHEN i % 2 = 1 THEN 'mmc' ELSE 'fnc_v4' END""",
     "stringify_scores": _with("flat") + f"""
-      SELECT model_name, roundNumber, {R('atRisk')} AS atRisk, seq, {_score_text}
+      SELECT model_name, roundNumber, atRisk, seq, {_score_text}
       FROM flat WHERE displayName IN ('mmc', 'fnc_v4')""",
     "round_numbers": f"SELECT DISTINCT {MODEL.format('o_custkey')} AS model_name, o_orderkey AS roundNumber FROM orders",
     "model_ids": _with("registry", "scored_models") + """
       SELECT s.model_name, r.model_id FROM scored_models s LEFT JOIN registry r USING (model_name)""",
     "run_summary": _with("registry", "scored_models") + """
       SELECT count(*) AS total_models, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS successful,
-             CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed,
-             coalesce(string_agg(CASE WHEN NOT ok THEN model_name END, ', ' ORDER BY model_name), '') AS failed_models
+             CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed
       FROM (SELECT r.model_name, s.model_name IS NOT NULL AS ok
             FROM registry r LEFT JOIN scored_models s USING (model_name))""",
-    "clean_scores": _with("scores") + "SELECT " + _r(CLEAN_COLS, {"day", "payoutPending", "atRisk"}) + " FROM scores",
+    "clean_scores": _with("scores") + "SELECT " + _r(CLEAN_COLS, set()) + " FROM scores",
     "staked_daily": _with("ts") + "SELECT " + _r(TS_COLS, TS_D) + " FROM ts",
     "staked_by_date": _with("bd") + "SELECT " + _r(BD_COLS, ALLD) + " FROM bd",
     "weekend_flags": _with("bd") + f"SELECT DISTINCT model_name, date, {WEEKEND('date')} AS is_weekend FROM bd",

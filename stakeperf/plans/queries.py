@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from stakeperf.config import LedgerConfig
-from stakeperf.functions.columns import edge_round, sig_round
+from stakeperf.functions.columns import edge_round
 from stakeperf.operators import assets as A
 from stakeperf.operators import calendar as C
 from stakeperf.operators import cumulative as CU
@@ -52,9 +52,9 @@ RAW_CLEAN = ("day", "payoutPending", "atRisk")
 
 
 def _out(df: DataFrame, cols: list[str], raw: tuple[str, ...] = ()) -> DataFrame:
-    """Final projection; computed doubles are rounded (``edge_round``).
-    ``raw`` names pass-through source values with at most four decimals,
-    for which the rounding is the identity and is skipped."""
+    """Final projection; computed doubles are rounded to nine significant
+    digits (``edge_round``).  ``raw`` names pass-through source values, which
+    stay as they are."""
     types = {f.name: f.dataType for f in df.schema.fields}
     return df.select(*[edge_round(c).alias(c) if isinstance(types[c], DoubleType) and c not in raw
                        else F.col(c) for c in cols])
@@ -81,8 +81,49 @@ def q_scan_models(spark, sf):
     return IO.scan_models(spark, root).select(*CLEAN_COLS)
 
 
+def mixed_score_files(spark, sf) -> str:
+    """Fixture F1 as the source's files: one per model, rows in file order
+    without ``seq``; half of the models with prefixed columns in another order."""
+    root = scratch_path(spark, "mixed")
+    rows = FX.fx_scores(spark, sf).repartition("model_name").sortWithinPartitions("model_name", "seq")
+    plain = ["roundNumber", "displayName", "date", "day", "payoutPending", "atRisk"]
+    odd = F.crc32("model_name") % 2 == 1
+    rows.where(~odd).select("model_name", *plain).write.partitionBy("model_name").option("header", True).csv(root)
+    prefixed = ["atRisk", "payoutPending", "day", "displayName", "date", "roundNumber"]
+    names = [F.col(c).alias(c if c in ("atRisk", "roundNumber") else S.SCORE_PREFIX + c) for c in prefixed]
+    rows.where(odd).select("model_name", *names).write.mode("append").partitionBy("model_name").option("header", True).csv(root)
+    return root
+
+
+FILE_COLS = [c for c in CLEAN_COLS if c != "seq"]
+
+
+def q_scan_model_files(spark, sf):
+    """Each file by its own header."""
+    return IO.scan_models(spark, mixed_score_files(spark, sf)).select(*FILE_COLS)
+
+
+def q_staked_daily_files(spark, sf):
+    """The per-round rows over those files; ties break by the rows' order in their file."""
+    run = StakingRun(IO.scan_models(spark, mixed_score_files(spark, sf)), FX.fx_token_prices(spark, sf), STAKING)
+    return _out(run.ts, [c for c in TS_COLS if c != "seq"], RAW_CLEAN)
+
+
+def q_read_responses(spark, sf):
+    """Stored response documents, one per model: fixture F2 written as JSON and
+    read back with each record's position in its document."""
+    root = scratch_path(spark, "responses")
+    record = F.struct("rec_pos", "roundNumber", "atRisk", S.SCORES)
+    docs = FX.fx_nested(spark, sf).groupBy("model_name").agg(F.transform(F.array_sort(F.collect_list(record)), lambda r: r.dropFields("rec_pos")).alias("r"))
+    docs.select(F.struct(F.col("r").alias("v2RoundModelPerformances")).alias("data"), F.concat(F.col("model_name"), F.lit(".json")).alias("document")
+                ).write.partitionBy("document").json(root)
+    return _out(S.flatten_scores(IO.read_responses(spark, root)), [*SCORE_COLS, "rec_pos"], RAW_SCORE)
+
+
 def q_asset_prices(spark, sf):
-    return _out(ledger(spark, sf).prices, ["date", "asset", "price"])
+    run = LedgerRun(FX.fx_prices(spark, sf), FX.fx_investments(spark, sf), FX.fx_fixedincome(spark, sf),
+                    FX.fx_cash(spark, sf), LedgerConfig(start=FX.PRICES_START, end=FX.PRICES_END))
+    return _out(run.prices, ["date", "asset", "price"])
 
 
 def q_drop_empty_series(spark, sf):
@@ -98,8 +139,7 @@ def q_asset_values(spark, sf):
 
 
 def q_asset_balances(spark, sf):
-    bal = ledger(spark, sf).balances()
-    return _out(bal.withColumn("balance", sig_round("balance")), ["date", "asset", "balance"])
+    return _out(ledger(spark, sf).balances(), ["date", "asset", "balance"])
 
 
 INVESTMENTS_SCHEMA = "date date, GLDInv double, ETHInv double, NMRInv double"
@@ -145,7 +185,7 @@ def q_cash_balance(spark, sf):
 def q_nmr_ledger(spark, sf):
     # the working frame feeds flows, the frame itself and the cash balance
     led = ledger(spark, sf, shared=True).token_ledger()
-    return _out(led.withColumn("NMR", sig_round("NMR")), ["date", "NMR", "NMRInv"])
+    return _out(led, ["date", "NMR", "NMRInv"], ("NMRInv",))
 
 
 def q_table_profile(spark, sf):
@@ -189,6 +229,10 @@ def q_run_summary(spark, sf):
     return S.run_summary(FX.fx_models(spark, sf), FX.fx_nested(spark, sf))
 
 
+def q_model_status(spark, sf):
+    return S.model_status(FX.fx_models(spark, sf), FX.fx_scores(spark, sf))
+
+
 def q_clean_scores(spark, sf):
     return _out(staking(spark, sf).scores, CLEAN_COLS, RAW_CLEAN)
 
@@ -212,8 +256,7 @@ def q_bizday_shift(spark, sf):
 
 def q_bizday_shift_holidays(spark, sf):
     dates = FX.table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct()
-    cal = C.calendar_for(spark, dates, "date", 10, FX.fx_holidays(spark))
-    return C.shift_dates(dates, "date", cal).select("date", "is_weekend", "next_biz", "prev_biz")
+    return C.shift_dates(dates, "date", C.holiday_shifts(FX.fx_holidays(spark))).select("date", "is_weekend", "next_biz", "prev_biz")
 
 
 def q_bizday_by_date(spark, sf):
@@ -254,6 +297,13 @@ def q_cumulative_missing_ts(spark, sf):
     return _out(CU.cumulative_missing_ts(st.by_date_biz(), st.token()), CUM_COLS)
 
 
+def q_cumulative_default_columns(spark, sf):
+    """Per-model balances where the per-date rows lack some columns: 0 takes their place."""
+    st = staking(spark, sf, shared=True)
+    rows = st.by_date_biz().drop("walletestimate", "NMRwtret", "totalpayout")
+    return _out(CU.cumulative_missing_ts(rows, st.token()), CUM_COLS)
+
+
 def q_cumulative_allmodels(spark, sf):
     return _out(staking(spark, sf, shared=True).cumulative_portfolio(), CUM_ALL_COLS)
 
@@ -267,10 +317,10 @@ def q_cumulative_all(spark, sf):
 def q_sink_roundtrip_scores(spark, sf):
     root = scratch_path(spark, "scores-csv")
     IO.write_per_model(stringify_stage(spark, sf), root, "csv")
-    text_cols = [c for c in SCORE_COLS if c != "model_name"]
-    schema = ", ".join(f"{c} string" for c in text_cols)
-    back = spark.read.schema(schema).option("header", True).option("basePath", root).csv(root)
-    return back.select(*SCORE_COLS)
+    back = spark.read.option("header", True).option("basePath", root).option("emptyValue", "").csv(root)
+    # an empty cell is NULL in the file and "" in the source's text
+    return back.select("model_name", *[F.coalesce(F.col(c), F.lit("")).alias(c) if c in S.TEXT_FIELDS else F.col(c)
+                                       for c in SCORE_COLS if c != "model_name"])
 
 
 def q_sink_roundtrip_cash(spark, sf):
@@ -283,6 +333,11 @@ def q_sink_roundtrip_cash(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "scan_models": q_scan_models,
+    "scan_model_files": q_scan_model_files,
+    "staked_daily_files": q_staked_daily_files,
+    "read_responses": q_read_responses,
+    "model_status": q_model_status,
+    "cumulative_default_columns": q_cumulative_default_columns,
     "asset_prices": q_asset_prices,
     "drop_empty_series": q_drop_empty_series,
     "asset_returns": q_asset_returns,

@@ -27,7 +27,7 @@ from stakeperf.operators import ledger as L
 from stakeperf.operators import portfolio as P
 from stakeperf.operators import scores as S
 from stakeperf.operators import staking as ST
-from stakeperf.session import checkpoint_root
+from stakeperf.session import scratch_path
 from stakeperf.sources import files as IO
 
 
@@ -46,11 +46,12 @@ def once(method: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a stage that several branches read: the rows are
-    written once to the reliable checkpoint folder (``spark.checkpoint.dir``)
-    and every branch reads them back.  Survives the loss of executors; never
-    a machine-local folder on a cluster."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written once as Parquet to the shared folder (``spark.checkpoint.dir``),
+    and every branch reads back the columns it needs.  Survives the loss of
+    executors; never a machine-local folder on a cluster."""
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class StakingRun:
@@ -60,8 +61,9 @@ class StakingRun:
     date, day, payoutPending, atRisk``; text or numbers), unfiltered.
     ``token_prices``: long ``(date, symbol, price)``; the token's symbol
     is configured in ``config``.
-    ``shared=True`` materializes the per-(model, date) summary, so that the
-    raw rows are read once however many outputs are produced.
+    ``shared=True`` materializes the per-(model, date) summary, so that however
+    many outputs are produced, the raw rows are read for it only (and for
+    ``ts`` itself, where that is written).
     """
 
     def __init__(self, scores: DataFrame, token_prices: DataFrame, config: LedgerConfig = LedgerConfig(),
@@ -71,10 +73,18 @@ class StakingRun:
         rows = scores if prefiltered else S.filter_scores(scores, metrics)
         self.scores = S.clean_scores(rows)
         self.ts = ST.staked_daily(self.scores)
-        summary = ST.daily_summary(self.ts)
-        self.summary = materialize(summary) if shared else summary
+        self.shared = shared
         self.token_prices = token_prices
 
+    @property
+    def summary(self) -> DataFrame:
+        """One row per (model, date); written at its first use when shared."""
+        memo = self.__dict__.setdefault("_memo", {})
+        if "summary" not in memo:
+            summary = ST.daily_summary(self.ts)
+            memo["summary"] = materialize(summary) if self.shared else summary
+        return memo["summary"]
+
     # -- per model
     @once
     def by_date(self) -> DataFrame:

@@ -1,7 +1,6 @@
 """Typed scans, the stored-response source and the sinks."""
 
 from stakeperf.sources.files import (  # noqa: F401
-    asset_config_frame,
     persist,
     read_csv_typed,
     read_investment_data,

@@ -11,16 +11,18 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from stakeperf import schemas
-from stakeperf.config import ASSET_CONFIG, AssetSpec
+from stakeperf.operators.scores import SCORE_PREFIX
 
 log = logging.getLogger(__name__)
 
@@ -81,39 +83,81 @@ def read_investment_data(spark: SparkSession, datadir: str, investments_file: st
             read_csv_typed(spark, f"{base}/{fixedincome_file}", fixedincome_schema))
 
 
+#: Names that a score file's header line holds, with or without prefix, and no data line does.
+HEADER_MARKS = ("displayName", "payoutPending")
+
+
+def _headers(spark: SparkSession, path: str, marks: tuple[str, ...]) -> dict[str, list[str]]:
+    """The files under a path by their header line: one scan of the lines; the
+    driver gets a path per file, which its file index holds anyway."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    head = F.lit(True)
+    for m in marks:
+        head = head & F.col("value").contains(m)
+    found = lines.where(head).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("value").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for r in found.collect():
+        groups.setdefault(r["header"], []).append(r["file"])
+    return groups
+
+
+def _decoded(c: str) -> Column:
+    """A file name or path of ``_metadata``, which holds it percent-encoded."""
+    return F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
+
+
+def _file_order() -> Column:
+    """The order of a row in its file: the offset of its split plus its number
+    in the task, which reads at most a split's bytes and so fewer rows."""
+    return (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).cast("bigint")
+
+
+def _by_own_header(spark: SparkSession, path: str, schema: StructType, null_value: str | None,
+                   base: str | None, model: Column) -> DataFrame:
+    """Score files, each read by its own header: files with equal headers are
+    one scan.  A nested-column prefix is stripped from the names before the
+    columns are matched; without a ``seq`` column the order in the file is ``seq``."""
+    out = spark.createDataFrame([], StructType([StructField("model_name", StringType()), *schema.fields]))
+    for header, files in sorted(_headers(spark, path, HEADER_MARKS).items()):
+        raw = next(csv.reader([header]))
+        names = [c.replace(SCORE_PREFIX, "", 1) if c.startswith(SCORE_PREFIX) else c for c in raw]
+        reader = spark.read.option("header", True).schema(StructType([StructField(f"c{k}", StringType()) for k in range(len(names))]))
+        if null_value is not None:
+            reader = reader.option("nullValue", null_value)
+        if base is not None:
+            reader = reader.option("basePath", base)
+        df = reader.csv([unquote(f) for f in sorted(files)])
+        df = df.select(model.alias("model_name"), _file_order().alias("seq" if "seq" not in names else "_order"),
+                       *[F.col(f"c{k}").alias(n) for k, n in enumerate(names) if n not in names[:k] and n != "model_name"])
+        out = out.unionByName(by_name(df, schema, keep=("model_name",)))
+    return out
+
+
 def scan_models(spark: SparkSession, root: str, schema: StructType = schemas.STAKED_SCORES,
                 null_value: str | None = None) -> DataFrame:
-    """All per-model score files under ``root/model_name=<m>/`` in one scan.
-    The model comes from the partition directory, so a filter on
+    """All per-model score files under ``root/model_name=<m>/``, each by its own
+    header.  The model comes from the partition directory, so a filter on
     ``model_name`` prunes whole directories.  ``null_value="NA"`` reads files
     written by R's ``write.csv``."""
-    reader = spark.read.option("header", True).option("basePath", root)
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
     # model names are text even when they look like numbers ("007"): the
     # partition values are typed when the file index is built, i.e. here
     with _partition_type_inference(spark, False):
-        df = reader.csv(root)
-    return by_name(df, schema, keep=("model_name",))
+        return _by_own_header(spark, root, schema, null_value, root, F.col("model_name"))
 
 
 def scan_model_files(spark: SparkSession, folder: str, schema: StructType = schemas.STAKED_SCORES,
                      null_value: str | None = "NA") -> DataFrame:
     """The flat layout: one ``<model>.csv`` per model in one folder (as the
-    source writes them).  Still one scan; ``model_name`` comes from each
-    row's file name through the file source's ``_metadata`` column, so no
-    loop over models and no per-file read."""
-    reader = spark.read.option("header", True)
-    if null_value is not None:
-        reader = reader.option("nullValue", null_value)
-    df = reader.csv(f"{folder.rstrip('/')}/*.csv")
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    return by_name(df.withColumn("model_name", name), schema, keep=("model_name",))
+    source writes them), each by its own header; ``model_name`` comes from each
+    row's file name."""
+    name = F.regexp_extract(_decoded("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    return _by_own_header(spark, folder, schema, null_value, None, name)
 
 
 def read_nested_scores(spark: SparkSession, path: str, schema: StructType = schemas.ROUND_RECORD) -> DataFrame:
-    """Stored nested responses (JSON lines, one round record per line)."""
-    return spark.read.schema(schema).json(path)
+    """Stored nested responses (JSON lines, one round record per line);
+    ``rec_pos`` is a record's place in its file."""
+    return spark.read.schema(schema).json(path).withColumn("rec_pos", _file_order())
 
 
 def read_responses(spark: SparkSession, folder: str, schema: StructType = schemas.RESPONSE) -> DataFrame:
@@ -121,24 +165,38 @@ def read_responses(spark: SparkSession, folder: str, schema: StructType = schema
     ``<model>.json``: one scan of the folder, the round records exploded
     out of ``data.v2RoundModelPerformances`` and the model taken from the
     file name.  Gives the nested records ``flatten_scores`` expects."""
-    docs = spark.read.schema(schema).option("multiLine", True).json(f"{folder.rstrip('/')}/*.json")
-    return response_records(docs)
+    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+    return response_records(reader.option("pathGlobFilter", "*.json").json(folder))
 
 
 def response_records(docs: DataFrame) -> DataFrame:
     """Round records out of response documents read by a file source (batch
-    or streaming); the model is the document's file name without ``.json``."""
-    model = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    or streaming), with their position in the document (``rec_pos``); the model
+    is the document's file name without ``.json``, or that of a Spark output
+    folder named ``document=<model>.json``."""
+    folder = F.regexp_extract(_decoded("_metadata.file_path"), r"/document=([^/]*)\.json/[^/]*$", 1)
+    name = F.regexp_extract(_decoded("_metadata.file_name"), r"^(.*)\.json$", 1)
+    model = F.when(folder != "", folder).otherwise(name)
     records = docs.select(model.alias("model_name"),
-                          F.explode_outer("data.v2RoundModelPerformances").alias("_r"))
+                          F.posexplode_outer("data.v2RoundModelPerformances").alias("rec_pos", "_r"))
     return records.where(F.col("_r").isNotNull()).select(
-        "model_name", *[F.col("_r")[f.name].alias(f.name) for f in schemas.RESPONSE_RECORD.fields])
+        "model_name", F.col("rec_pos").cast("bigint").alias("rec_pos"), *[F.col("_r")[f.name].alias(f.name) for f in schemas.RESPONSE_RECORD.fields])
+
+
+#: A model's rows are written by this many tasks, dealt by round.
+FILES_PER_MODEL = 8
 
 
 def write_per_model(df: DataFrame, root: str, fmt: str = "csv", model: str = "model_name") -> None:
-    """One directory per model (created as needed).  ``overwrite`` replaces
-    the whole output, so a retried job never leaves a mix of attempts."""
-    writer = df.write.mode("overwrite").partitionBy(model)
+    """One directory per model (created as needed), at most ``FILES_PER_MODEL``
+    files in each (more only beyond ten million rows a file): rows are dealt by
+    model and round first, so that not every task writes to every directory.
+    ``overwrite`` replaces the whole output, so a retried job never leaves a
+    mix of attempts."""
+    keys = [F.col(model)]
+    if "roundNumber" in df.columns:
+        keys.append(F.pmod(F.xxhash64("roundNumber"), F.lit(FILES_PER_MODEL)))
+    writer = df.repartition(*keys).write.mode("overwrite").partitionBy(model).option("maxRecordsPerFile", 10_000_000)
     if fmt == "csv":
         writer.option("header", True).csv(root)
     else:
@@ -154,9 +212,3 @@ def persist(df: DataFrame, path: str, description: str = "", fmt: str = "parquet
     except Exception as exc:  # noqa: BLE001 - the sink reports, the caller decides
         log.warning("Failed to save %s to %s: %s", description, path, exc)
         return False
-
-
-def asset_config_frame(spark: SparkSession, config: tuple[AssetSpec, ...] = ASSET_CONFIG) -> DataFrame:
-    """The asset table as a (7-row) DataFrame."""
-    return spark.createDataFrame([(a.symbol, a.category, a.active, a.priority) for a in config],
-                                 schemas.ASSET_CONFIG)

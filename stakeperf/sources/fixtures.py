@@ -26,9 +26,13 @@ PRIORITY_SYMBOL = {
 RETURNFLAG_METRIC = {"A": "mmc", "N": "fnc_v4", "R": "other"}
 # Holidays of the calendar fixture.
 HOLIDAYS = (date(2024, 1, 1), date(2024, 1, 15))
-# Date range used for the ledger fixtures (returns, balances).
-LEDGER_START = date(1998, 1, 1)
-LEDGER_END = date(1998, 3, 31)
+# The ledger fixtures' date range, wider than any order date, so
+# that the ledger queries read whole tables; and a range that cuts, for the
+# price source, whose feature it is.
+LEDGER_START = date(1900, 1, 1)
+LEDGER_END = date(2199, 12, 31)
+PRICES_START = date(1996, 1, 1)
+PRICES_END = date(1999, 12, 31)
 N_MODELS = 21
 
 
@@ -55,7 +59,9 @@ def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"user_id div {N_MODELS}").alias("roundNumber"),
         F.col("event_id").alias("seq"),
         metric.alias("displayName"),
-        F.when(F.col("event_id") % 101 != 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("date"),
+        F.when(F.col("event_id") % 101 == 0, F.lit(None).cast("string"))
+        .when(F.col("event_id") % 89 == 0, F.lit("n/a"))
+        .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("date"),
         F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(F.dayofmonth("ts").cast("string")).alias("day"),
         F.when(F.col("event_id") % 53 != 0, F.round(F.col("value") - 50, 2) + F.lit(0.0)).alias("payoutPending"),
         (F.col("event_id") % 37).cast("double").alias("atRisk"),
@@ -64,7 +70,9 @@ def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F2: nested round records, ``intraRoundSubmissionScores`` as a sorted
-    array of structs; orders without lines carry a NULL array."""
+    array of structs; orders without lines carry a NULL array.  Records come in
+    descending round order (``rec_pos``); ``percentile`` has up to 17
+    significant digits and ``value`` magnitudes from 1e-14 to 1e27."""
     o = table(spark, sf_dir, "orders")
     li = table(spark, sf_dir, "lineitem")
     metric = F.lit(None).cast("string")
@@ -78,8 +86,10 @@ def fx_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         metric.alias("displayName"),
         F.col("l_extendedprice").alias("payoutPending"),
         F.col("l_quantity").alias("payoutSettled"),
-        F.col("l_discount").alias("percentile"),
-        F.col("l_tax").alias("value"),
+        (F.col("l_discount") / 7).alias("percentile"),
+        F.when(F.col("l_linenumber") % 4 == 0, F.col("l_tax") * 1e-12)
+        .when(F.col("l_linenumber") % 4 == 1, F.col("l_tax") * 1e28)
+        .otherwise(F.col("l_tax") / 3).alias("value"),
     )
     # Each line's position inside its order comes from a window sort (a
     # code-generated sort on the full key); the per-order array is then
@@ -95,6 +105,7 @@ def fx_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (o.join(per_order.hint("merge"), o.o_orderkey == per_order.l_orderkey, "left")
             .select(_model(F.col("o_custkey")).alias("model_name"),
                     F.col("o_orderkey").alias("roundNumber"),
+                    (F.lit(1 << 40) - F.col("o_orderkey")).alias("rec_pos"),
                     F.col("o_totalprice").alias("atRisk"),
                     "intraRoundSubmissionScores"))
 
@@ -124,8 +135,9 @@ def fx_token_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return (e.where(F.col("event_type") == "purchase")
             .groupBy(F.to_date("ts").alias("date"))
-            .agg((money_sum(F.col("value")) / F.count(F.lit(1))).alias("price"))
-            .select("date", F.lit("NMR-USD").alias("symbol"), "price"))
+            .agg((money_sum(F.col("value")) / F.count(F.lit(1))).alias("price"),
+                 F.max(F.when(F.col("event_type") == "purchase", F.lit("NMR-USD"))).alias("symbol"))
+            .select("date", "symbol", "price"))
 
 
 def fx_investments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ sys.path.insert(0, ROOT)
 
 def main(sf_dir: str = "/root/testdata/sf0.01") -> None:
     import __spark_entry__ as E
-    from stakeperf.plans.inspect import plan_summary
+    from tests.inspect_plans import plan_summary
     from stakeperf.session import build_session
 
     spark = build_session("local[4]", 8)

@@ -26,8 +26,8 @@ def test_staking_and_ledger_commands(spark, sf_small):
                      ("cashbalance.csv", FX.fx_cash(spark, sf_small))):
         df.write.option("header", True).csv(f"{data}/{name}")
     out = f"{root}/out-ledger"
-    assert main(["ledger", "--prices", f"{root}/prices", "--data-dir", data, "--start", "1998-01-01",
-                 "--end", "1998-03-31", "--out", out], spark) == 0
+    assert main(["ledger", "--prices", f"{root}/prices", "--data-dir", data, "--start", "1900-01-01",
+                 "--end", "2199-12-31", "--out", out], spark) == 0
     assert spark.read.parquet(f"{out}/cashBalance").count() == QP.q_cash_balance(spark, sf_small).count()
     assert set(spark.read.parquet(f"{out}/NMRledger").columns) == {"date", "NMR", "NMRInv"}
 
@@ -45,7 +45,9 @@ def test_ingest_command(spark, tmp_path):
     out = str(tmp_path / "out")
     assert main(["ingest", "--responses", str(responses), "--out", out, "--models", str(models)], spark) == 0
     summary = spark.read.parquet(f"{out}/run_summary").collect()[0]
-    assert (summary.total_models, summary.successful, summary.failed_models) == (2, 1, "m2")
+    assert (summary.total_models, summary.successful, summary.failed) == (2, 1, 1)
+    status = {r.model_name: r.ok for r in spark.read.parquet(f"{out}/model_status").collect()}
+    assert status == {"m1": True, "m2": False}
     assert IO.scan_models(spark, f"{out}/staked").count() == 1
 
 

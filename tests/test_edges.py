@@ -6,7 +6,7 @@ from datetime import date, timedelta
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stakeperf.plans import inspect
+from tests import inspect_plans as inspect
 from stakeperf.operators import cumulative as CU
 from stakeperf.operators import portfolio as P
 from stakeperf.operators import staking as ST

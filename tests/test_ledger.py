@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from stakeperf.plans import inspect
+from tests import inspect_plans as inspect
 from stakeperf.functions.columns import columns_like
 from stakeperf.operators import assets as A
 from stakeperf.operators import ledger as L

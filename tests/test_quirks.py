@@ -243,7 +243,83 @@ def test_stringify_like_r_tostring(spark):
                                "a double, b double, c double, d string, e int, f double, g double")
     r = S.stringify_scores(df, ["a", "b", "c", "d", "e", "f", "g"]).collect()[0]
     assert (r.a, r.b, r.c, r.d, r.e, r.f) == ("23", "0.05", "", "x", "6", "0")
-    assert r.g == "1.0E30"           # out of DECIMAL range: no error, Spark's text
+    assert r.g == "1" + "0" * 30
+
+
+def test_text_keeps_every_digit_at_any_magnitude(spark, tmp_path):
+    values = [0.12345678901234, 0.015743892738291, 1e-12, 3e28, -1.5e-7, 1234567.25, 12345678.5, 1.2345678912e9,
+              9007199254740993.0, 5e-324, 1.7976931348623157e308, 100.0, -0.0, 0.1, 123456789012345680.0]
+    df = spark.createDataFrame([(v,) for v in values], "payoutPending double")
+    text = [r[0] for r in S.stringify_scores(df).collect()]
+    assert all("e" not in t.lower() and not t.endswith(".") for t in text)
+    assert [float(t) for t in text] == values
+    assert text[:4] == ["0.12345678901234", "0.015743892738291", "0.000000000001", "3" + "0" * 28]
+    # a score file reads back equal
+    path = str(tmp_path / "scores")
+    rows = df.selectExpr("'m' model_name", "1L roundNumber", "payoutPending", "'mmc' displayName")
+    IO.write_per_model(S.stringify_scores(rows), path)
+    assert sorted(r.payoutPending for r in IO.scan_models(spark, path).collect()) == sorted(values)
+
+
+def test_score_files_are_read_by_their_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("roundNumber,displayName,date,day,payoutPending,atRisk\n1,mmc,2024-01-02,1,5,20\n1,mmc,2024-01-02,1,7,20\n")
+    (tmp_path / "b c.csv").write_text('"","intraRoundSubmissionScores.payoutPending",atRisk,roundNumber,intraRoundSubmissionScores.displayName,intraRoundSubmissionScores.day,intraRoundSubmissionScores.date\n"1",7,NA,2,mmc,3,2024-01-05\n')
+    got = {(r.model_name, r.payoutPending): r for r in IO.scan_model_files(spark, str(tmp_path)).collect()}
+    assert set(got) == {("a", 5.0), ("a", 7.0), ("b c", 7.0)}
+    r = got["b c", 7.0]
+    assert (r.roundNumber, r.displayName, r.day, r.date, r.atRisk) == (2, "mmc", "3", "2024-01-05", None)
+    assert got["a", 5.0].seq < got["a", 7.0].seq       # file order breaks ties
+    ts = by_key(ST.staked_daily(S.clean_scores(IO.scan_model_files(spark, str(tmp_path)).where("model_name = 'a'"))), "payoutPending")
+    assert ts[(7.0,)]["dailypayout"] == 2.0
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert IO.scan_model_files(spark, str(empty)).count() == 0
+
+
+def test_positional_filter_follows_record_order(spark):
+    rows = [("m", 11, 0, 0, "mmc"), ("m", 10, 1, 0, "mmc"), ("m", 10, 1, 1, "mmc")]
+    df = spark.createDataFrame(rows, "model_name string, roundNumber long, rec_pos long, seq long, displayName string")
+    got = sorted((r.roundNumber, r.seq) for r in S.filter_scores_parity(df).collect())
+    assert got == [(10, 1), (11, 0)]                   # rows 1 and 3; row 2 is at the other metric's place
+
+
+def test_decimal_amounts_and_repeated_dates_in_the_ledger(spark):
+    from decimal import Decimal
+
+    from stakeperf.operators import ledger as L
+
+    inv = spark.createDataFrame([(date(2024, 1, 1), None), (date(2024, 1, 2), Decimal("1.00"))], "date date, NMRInv decimal(18,2)")
+    cash = spark.createDataFrame([(date(2024, 1, 1), 60.0, 0.0, 0.0), (date(2024, 1, 1), 40.0, 0.0, 0.0)], "date date, Principal double, Interest double, Adjustments double")
+    grid = spark.createDataFrame([(date(2024, 1, d),) for d in (1, 2)], "date date")
+    frame = L.working_frame(grid, ["NMR"], inv, cash)
+    assert frame.count() == 3                          # the doubled cash date keeps both rows
+    assert sorted((r.date.day, r.cashbalance) for r in L.cash_balance(frame).collect()) == [(1, 100.0), (2, 99.0)]
+    rets = spark.createDataFrame([(date(2024, 1, 1), "NMR", 0.0), (date(2024, 1, 2), "NMR", 1.0)], "date date, asset string, ret double")
+    out = L.ledger_with_balances(frame, rets, ["NMR"]).collect()
+    assert sorted((r.date.day, r.NMR, r.cashbalance) for r in out) == [(1, 0.0, 100.0), (1, 0.0, 100.0), (2, 1.0, 99.0)]
+
+
+def test_bad_date_text_is_counted_and_left_out(spark):
+    rows = [("m", 1, 1, "mmc", "n/a", 1.0, 5.0, 10.0), ("m", 1, 2, "mmc", "2024-01-02", 2.0, 9.0, 10.0), ("m", 1, 3, "mmc", None, 2.0, 9.0, 10.0)]
+    ts = ST.staked_daily(ts_frame(spark, rows))
+    assert [r.date for r in ST.bizday_by_date(ST.staked_by_date(ts)).collect()] == [date(2024, 1, 1)]
+    raw = spark.createDataFrame([("m", "n/a", "x", "", None), ("m", None, "2", "1.5", "z")], "model_name string, date string, day string, payoutPending string, atRisk string")
+    reg = spark.createDataFrame([("m",), ("gone",)], "model_name string")
+    got = by_key(S.model_status(reg, raw), "model_name")
+    r = got[("m",)]
+    assert (r.ok, r.n_rows, r.bad_date, r.bad_day, r.bad_payoutPending, r.bad_atRisk) == (True, 2, 1, 1, 0, 1)
+    assert not got[("gone",)].ok and got[("gone",)].n_rows == 0
+
+
+def test_holiday_shifts_need_no_window(spark):
+    days = [date(2024, 12, 24), date(2024, 12, 25), date(2024, 12, 26), date(2024, 12, 27), date(2024, 12, 28), date(9999, 12, 27)]
+    cal = C.holiday_shifts(spark.createDataFrame([(d,) for d in days] + [(None,)], "date date"))
+    d = spark.createDataFrame([(date(2024, 12, 23),), (date(2024, 12, 30),), (date(9999, 12, 24),), (date(2024, 12, 29),)], "date date")
+    out = by_key(C.shift_dates(d, "date", cal), "date")
+    assert out[(date(2024, 12, 23),)]["next_biz"] == date(2024, 12, 30)
+    assert out[(date(2024, 12, 30),)]["prev_biz"] == date(2024, 12, 23)
+    assert out[(date(2024, 12, 29),)]["prev_biz"] == date(2024, 12, 23)
+    assert out[(date(9999, 12, 24),)]["next_biz"] == date(9999, 12, 28)
 
 
 def test_clean_scores_casts_and_blank_dates(spark):
@@ -258,7 +334,9 @@ def test_run_summary_lists_failures(spark):
     reg = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "model_name string, model_id string")
     nested = spark.createDataFrame([("a",), ("a",)], "model_name string")
     r = S.run_summary(reg, nested).collect()[0]
-    assert (r.total_models, r.successful, r.failed, r.failed_models) == (3, 1, 2, "b, c")
+    assert (r.total_models, r.successful, r.failed) == (3, 1, 2)
+    status = S.model_status(reg, nested.selectExpr("model_name", "'' date", "'' day", "'' payoutPending", "'' atRisk"))
+    assert sorted(r.model_name for r in status.where("not ok").collect()) == ["b", "c"]
 
 
 def test_missing_csv_is_empty_with_schema(spark, tmp_path):

@@ -10,7 +10,7 @@ import tempfile
 
 import pytest
 
-from stakeperf.plans.eventlog import max_task_records
+from tests.eventlog import max_task_records
 
 APP = os.path.join(os.path.dirname(os.path.abspath(__file__)), "apps", "skew_app.py")
 SF = "/root/testdata/sf0.01"

@@ -3,7 +3,7 @@ derived from the test tables."""
 
 from pyspark.sql import functions as F
 
-from stakeperf.plans import inspect
+from tests import inspect_plans as inspect
 from stakeperf.operators import scores as S
 from stakeperf.session import scratch_path
 from stakeperf.sources import files as IO
@@ -21,7 +21,7 @@ def test_nested_json_source_roundtrip(spark, sf_small):
     path = scratch_path(spark, "nested-json")
     nested.write.mode("overwrite").json(path)
     back = IO.read_nested_scores(spark, path)
-    assert rows(S.flatten_scores(back)) == rows(S.flatten_scores(nested))
+    assert rows(S.flatten_scores(back).drop("rec_pos")) == rows(S.flatten_scores(nested).drop("rec_pos"))
 
 
 def test_scan_models_prunes_partitions(spark, sf_small):
@@ -43,8 +43,8 @@ def test_streaming_ingest_matches_batch(spark, sf_small):
     q = score_ingest_query(spark, src, sink, checkpoint=ckpt, max_files_per_trigger=2)
     q.awaitTermination(300)
     assert q.exception() is None
-    got = spark.read.parquet(sink).select(*S.filter_scores(S.flatten_scores(nested)).columns)
-    want = S.filter_scores(S.flatten_scores(IO.read_nested_scores(spark, src)))
+    want = S.filter_scores(S.flatten_scores(IO.read_nested_scores(spark, src))).drop("rec_pos")
+    got = spark.read.parquet(sink).select(*want.columns)
     assert rows(got) == rows(want)
     # a restart over the same folder and checkpoint adds nothing (exactly once)
     n = got.count()
