@@ -177,7 +177,9 @@ def repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_phr
     found = written(_matches(rows, width, phrase), "windows")
 
     window = ["win_a", "win_b"]
+    # written, so that both sides of the join are plain shuffles: a passage that a third of the documents share is split
     owner = found.groupBy(*window).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    owner = written(owner, "owners")
     gone = found.join(owner, window).where("doc_id > owner").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
     none = F.lit(None).cast("array<bigint>")
     both = copies.select("doc_id", F.lit(True).alias("whole"), none.alias("starts")).unionByName(gone.select("doc_id", F.lit(False).alias("whole"), "starts"))
