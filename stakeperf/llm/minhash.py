@@ -250,6 +250,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, bands: i
     key = ["n_shingles", "set_a", "set_b"]
     classes = written(scan.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
     reps = scan.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    reps = written(reps.select("doc_id", "n_shingles", "bands"), "representatives")
     buckets = reps.select("doc_id", F.explode("bands").alias("key"))
     lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     star = written(buckets.join(lead, "key").where("doc_id <> lead").select("lead", "doc_id").distinct(), "star")
