@@ -25,8 +25,7 @@ DEFAULT_CONF = {
     # No broadcast on planner *estimates* (an aggregate's estimate is not a
     # bound).  AQE still turns a join into a broadcast when the measured size
     # of a finished shuffle is small, and falls back to sort-merge otherwise;
-    # tables bounded by configuration (calendar, per-date prices) carry an
-    # explicit broadcast.
+    # only a calendar over a given window of days carries an explicit broadcast.
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
 }
