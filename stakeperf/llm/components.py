@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from stakeperf.llm.common import written
 
 
-def _state(edges: DataFrame):
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars already: no node has two smaller ids, or is both centre and leaf."""
+    roles = edges.selectExpr("hi node", "1 up", "0 down").unionAll(edges.selectExpr("lo node", "0 up", "1 down"))
+    nodes = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 or (up = 1 and down = 1)").count() == 0
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,11 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     and empty tables give no rows."""
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     edges = written(edges, "links")
-    state = _state(edges)
-    while state[0]:
+    while not _settled(edges):
         edges = written(_small_star(_large_star(edges)), "stars")
-        before, state = state, _state(edges)
-        if state == before:
-            break
     # a star forest: each node but the roots has one row
     return edges.selectExpr("hi node", "lo component").unionAll(edges.selectExpr("lo node", "lo component").distinct())
