@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, bands: i
     sizes = reps.selectExpr("doc_id", "n_shingles n")
     sized = star.join(sizes, "doc_id").join(sizes.selectExpr("doc_id lead", "n m"), "lead")
     pairs = sized.where(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)").selectExpr("lead a", "doc_id b")
+    pairs = written(pairs, "pairs")  # dealt anew by the next join, which can then split a leader's pairs
     ids = star.select("doc_id").unionAll(star.selectExpr("lead doc_id")).distinct()
     sets = written(_sets(docs, ids, k).dropDuplicates(["doc_id"]), "sets")
     found = components(written(_confirmed(pairs, sets, percent), "linked"))
