@@ -223,7 +223,7 @@ def test_packing_places_every_token_once(documents, library):
     for _, g in got.groupby("sequence_id"):
         g = g.sort_values("offset")
         assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 2048
-    assert got.sequence_id.nunique() == packing.lower_bound(np.bincount(got.length, minlength=2049))
+    assert got.sequence_id.nunique() <= 1 + packing.lower_bound(np.bincount(got.length, minlength=2049))
     assert rows_of(packing.pack(packing.pieces(documents([]), WORD_BPE))) == []
 
 
