@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, phrases, pii, topk, toxicity, urls
+from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, phrases, pii, quality, topk, toxicity, urls
 from stakeperf.llm.common import table
 
 #: Fixed values of the URL rules: (host, path, verdict).
@@ -58,7 +58,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op6_bloom_url_filter, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing)}
+def op13_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op6_bloom_url_filter, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing, op13_line_first_quality)}
 
 _URL_PARTS = """
 WITH cut AS (
@@ -105,4 +109,28 @@ reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, edge.b FR
 c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op13_line_first_quality": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+line AS (
+  SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, trim(lower(line), chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS low,
+         len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[!?]')) AS shouts, len(regexp_extract_all(line, '[|»›•·]')) AS separators
+  FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+judged AS (
+  SELECT r, line, n,
+         NOT regexp_matches(line, '[.!?…]["''”’»)\]]*([\x20\x09-\x0D]|$)') OR symbols >= n OR (shouts >= 2 AND 2 * shouts > n) OR separators >= 2
+         OR low IN ('home', 'menu', 'login', 'log in', 'sign in', 'sign up', 'next', 'previous', 'back to top', 'read more', 'skip to content', 'share', 'search', 'contact', 'about us')
+         OR regexp_matches(low, 'all rights reserved|licensed under|released under the|privacy policy|terms of service|terms of use|cookie policy|accept cookies|copyright ©|\(c\) copyright|enable javascript|subscribe to our|lorem ipsum') AS fails
+  FROM line WHERE n > 0),
+lines AS (SELECT r, count(*) - count(DISTINCT line) AS dup, count_if(fails) AS bad, coalesce(sum(n) FILTER (fails), 0) AS lost FROM judged GROUP BY r),
+windows AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i + 1], w[i + 2]) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+covered AS (SELECT r, count(DISTINCT i + j) AS n FROM windows, range(0, 3) x(j) WHERE k > 1 GROUP BY r),
+f AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(bad, 0) AS BIGINT) AS n_lines_removed, CAST(coalesce(lost, 0) AS BIGINT) AS n_words_removed
+  FROM d JOIN w USING (r) LEFT JOIN lines USING (r) LEFT JOIN covered c USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * n_words_removed <= 40 * n_words AS kept
+FROM f""",
 }

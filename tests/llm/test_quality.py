@@ -1,0 +1,65 @@
+"""Quality rules: base figures against brute force, the line rules, whole rows."""
+
+import re
+from collections import defaultdict
+
+import pytest
+
+from stakeperf.llm import quality
+from stakeperf.llm.queries import QUERIES
+from tests.llm.conftest import rows_of
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def figures(text):
+    text = text or ""
+    w = WORD.findall(text)
+    at = defaultdict(list)
+    for i in range(len(w) - 2):
+        at[tuple(w[i:i + 3])].append(i)
+    inside = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(3)}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside), failed
+
+
+GOOD = "The river runs past the old mill, and nobody knows how long it has done so."
+PLAIN = "\n".join(" ".join(f"{w}{k}" for w in "Every line here is a sentence with enough words to stay".split()) + "." for k in range(6))
+TEXTS = [None, "", " \n\t\n", "one", "a b", "a b c", "a a a a", "a b c a b c", GOOD, PLAIN, "\n".join([GOOD] * 9), "x y z " * 30,
+         "é ü\x00 日本 \x0b ß\x0c😀 " * 20 + ".", " ".join(str(k) for k in range(3000)) + " 5 6 7 8 5 6 7.", PLAIN + "\n| a | b |\nHome\nAll rights reserved by us.\n&& ** %%"]
+
+
+def test_figures_match_brute_force(documents):
+    rows = list(enumerate(TEXTS)) + [(3, "one"), (None, GOOD)]
+    got = rows_of(quality.judge(documents(rows)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))
+    assert got == sorted(((i, *figures(t)) for i, t in rows), key=repr)
+
+
+@pytest.mark.parametrize("line,fails", [
+    (GOOD, False), ("He said “yes.”", False), ("It ended here. idiot", False), ("no sentence ends here", True), ("WOW! NO! WAY! YES!", True), ("Really?", False),
+    ("a*** b%%% c### d&&&.", True), ("Home | News | Sport.", True), ("  Back to Top ", True), ("Released under the MIT License.", True), ("It cost 5$ or 6$ at the shop, they said.", False)])
+def test_line_rules(documents, line, fails):
+    row = quality.judge(documents([(1, PLAIN + "\n" + line)])).first()
+    assert (row.n_lines_removed, row.n_words_removed) == ((1, len(WORD.findall(line))) if fails else (0, 0))
+    assert row.kept
+
+
+def test_losing_too_much_rejects(documents):
+    junk = "\n".join(" | ".join(f"w{k}{j}" for j in range(9)) for k in range(9))
+    rows = {r.doc_id: r for r in quality.judge(documents([(1, PLAIN), (2, PLAIN + "\n" + junk), (3, junk)])).collect()}
+    assert rows[1].kept and not rows[1].base_failed
+    assert not rows[2].base_failed and not rows[2].kept and not rows[3].kept
+
+
+def test_clean_keeps_rows_and_columns(documents):
+    docs = documents([(1, PLAIN + "\nHome\n"), (2, PLAIN), (3, None), (4, "short")])
+    out = quality.clean(docs)
+    assert out.schema == docs.schema
+    assert rows_of(out.select("doc_id", "text", "n_chars")) == [(1, PLAIN + "\n", len(PLAIN) + 1), (2, PLAIN, len(PLAIN))]
+    assert rows_of(quality.judge(documents([]))) == [] == rows_of(quality.clean(documents([])))
+
+
+def test_no_python_and_no_shuffle(sp, sf_small):
+    plan = QUERIES["op13_line_first_quality"](sp, sf_small)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
