@@ -15,8 +15,8 @@ it also starts in a document with a smaller id.
 4. Stream: every document with recurring phrases runs through the automata of
    its phrases' shards (others can hold no recurring window), which locate every
    occurrence.  A shard that many documents need is split by document.
-5. The windows around the occurrences are compared by 128-bit hashes: a window
-   goes from every document but the smallest that holds it.
+5. The windows around the occurrences are compared by two 64-bit hashes, over
+   two word hashes that are independent from the bytes on: a window goes from every document but the smallest that holds it.
 
 Defined results: null text has no words; rows with a null id neither cause nor
 suffer removal; rows that repeat an id don't count as smaller than each other;
@@ -46,8 +46,8 @@ SCAN = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("seq_a", pa.
 FOUND = pa.schema([("win_a", pa.int64()), ("win_b", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 
 
-def _second(h: np.ndarray) -> np.ndarray:
-    return mix(h ^ U(BASES[1]))
+#: Seed of the second word hash, independent of the first from the bytes on.
+SECOND = 1
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -75,7 +75,7 @@ def _scan(docs: DataFrame, width: int, phrase: int) -> DataFrame:
                 first = np.cumsum(count) - count
                 place = (np.arange(len(h)) - first[doc] + 1).astype(np.uint64)
                 sums = []
-                for s, x in zip(BASES, (h, _second(h))):
+                for s, x in zip(BASES, (h, word_hash(t.data, start, length, SECOND))):
                     c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x + place * U(s)), dtype=np.uint64)])
                     sums.append((c[first + count] - c[first]).view(np.int64))
                 anchors = window_anchors(h, width, phrase)
@@ -141,7 +141,7 @@ def _matches(rows: DataFrame, width: int, phrase: int) -> DataFrame:
                     continue
                 h = word_hash(t.data, start, length)
                 w = np.flatnonzero(np.isin(window_anchors(h, width, phrase), np.fromiter(found, np.uint64, len(found))))
-                a, b = window_hash(h, width, BASES[0])[w], window_hash(_second(h), width, BASES[1])[w]
+                a, b = window_hash(h, width, BASES[0])[w], window_hash(word_hash(t.data, start, length, SECOND), width, BASES[1])[w]
                 out.append((a.view(np.int64), b.view(np.int64), np.full(len(w), doc.as_py()), w))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=FOUND)

@@ -55,22 +55,55 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = BLANKS
     return s, length, np.searchsorted(offsets, s, "right") - 1
 
 
-def word_hash(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, eight bytes at a time; equal bytes hash equal."""
+def word_hash(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each word, eight bytes at a time; equal bytes hash equal.
+
+    The first eight bytes are mixed before the length comes in, so words of
+    different lengths don't cancel out.  Hashes of different seeds are independent
+    from the bytes on."""
     eight = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
-    h = mix((eight[start] & _KEEP[np.minimum(length, 8)]) + length.astype(np.uint64) * _LEN)
+    first = U(seed * BASES[1] % 2**64)
+    h = mix(mix((eight[start] & _KEEP[np.minimum(length, 8)]) ^ first) + length.astype(np.uint64) * _LEN)
     rest = np.flatnonzero(length > 8)
     at = 8
     while len(rest) and at < _LONG:
         left = length[rest] - at
-        h[rest] = mix(h[rest] * U(BASES[0]) ^ (eight[start[rest] + at] & _KEEP[np.minimum(left, 8)]))
+        h[rest] = mix(h[rest] * U(BASES[0]) ^ mix((eight[start[rest] + at] & _KEEP[np.minimum(left, 8)]) + first))
         rest = rest[left > 8]
         at += 8
     for i in rest:  # words beyond 64 bytes
-        h[i] = U(xxhash.xxh3_64_intdigest(data[start[i]:start[i] + length[i]].tobytes()))
+        h[i] = U(xxhash.xxh3_64_intdigest(data[start[i]:start[i] + length[i]].tobytes(), seed))
     return h
 
 
+def same_bytes(data: np.ndarray, start: np.ndarray, other: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether ``length`` bytes of ``data`` from ``start`` equal those of ``other`` from ``at``."""
+    x = np.ndarray((len(data) - 7,), "<u8", data.data, strides=(1,))
+    y = np.ndarray((len(other) - 7,), "<u8", other.data, strides=(1,))
+    out = (x[start] ^ y[at]) & _KEEP[np.minimum(length, 8)] == 0
+    rest = np.flatnonzero(out & (length > 8))
+    done = 8
+    while len(rest):
+        left = length[rest] - done
+        good = (x[start[rest] + done] ^ y[at[rest] + done]) & _KEEP[np.minimum(left, 8)] == 0
+        out[rest[~good]] = False
+        rest = rest[good & (left > 8)]
+        done += 8
+    return out
+
+
+def word_ids(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word, first place of each number): equal numbers for equal
+    bytes only.  Words of equal hash are compared; a collision takes another seed."""
+    seed = 0
+    while True:
+        _, first, number = np.unique(word_hash(data, start, length, seed), return_index=True, return_inverse=True)
+        lead = first[number]
+        if (length == length[lead]).all() and same_bytes(data, start, data, start[lead], length).all():
+            return number, first
+        seed += 1
+
+
 def gram_hash(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` consecutive word hashes (len(h) - k + 1 of them)."""
     n = len(h) - k + 1

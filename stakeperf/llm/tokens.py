@@ -17,7 +17,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from stakeperf.llm.common import Texts
-from stakeperf.llm.spans import BLANKS, LOWER, ranges, word_hash, words
+from stakeperf.llm.spans import BLANKS, LOWER, ranges, same_bytes, word_hash, words
 
 #: Words cut as arrays: ASCII but for apostrophe and ``<``, and the letters of U+00C0 to U+00FF.
 _LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
@@ -125,10 +125,12 @@ class LibraryPieces:
 
 
 class PieceTable:
-    """Ids of all pieces of a batch, with a bounded cache keyed by piece hash."""
+    """Ids of all pieces of a batch, with a bounded cache.  Pieces are found by hash
+    and compared by their bytes; where two pieces share a hash, the table starts
+    anew with another seed."""
 
     def __init__(self, encode: Callable[[list[bytes], list[bool]], list[list[int]]], limit: int = 1_000_000):
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.seed = encode, limit, 0
         self._clear()
 
     def _clear(self) -> None:
@@ -136,22 +138,30 @@ class PieceTable:
         self.at = np.empty(0, np.int64)
         self.count = np.empty(0, np.int64)
         self.pool = np.empty(0, np.uint32)
+        self.begin = np.empty(0, np.int64)  # of a key's piece in ``bytes``
+        self.length = np.empty(0, np.int64)
+        self.bytes = np.zeros(8, np.uint8)
 
     def __call__(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets of each text's ids)."""
         data, start, length, doc = pieces(texts)
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(texts.n + 1, np.int64)
-        distinct, first, which = np.unique(word_hash(data, start, length), return_index=True, return_inverse=True)
-        row = self._rows(distinct, first, data, start, length)
-        count = self.count[row][which]
-        ids = self.pool[ranges(self.at[row][which], count)]
+        while True:
+            distinct, first, which = np.unique(word_hash(data, start, length, self.seed), return_index=True, return_inverse=True)
+            row = self._rows(distinct, first, data, start, length)[which]
+            if (self.length[row] == length).all() and same_bytes(data, start, self.bytes, self.begin[row], length).all():
+                break
+            self.seed += 1
+            self._clear()
+        count = self.count[row]
+        ids = self.pool[ranges(self.at[row], count)]
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])
         edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(doc, minlength=texts.n))])
         return ids, before[edges]
 
     def _rows(self, distinct, first, data, start, length) -> np.ndarray:
-        if len(self.keys) + len(distinct) > self.limit or len(self.pool) > 8 * self.limit:
+        if len(self.keys) + len(distinct) > self.limit or len(self.pool) > 8 * self.limit or len(self.bytes) > 32 * self.limit:
             self._clear()
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -168,6 +178,10 @@ class PieceTable:
             order = np.argsort(keys, kind="stable")
             self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(count) - count])[order]
             self.count = np.concatenate([self.count, count])[order]
+            size = length[spans]
+            self.begin = np.concatenate([self.begin, len(self.bytes) - 8 + np.cumsum(size) - size])[order]
+            self.length = np.concatenate([self.length, size])[order]
+            self.bytes = np.concatenate([self.bytes[:-8], np.frombuffer(b"".join(batch), np.uint8), np.zeros(8, np.uint8)])
             self.pool = np.concatenate([self.pool, flat])
             self.keys = keys[order]
             at = np.searchsorted(self.keys, distinct)
