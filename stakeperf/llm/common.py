@@ -37,11 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows as Parquet to the shared folder of
     ``spark.checkpoint.dir`` and read them back.  Survives lost executors and
-    lets later reads prune columns.  At most four files a core, so that many
-    near-empty partitions don't become as many files."""
+    lets later reads prune columns.  A file per task: scans have a task per split,
+    and adaptive execution merges small shuffle partitions by their bytes."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.coalesce(4 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,8 +2,9 @@
 
 Alternating large-star and small-star steps: each step replaces the links of a
 node by links to the smallest id around it, with one partial-aggregated minimum
-and one join.  The node of a hub's rows is a join key only, which adaptive
-execution splits; no task gathers a component.  Each round is written to the
+and one join.  The minimum is written first, so that both sides of the join are
+plain shuffles and adaptive execution can split a hub's rows; no task gathers a
+component.  Each round is written to the
 shared folder, so lineage stays short and a lost executor costs one round.
 """
 
@@ -25,11 +26,13 @@ def _settled(edges: DataFrame) -> bool:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.selectExpr("hi u", "lo v").unionAll(edges.selectExpr("lo u", "hi v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(least, "least")
     return both.where("v > u").join(least, "u").selectExpr("v hi", "m lo").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
+    least = written(least, "least")
     moved = edges.join(least, "hi").where("lo <> m").selectExpr("lo hi", "m lo")
     return moved.unionAll(least.selectExpr("hi", "m lo")).distinct()
 

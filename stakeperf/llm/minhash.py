@@ -27,7 +27,7 @@ Shingle sets are held as 64-bit hashes of word sequences, classes as 128 bits.
 Defined results: null text, empty text and text without words have no shingles
 and link with nothing; a text of fewer words than a shingle is one shingle;
 rows with a null id link with nothing and are kept; rows that repeat an id are
-one node; an empty table gives no rows; other columns are ignored.
+one node, which each of its texts links; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from stakeperf.llm.spans import BASES, LOWER, U, gram_hash, mix, word_hash, word
 
 WORDS, BANDS, ROWS = 5, 25, 5
 SCAN = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
-SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("set_a", pa.int64()), ("shingles", pa.binary())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Members of a block of a family.
 BLOCK = 256
@@ -129,21 +129,26 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(out + np.arange(bands, dtype=np.uint64) * U(BASES[0]))
 
 
+def set_hash(items: np.ndarray, edge: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of every set, whatever the order of its items."""
+    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items ^ U(seed)), dtype=np.uint64)])
+    return (s[edge[1:]] - s[edge[:-1]]).view(np.int64)
+
+
 def _scan(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, limit=SIGN_BYTES):
                 items, edge = shingles(Texts(part.column("text")), k)
                 keys = band_keys(superminhash(items, edge, bands * rows), bands, rows).view(np.int64)
-                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(items ^ U(s)), dtype=np.uint64)]) for s in BASES]
-                a, b = ((s[edge[1:]] - s[edge[:-1]]).view(np.int64) for s in sums)
+                a, b = (set_hash(items, edge, s) for s in BASES)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(edge)), pa.array(a), pa.array(b), pa.array(list(keys), pa.list_(pa.int64()))], schema=SCAN)
         yield empty(SCAN)
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, shingles) of the documents with these ids, and of a few others."""
+    """(doc_id, set_a, shingles) of the documents with these ids, and of a few others."""
     wanted = IdFilter(ids, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +156,10 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             batch = batch.filter(pa.array(wanted.has(batch.column("slot").to_numpy())))
             for part in chunks(batch):
                 items, edge = shingles(Texts(part.column("text")), k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([items[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], schema=SETS)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(set_hash(items, edge, BASES[0])), pa.array([items[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())], schema=SETS)
         yield empty(SETS)
     rows = docs.where("doc_id is not null").select("doc_id", wanted.slots("doc_id").alias("slot"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, shingles binary")
+    return rows.mapInArrow(run, "doc_id bigint, set_a bigint, shingles binary")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -220,7 +225,7 @@ def _family_links(families: DataFrame, found: DataFrame, bands: DataFrame, sets:
         concat(transform(sequence(0L, mains - 1), x -> named_struct('kind', 0L, 'p', part, 'q', x)),
                transform(sequence(0L, others - 1), x -> named_struct('kind', 1L, 'p', least(part, x), 'q', greatest(part, x)))),
         transform(sequence(0L, others - 1), x -> named_struct('kind', 0L, 'p', x, 'q', part)))""")
-    rows = rows.join(bands, "doc_id").join(sets, "doc_id").select("family", F.explode(jobs).alias("job"), "doc_id", "component", "outside", "part", "bands", "shingles")
+    rows = rows.join(bands, "doc_id").join(sets, ["doc_id", "set_a"]).select("family", F.explode(jobs).alias("job"), "doc_id", "component", "outside", "part", "bands", "shingles")
     rows = rows.select("family", "job.kind", "job.p", "job.q", "doc_id", "component", "outside", "part", "bands", "shingles")
     group = ["family", "kind", "p", "q"]
 
@@ -249,8 +254,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, bands: i
     scan = written(_scan(docs, k, bands, rows), "scan")
     key = ["n_shingles", "set_a", "set_b"]
     classes = written(scan.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scan.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps.select("doc_id", "n_shingles", "bands"), "representatives")
+    reps = scan.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id", *key])
+    reps = written(reps.select("doc_id", "n_shingles", "set_a", "bands"), "representatives")
+    member = written(scan.drop("bands").join(classes, key, "left").select("doc_id", "n_shingles", "rep"), "members")
+    # an id with several texts holds their classes together
+    several = member.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id")
+    same_id = member.join(several, "doc_id").where("rep <> doc_id").selectExpr("doc_id a", "rep b")
     buckets = reps.select("doc_id", F.explode("bands").alias("key"))
     lead = buckets.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     star = written(buckets.join(lead, "key").where("doc_id <> lead").select("lead", "doc_id").distinct(), "star")
@@ -258,19 +267,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, bands: i
     # J(x, y) <= min(|x|, |y|) / max(|x|, |y|)
     sizes = reps.selectExpr("doc_id", "n_shingles n")
     sized = star.join(sizes, "doc_id").join(sizes.selectExpr("doc_id lead", "n m"), "lead")
-    pairs = sized.where(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)").selectExpr("lead a", "doc_id b")
+    pairs = sized.where(f"100 * least(n, m) >= {int(percent)} * greatest(n, m)").selectExpr("lead a", "doc_id b").distinct()
     pairs = written(pairs, "pairs")  # dealt anew by the next join, which can then split a leader's pairs
     ids = star.select("doc_id").unionAll(star.selectExpr("lead doc_id")).distinct()
-    sets = written(_sets(docs, ids, k).dropDuplicates(["doc_id"]), "sets")
-    found = components(written(_confirmed(pairs, sets, percent), "linked"))
+    sets = written(_sets(docs, ids, k).dropDuplicates(["doc_id", "set_a"]), "sets")
+    found = components(written(_confirmed(pairs, sets, percent).unionAll(same_id), "linked"))
 
-    signs = reps.select("doc_id", "bands")
+    signs = reps.select("doc_id", "set_a", "bands")
     more = written(_family_links(components(star, "lead", "doc_id"), found, signs, sets, percent, block), "more")
     if not more.isEmpty():
         found = components(found.selectExpr("node a", "component b").unionAll(more))
 
-    member = scan.drop("bands").join(classes, key, "left").join(found.selectExpr("node rep", "component"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    member = member.withColumn("node", F.coalesce("rep", "doc_id")).join(found, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return member.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -19,8 +19,9 @@ it also starts in a document with a smaller id.
    two word hashes that are independent from the bytes on: a window goes from every document but the smallest that holds it.
 
 Defined results: null text has no words; rows with a null id neither cause nor
-suffer removal; rows that repeat an id don't count as smaller than each other;
-shorter texts than a window stay whole; an empty table gives no rows; other
+suffer removal; rows that repeat an id don't count as smaller than each other, and
+each loses what its own text repeats (a row is known by its id and a hash of its
+text); shorter texts than a window stay whole; an empty table gives no rows; other
 columns are carried along by ``deduplicated`` and ignored elsewhere.
 """
 
@@ -42,8 +43,11 @@ WIDTH, PHRASE = 50, 16
 #: Phrases in one automaton, and documents that run through one copy of it.
 SHARD_PHRASES, SHARD_DOCUMENTS = 4000, 4000
 
-SCAN = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("seq_a", pa.int64()), ("seq_b", pa.int64()), ("anchors", pa.list_(pa.int64()))])
-FOUND = pa.schema([("win_a", pa.int64()), ("win_b", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
+#: Tells apart the texts of rows that repeat an id.
+BODY = "xxhash64(text)"
+
+SCAN = pa.schema([("doc_id", pa.int64()), ("body", pa.int64()), ("n_words", pa.int64()), ("seq_a", pa.int64()), ("seq_b", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+FOUND = pa.schema([("win_a", pa.int64()), ("win_b", pa.int64()), ("doc_id", pa.int64()), ("body", pa.int64()), ("start", pa.int64())])
 
 
 #: Seed of the second word hash, independent of the first from the bytes on.
@@ -86,9 +90,9 @@ def _scan(docs: DataFrame, width: int, phrase: int) -> DataFrame:
                 at, owner = at[new].view(np.int64), owner[new]
                 edge = np.searchsorted(owner, np.arange(t.n + 1))
                 lists = [np.unique(at[a:b]) for a, b in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count.astype(np.int64)), *map(pa.array, sums), pa.array(lists, pa.list_(pa.int64()))], schema=SCAN)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), pa.array(count.astype(np.int64)), *map(pa.array, sums), pa.array(lists, pa.list_(pa.int64()))], schema=SCAN)
         yield empty(SCAN)
-    return docs.mapInArrow(run, "doc_id bigint, n_words bigint, seq_a bigint, seq_b bigint, anchors array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, body bigint, n_words bigint, seq_a bigint, seq_b bigint, anchors array<bigint>")
 
 
 class Automaton:
@@ -128,7 +132,7 @@ def _matches(rows: DataFrame, width: int, phrase: int) -> DataFrame:
         here, machine = None, None
         for batch in batches:
             out = []
-            for shard, salt, kind, doc, text, hashes in zip(*(batch.column(n) for n in ("shard", "salt", "kind", "doc_id", "text", "phrases"))):
+            for shard, salt, kind, doc, body, text, hashes in zip(*(batch.column(n) for n in ("shard", "salt", "kind", "doc_id", "body", "text", "phrases"))):
                 if here != (at := (shard.as_py(), salt.as_py())):
                     here, machine = at, Automaton(phrase)
                 if kind.as_py() == 0:
@@ -142,37 +146,38 @@ def _matches(rows: DataFrame, width: int, phrase: int) -> DataFrame:
                 h = word_hash(t.data, start, length)
                 w = np.flatnonzero(np.isin(window_anchors(h, width, phrase), np.fromiter(found, np.uint64, len(found))))
                 a, b = window_hash(h, width, BASES[0])[w], window_hash(word_hash(t.data, start, length, SECOND), width, BASES[1])[w]
-                out.append((a.view(np.int64), b.view(np.int64), np.full(len(w), doc.as_py()), w))
+                out.append((a.view(np.int64), b.view(np.int64), np.full(len(w), doc.as_py()), np.full(len(w), body.as_py()), w))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=FOUND)
         yield empty(FOUND)
-    return rows.mapInArrow(run, "win_a bigint, win_b bigint, doc_id bigint, start bigint")
+    return rows.mapInArrow(run, "win_a bigint, win_b bigint, doc_id bigint, body bigint, start bigint")
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_phrases: int = SHARD_PHRASES, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
-    """(doc_id, whole, starts) of the documents that lose words: all of a copy's
-    words, or the words of the windows that start at ``starts``."""
-    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").where("doc_id is not null")
+    """(doc_id, body, whole, starts) of the texts that lose words: all of a copy's
+    words, or the words of the windows that start at ``starts``; ``body`` as ``BODY``."""
+    row = ["doc_id", "body"]
+    docs = docs.selectExpr("cast(doc_id as bigint) doc_id", f"{BODY} body", "text").where("doc_id is not null")
     scan = written(_scan(docs, width, phrase).where(F.col("n_words") >= width), "scan")
     key = ["n_words", "seq_a", "seq_b"]
     classes = written(scan.groupBy(*key).agg(F.min("doc_id").alias("rep")), "classes")
-    copies = scan.drop("anchors").join(classes, key).where("doc_id > rep").select("doc_id").distinct()
+    copies = scan.drop("anchors").join(classes, key).where("doc_id > rep").select(*row).distinct()
     reps = scan.join(classes.withColumnRenamed("rep", "doc_id"), [*key, "doc_id"], "left_semi")
 
-    anchors = reps.select("doc_id", F.explode("anchors").alias("h")).distinct()
+    anchors = reps.select(*row, F.explode("anchors").alias("h")).distinct()
     shared = anchors.groupBy("h").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     hits = written(anchors.join(shared, "h"), "hits")
     shards = max(1, -(-hits.where("doc_id = source").count() // shard_phrases))
-    routes = hits.withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(shards))).groupBy("doc_id", "shard").agg(F.collect_list(F.when(F.col("source") == F.col("doc_id"), F.col("h"))).alias("phrases"))
+    routes = hits.withColumn("shard", F.pmod(F.xxhash64("source"), F.lit(shards))).groupBy(*row, "shard").agg(F.collect_list(F.when(F.col("source") == F.col("doc_id"), F.col("h"))).alias("phrases"))
     routes = written(routes, "routes")
     split = routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_documents).alias("salts"))
-    by_doc = routes.join(split, "shard").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "salts", "phrases")).alias("routes"))
+    by_doc = routes.join(split, "shard").groupBy(*row).agg(F.collect_list(F.struct("shard", "salts", "phrases")).alias("routes"))
 
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("r.salts"))
+    mine = F.pmod(F.xxhash64(*row), F.col("r.salts"))
     every = F.when(F.size("r.phrases") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("r.salts") - 1), lambda s: F.struct(s.alias("salt"), F.lit(0).alias("kind"))))
     jobs = F.concat(F.coalesce(every, F.array().cast("array<struct<salt:bigint,kind:int>>")), F.array(F.struct(mine.alias("salt"), F.lit(1).alias("kind"))))
-    rows = docs.join(by_doc, "doc_id").select("doc_id", "text", F.explode("routes").alias("r")).select("doc_id", "text", "r", F.explode(jobs).alias("job"))
-    rows = rows.select(F.col("r.shard").alias("shard"), "job.salt", "job.kind", "doc_id", "text", F.when(F.col("job.kind") == 0, F.col("r.phrases")).alias("phrases"))
+    rows = docs.join(by_doc, row).select(*row, "text", F.explode("routes").alias("r")).select(*row, "text", "r", F.explode(jobs).alias("job"))
+    rows = rows.select(F.col("r.shard").alias("shard"), "job.salt", "job.kind", *row, "text", F.when(F.col("job.kind") == 0, F.col("r.phrases")).alias("phrases"))
     rows = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind", "doc_id")
     found = written(_matches(rows, width, phrase), "windows")
 
@@ -180,10 +185,10 @@ def repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_phr
     # written, so that both sides of the join are plain shuffles: a passage that a third of the documents share is split
     owner = found.groupBy(*window).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     owner = written(owner, "owners")
-    gone = found.join(owner, window).where("doc_id > owner").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    gone = found.join(owner, window).where("doc_id > owner").groupBy(*row).agg(F.collect_set("start").alias("starts"))
     none = F.lit(None).cast("array<bigint>")
-    both = copies.select("doc_id", F.lit(True).alias("whole"), none.alias("starts")).unionByName(gone.select("doc_id", F.lit(False).alias("whole"), "starts"))
-    return both.groupBy("doc_id").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("starts")).alias("starts"))
+    both = copies.select(*row, F.lit(True).alias("whole"), none.alias("starts")).unionByName(gone.select(*row, F.lit(False).alias("whole"), "starts"))
+    return both.groupBy(*row).agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _apply(batch: pa.RecordBatch, width: int, marks: tuple[str, str]):
@@ -213,9 +218,9 @@ def _apply(batch: pa.RecordBatch, width: int, marks: tuple[str, str]):
 
 def _with_repeats(docs: DataFrame, width: int, **options) -> tuple[DataFrame, tuple[str, str]]:
     """The rows with what they lose, and the names of the two columns that say so."""
-    key, whole, starts = (fresh(docs.columns, n) for n in ("repeat_id", "whole", "starts"))
-    marks = repeats(docs, width, **options).toDF(key, whole, starts)
-    return docs.join(marks, F.col("doc_id") == F.col(key), "left").drop(key), (whole, starts)
+    key, body, whole, starts = (fresh(docs.columns, n) for n in ("repeat_id", "repeat_body", "whole", "starts"))
+    marks = repeats(docs, width, **options).toDF(key, body, whole, starts)
+    return docs.join(marks, (F.col("doc_id") == F.col(key)) & (F.expr(BODY) == F.col(body)), "left").drop(key, body), (whole, starts)
 
 
 def digests(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:

@@ -258,6 +258,35 @@ def test_lower_bound_never_exceeds_the_optimum():
     assert packing.lower_bound(np.zeros(11, np.int64)) == 0
 
 
+# ---- one id on different texts ----------------------------------------------
+
+def test_removal_judges_each_text_of_an_id(documents):
+    rnd = random.Random(8)
+    fresh = lambda n: [f"v{rnd.randrange(10**9)}" for _ in range(n)]
+    p, x, y = fresh(60), fresh(40), fresh(200)
+    for rows in ([(1, p), (3, x + p), (3, y)], [(1, p), (3, p), (3, y)], [(3, p), (3, x + p), (4, p + x)]):
+        rows = [(i, " ".join(w)) for i, w in rows]
+        want = sorted(((i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in removal(rows, 50)), key=repr)
+        assert rows_of(phrases.digests(documents(rows))) == want
+    assert rows_of(phrases.deduplicated(documents([(1, " ".join(p)), (3, " ".join(p)), (3, " ".join(y))])).select("doc_id", "text")) == sorted([(1, " ".join(p)), (3, ""), (3, " ".join(y))], key=repr)
+
+
+def test_near_duplicates_link_each_text_of_an_id(documents):
+    rnd = random.Random(8)
+    base = {k: [f"{k}{rnd.randrange(10**9)}" for _ in range(100)] for k in "ABC"}
+    text = lambda k, changed=0: " ".join(base[k][:100 - changed] + [f"z{rnd.randrange(10**9)}" for _ in range(changed)])
+    for rows in ([(3, text("A")), (3, text("B")), (4, text("A", 2)), (5, text("B", 2))],
+                 [(3, text("A")), (7, text("A")), (7, text("C")), (9, text("C", 1)), (9, None), (11, text("B"))]):
+        assert rows_of(minhash.near_duplicates(documents(rows))) == near_groups(rows, 85)
+
+
+def test_near_duplicates_of_very_long_texts(documents):
+    rnd = random.Random(1)
+    w = [f"w{rnd.randrange(10**9)}" for _ in range(60000)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:-900])), (3, "short text only"), (4, " ".join(w[30000:]))]
+    assert rows_of(minhash.near_duplicates(documents(rows))) == near_groups(rows, 85)
+
+
 # ---- words whose bytes and length once cancelled out ------------------------
 
 #: Pairs of words that an earlier, linear hash mixed up.
