@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, phrases, pii, quality, topk, toxicity, urls
+from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, periodic, phrases, pii, quality, topk, toxicity, urls
 from stakeperf.llm.common import table
 
 #: Fixed values of the URL rules: (host, path, verdict).
@@ -58,11 +61,27 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
+def looped_places(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Of one document in ten (by the crc32 of its id) the words from place a on are
+    taken from the p words there, over and over; a null id changes nothing."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op12_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(table(spark, sf_dir, "documents", "doc_id", "text"), looped_places)
+
+
 def op13_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op6_bloom_url_filter, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing, op13_line_first_quality)}
+QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op6_bloom_url_filter, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing, op12_grammar_runs, op13_line_first_quality)}
 
 _URL_PARTS = """
 WITH cut AS (
