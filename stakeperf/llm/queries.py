@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stakeperf.llm import bpe, crosspoly, langid, minhash, packing, periodic, phrases, pii, quality, topk, toxicity, urls
+from stakeperf.llm import bpe, conversations, crosspoly, langid, minhash, packing, periodic, phrases, pii, quality, topk, toxicity, urls
 from stakeperf.llm.common import table
 
 #: Fixed values of the URL rules: (host, path, verdict).
@@ -61,6 +61,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
+def op11_branch_and_bound_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")))
+
+
 def looped_places(doc_id: int | None, n: int) -> np.ndarray | None:
     """Of one document in ten (by the crc32 of its id) the words from place a on are
     taken from the p words there, over and over; a null id changes nothing."""
@@ -81,7 +85,7 @@ def op13_line_first_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op6_bloom_url_filter, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing, op12_grammar_runs, op13_line_first_quality)}
+QUERIES = {f.__name__: f for f in (op1_cross_parsing, op2_cross_polytope, op3_phrase_automata, op4_classifier_chain, op5_forced_boundary_bpe, op6_bloom_url_filter, op7_semi_markov_pii, op8_uniform_threshold, op9_superminhash, op10_best_fit_packing, op11_branch_and_bound_repair, op12_grammar_runs, op13_line_first_quality)}
 
 _URL_PARTS = """
 WITH cut AS (
