@@ -62,7 +62,7 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 
-#: State after a row of this initial; None: not allowed.
+#: More than any cost, and the state after a row of this initial in a state that allows it.
 _FAR = 1 << 60
 _NEXT = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
 
