@@ -399,8 +399,10 @@ ORACLE_SQL: dict[str, str] = {
       SELECT model_name, roundNumber, seq, displayName, date, nullif(day, '') AS day, payoutPending, atRisk
       FROM fx_scores""",
     "scan_model_files": _with("fx_scores") + """
-      SELECT model_name, roundNumber, displayName, date, nullif(day, '') AS day, payoutPending, atRisk FROM fx_scores""",
-    "staked_daily_files": _with("ts") + "SELECT " + _r([c for c in TS_COLS if c != "seq"], TS_D) + " FROM ts",
+      SELECT model_name, roundNumber, CASE WHEN NOT regexp_matches(model_name, '[369]$') THEN displayName END AS displayName,
+             date, nullif(day, '') AS day, payoutPending, atRisk FROM fx_scores""",
+    "staked_daily_files": _with("ts") + "SELECT " + _r([c for c in TS_COLS if c not in ("seq", "displayName")], TS_D)
+        + ", CASE WHEN NOT regexp_matches(model_name, '[369]$') THEN displayName END AS displayName FROM ts",
     "read_responses": _with("flat") + "SELECT " + _r(SCORE_COLS, SCORE_D) + """,
              dense_rank() OVER (PARTITION BY model_name ORDER BY roundNumber DESC) - 1 AS rec_pos FROM flat""",
     "model_status": _with("registry", "fx_scores") + """

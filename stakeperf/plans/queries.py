@@ -81,17 +81,23 @@ def q_scan_models(spark, sf):
     return IO.scan_models(spark, root).select(*CLEAN_COLS)
 
 
-def mixed_score_files(spark, sf) -> str:
-    """Fixture F1 as the source's files: one per model, rows in file order
-    without ``seq``; half of the models with prefixed columns in another order."""
+#: Models whose files lack ``displayName`` in ``mixed_score_files``.
+UNNAMED = "[369]$"
+
+
+def mixed_score_files(spark, sf, rows: DataFrame) -> str:
+    """Rows of fixture F1 as the source's files: one per model, rows in file order
+    without ``seq``.  Of the models a third have no ``displayName`` column, and half of
+    the rest prefixed columns in another order."""
     root = scratch_path(spark, "mixed")
-    rows = FX.fx_scores(spark, sf).repartition("model_name").sortWithinPartitions("model_name", "seq")
+    rows = rows.repartition("model_name").sortWithinPartitions("model_name", "seq")
     plain = ["roundNumber", "displayName", "date", "day", "payoutPending", "atRisk"]
-    odd = F.crc32("model_name") % 2 == 1
-    rows.where(~odd).select("model_name", *plain).write.partitionBy("model_name").option("header", True).csv(root)
+    unnamed, odd = F.col("model_name").rlike(UNNAMED), F.crc32("model_name") % 2 == 1
     prefixed = ["atRisk", "payoutPending", "day", "displayName", "date", "roundNumber"]
     names = [F.col(c).alias(c if c in ("atRisk", "roundNumber") else S.SCORE_PREFIX + c) for c in prefixed]
-    rows.where(odd).select("model_name", *names).write.mode("append").partitionBy("model_name").option("header", True).csv(root)
+    layouts = [(~unnamed & ~odd, plain), (~unnamed & odd, names), (unnamed, [c for c in plain if c != "displayName"])]
+    for which, columns in layouts:
+        rows.where(which).select("model_name", *columns).write.mode("append").partitionBy("model_name").option("header", True).csv(root)
     return root
 
 
@@ -100,12 +106,14 @@ FILE_COLS = [c for c in CLEAN_COLS if c != "seq"]
 
 def q_scan_model_files(spark, sf):
     """Each file by its own header."""
-    return IO.scan_models(spark, mixed_score_files(spark, sf)).select(*FILE_COLS)
+    return IO.scan_models(spark, mixed_score_files(spark, sf, FX.fx_scores(spark, sf))).select(*FILE_COLS)
 
 
 def q_staked_daily_files(spark, sf):
-    """The per-round rows over those files; ties break by the rows' order in their file."""
-    run = StakingRun(IO.scan_models(spark, mixed_score_files(spark, sf)), FX.fx_token_prices(spark, sf), STAKING)
+    """The per-round rows over files of filtered scores, as the source writes them; the
+    staking half asks for no ``displayName``, and ties break by the rows' order in their file."""
+    root = mixed_score_files(spark, sf, S.filter_scores(FX.fx_scores(spark, sf)))
+    run = StakingRun(IO.scan_models(spark, root), FX.fx_token_prices(spark, sf), STAKING, prefiltered=True)
     return _out(run.ts, [c for c in TS_COLS if c != "seq"], RAW_CLEAN)
 
 

@@ -6,16 +6,20 @@
   ``model_name`` (no loop over models);
 * the stored nested responses as a schema-on-read JSON scan;
 * sinks: per-model partitioned output and a persist step that reports
-  failure instead of raising.
+  failure instead of raising.  Both write beside the output and switch to the
+  new rows when these are complete, so a failed write leaves the old rows.
 """
 
 from __future__ import annotations
 
 import csv
 import logging
+import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,16 +32,19 @@ log = logging.getLogger(__name__)
 
 
 @contextmanager
-def _partition_type_inference(spark: SparkSession, enabled: bool):
-    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, str(enabled).lower())
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def _partition_type_inference(spark: SparkSession, enabled: bool):
+    return _setting(spark, "spark.sql.sources.partitionColumnTypeInference.enabled", str(enabled).lower())
+
+
 def _as_struct(spark: SparkSession, schema: StructType | str) -> StructType:
     if isinstance(schema, StructType):
         return schema
@@ -83,21 +90,28 @@ def read_investment_data(spark: SparkSession, datadir: str, investments_file: st
             read_csv_typed(spark, f"{base}/{fixedincome_file}", fixedincome_schema))
 
 
-#: Names that a score file's header line holds, with or without prefix, and no data line does.
-HEADER_MARKS = ("displayName", "payoutPending")
+def _first_line(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first line with any text of a task, which then stops reading."""
+    for batch in batches:
+        for i, line in enumerate(batch.column("header").to_pylist()):
+            if line.strip():
+                yield batch.slice(i, 1)
+                return
 
 
-def _headers(spark: SparkSession, path: str, marks: tuple[str, ...]) -> dict[str, list[str]]:
-    """The files under a path by their header line: one scan of the lines; the
-    driver gets a path per file, which its file index holds anyway."""
+def _headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files under a path by their header line, whatever it says.
+
+    The executors look at the beginning of each file only: a task has one split
+    (opening a file is made to cost as much as a full one) and stops after its first
+    batch of lines.  The driver gets a path per file, which its file index holds anyway."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
-    head = F.lit(True)
-    for m in marks:
-        head = head & F.col("value").contains(m)
-    found = lines.where(head).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("value").alias("header"))
+    probe = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("header"))
     groups: dict[str, list[str]] = {}
-    for r in found.collect():
-        groups.setdefault(r["header"], []).append(r["file"])
+    with _setting(spark, "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")), \
+            _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "64"):
+        for r in probe.mapInArrow(_first_line, probe.schema).where("at = 0").collect():
+            groups.setdefault(r["header"], []).append(r["file"])
     return groups
 
 
@@ -115,10 +129,11 @@ def _file_order() -> Column:
 def _by_own_header(spark: SparkSession, path: str, schema: StructType, null_value: str | None,
                    base: str | None, model: Column) -> DataFrame:
     """Score files, each read by its own header: files with equal headers are
-    one scan.  A nested-column prefix is stripped from the names before the
+    one scan, so every file is read once; a column that a file lacks is NULL there.
+    A nested-column prefix is stripped from the names before the
     columns are matched; without a ``seq`` column the order in the file is ``seq``."""
     out = spark.createDataFrame([], StructType([StructField("model_name", StringType()), *schema.fields]))
-    for header, files in sorted(_headers(spark, path, HEADER_MARKS).items()):
+    for header, files in sorted(_headers(spark, path).items()):
         raw = next(csv.reader([header]))
         names = [c.replace(SCORE_PREFIX, "", 1) if c.startswith(SCORE_PREFIX) else c for c in raw]
         reader = spark.read.option("header", True).schema(StructType([StructField(f"c{k}", StringType()) for k in range(len(names))]))
@@ -183,30 +198,95 @@ def response_records(docs: DataFrame) -> DataFrame:
         "model_name", F.col("rec_pos").cast("bigint").alias("rec_pos"), *[F.col("_r")[f.name].alias(f.name) for f in schemas.RESPONSE_RECORD.fields])
 
 
-#: A model's rows are written by this many tasks, dealt by round.
-FILES_PER_MODEL = 8
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and its path type."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _beside(path: str, mark: str) -> str:
+    """A hidden name next to ``path``: readers of the folder above don't see it."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/.{name}.{mark}"
+
 
+def _recover(spark: SparkSession, path: str) -> None:
+    """Put back the old rows if a switch was cut off between its two renames."""
+    fs, at = _file_system(spark, path)
+    if not fs.exists(at(path)):
+        for kept in fs.globStatus(at(_beside(path, "old-*"))) or []:
+            fs.rename(kept.getPath(), at(path))
+            return
 
-def write_per_model(df: DataFrame, root: str, fmt: str = "csv", model: str = "model_name") -> None:
-    """One directory per model (created as needed), at most ``FILES_PER_MODEL``
-    files in each (more only beyond ten million rows a file): rows are dealt by
-    model and round first, so that not every task writes to every directory.
-    ``overwrite`` replaces the whole output, so a retried job never leaves a
-    mix of attempts."""
-    keys = [F.col(model)]
-    if "roundNumber" in df.columns:
-        keys.append(F.pmod(F.xxhash64("roundNumber"), F.lit(FILES_PER_MODEL)))
-    writer = df.repartition(*keys).write.mode("overwrite").partitionBy(model).option("maxRecordsPerFile", 10_000_000)
-    if fmt == "csv":
-        writer.option("header", True).csv(root)
+
+def _switch(spark: SparkSession, staged: str, path: str) -> None:
+    """``staged`` becomes ``path``; the old rows go only once the new ones are in place."""
+    fs, at = _file_system(spark, path)
+    old = _beside(path, f"old-{uuid.uuid4().hex[:12]}")
+    had = fs.exists(at(path))
+    if had and not fs.rename(at(path), at(old)):
+        raise OSError(f"cannot move {path} aside")
+    done = False
+    try:
+        done = fs.rename(at(staged), at(path))
+    finally:
+        if not done and had:
+            fs.rename(at(old), at(path))
+    if not done:
+        raise OSError(f"cannot move {staged} to {path}")
+    if had:
+        fs.delete(at(old), True)
+
+
+@contextmanager
+def _staged(spark: SparkSession, path: str):
+    """A folder beside ``path`` to write to; it takes the place of ``path`` at the end,
+    or goes if the write fails."""
+    path = path.rstrip("/")
+    _recover(spark, path)
+    fs, at = _file_system(spark, path)
+    staged = _beside(path, f"new-{uuid.uuid4().hex[:12]}")
+    try:
+        yield staged
+        _switch(spark, staged, path)
+    finally:
+        if fs.exists(at(staged)):
+            fs.delete(at(staged), True)
+
+
+def write_per_model(df: DataFrame, root: str, fmt: str = "csv", model: str = "model_name", only_models: bool = False) -> None:
+    """One directory per model (created as needed), with files by size: rows are
+    rebalanced by model, so adaptive execution gives a large model several tasks of
+    about ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` each and small models
+    share one, and no task writes to every directory.
+
+    The whole output is replaced, or with ``only_models`` the directories of the
+    models in ``df`` alone.  Either way the old rows stay until the new ones are
+    complete, and a retried job never leaves a mix of attempts."""
+    spark = df.sparkSession
+
+    def write(path: str) -> None:
+        writer = df.hint("rebalance", model).write.partitionBy(model).option("maxRecordsPerFile", 10_000_000)
+        if fmt == "csv":
+            writer = writer.option("header", True)
+        if only_models:
+            writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.format(fmt).save(path)
+
+    if only_models:
+        _recover(spark, root)
+        write(root)
     else:
-        writer.format(fmt).save(root)
+        with _staged(spark, root) as staged:
+            write(staged)
 
 
 def persist(df: DataFrame, path: str, description: str = "", fmt: str = "parquet") -> bool:
-    """Write ``df``; log and return False on failure instead of raising."""
+    """Write ``df``; log and return False on failure instead of raising, with the
+    old rows still in place."""
     try:
-        df.write.mode("overwrite").format(fmt).save(path)
+        with _staged(df.sparkSession, path) as staged:
+            df.write.format(fmt).save(staged)
         log.info("Saved %s to %s", description, path)
         return True
     except Exception as exc:  # noqa: BLE001 - the sink reports, the caller decides
