@@ -1,8 +1,8 @@
 """Asset prices, returns, the zero grid and running asset balances.
 
 Prices are kept long, ``(date, asset, price)``; wide frames appear only at
-the edge (``to_wide``).  Every per-asset window is partitioned by ``asset``:
-a task holds one asset's series, i.e. one row per date.
+the edge (``to_wide``).  No task holds an asset's whole series: the lag works on
+months, the running balance on blocks of dates.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stakeperf.config import ASSET_CONFIG, AssetSpec, active_assets
 from stakeperf.functions.columns import as_number, safe_div, strip_suffix
+from stakeperf.operators.windows import affine_scan, blocked_lag
 
 
 def asset_prices(prices: DataFrame, start: date, end: date,
@@ -43,10 +44,12 @@ def drop_empty_series(prices: DataFrame) -> DataFrame:
 
 def asset_returns(prices: DataFrame) -> DataFrame:
     """Simple daily return per asset, ``price / previous price - 1``;
-    missing -> 0 (first date, unpriced dates and the date after one)."""
-    w = Window.partitionBy("asset").orderBy("date")
-    ret = safe_div(F.col("price"), F.lag("price").over(w)) - F.lit(1.0)
-    return prices.select("date", "asset", F.coalesce(ret, F.lit(0.0)).alias("ret"))
+    missing -> 0 (first date, unpriced dates and the date after one).  The lag is
+    blocked by month."""
+    x = prices.select("date", "asset", "price", (F.year("date") * 12 + F.month("date")).alias("_month"), F.unix_date("date").cast("bigint").alias("_day"))
+    x = blocked_lag(x, ["asset"], "_month", "_day", ["price"], 1 << 16)
+    ret = safe_div(F.col("price"), F.col("_prev_price")) - F.lit(1.0)
+    return x.select("date", "asset", F.coalesce(ret, F.lit(0.0)).alias("ret"))
 
 
 def asset_values(prices: DataFrame, config: Sequence[AssetSpec] = ASSET_CONFIG) -> DataFrame:
@@ -60,25 +63,15 @@ def asset_values(prices: DataFrame, config: Sequence[AssetSpec] = ASSET_CONFIG)
 
 
 def asset_balances(returns: DataFrame, flows: DataFrame) -> DataFrame:
-    """Running balance per asset: ``B_t = B_{t-1} * (1 + r_t) + inv_t``,
-    ``B_0 = 0``.
-
-    A linear recurrence written as native windows.  With growth factor
-    ``f = 1 + r`` and ``G_t`` its running product, ``B_t = G_t * sum(inv / G)``.
-    A return of -1 wipes the balance out (``f = 0``); it starts a new segment
-    in which ``f`` is taken as 1, so ``G`` never reaches 0.  Within a segment
-    ``G`` telescopes to a ratio of prices, so it neither overflows nor
-    underflows.  ``flows`` is ``(date, asset, inv)``; missing flows are 0.
-    """
-    x = (returns.join(flows, ["date", "asset"], "left")
-         .withColumn("inv", F.coalesce(F.col("inv"), F.lit(0.0))))
-    upto = Window.partitionBy("asset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    wipe = (F.col("ret") == -1.0)
-    x = x.withColumn("_seg", F.sum(wipe.cast("int")).over(upto))
-    seg = Window.partitionBy("asset", "_seg").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    f = F.when(wipe, F.lit(1.0)).otherwise(F.lit(1.0) + F.col("ret"))
-    x = x.withColumn("_g", F.product(f).over(seg))
-    return x.select("date", "asset", (F.col("_g") * F.sum(F.col("inv") / F.col("_g")).over(seg)).alias("balance"))
+    """Running balance per asset: ``B_t = B_{t-1} * (1 + r_t) + inv_t``, ``B_0 = 0``.
+
+    A day is the affine map ``B -> (1 + r) B + inv``; ``affine_scan`` composes the
+    maps by blocks of dates, so no task holds a series, nothing is divided by a running
+    product, and a return of -1 simply wipes the balance out.  ``flows`` is
+    ``(date, asset, inv)``; missing flows are 0."""
+    x = returns.join(flows, ["date", "asset"], "left")
+    maps = x.select("asset", F.unix_date("date").alias("place"), (F.lit(1.0) + F.col("ret")).alias("a"), F.coalesce(F.col("inv"), F.lit(0.0)).alias("b"))
+    return affine_scan(maps, ["asset"]).select(F.date_from_unix_date(F.col("place").cast("int")).alias("date"), "asset", F.col("after").alias("balance"))
 
 
 def to_wide(long: DataFrame, names: Sequence[str], value: str, key: str = "asset",

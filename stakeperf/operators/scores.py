@@ -146,9 +146,10 @@ def clean_scores(flat: DataFrame) -> DataFrame:
 
 
 def run_summary(registry: DataFrame, nested: DataFrame, model: str = "model_name") -> DataFrame:
-    """One row: models expected, models with score records, and failures.  A
-    model fails when no record arrived for it; failures do not stop the others
-    (they are rows of the same job).  ``model_status`` names them, one a row."""
+    """One row: models expected, models with score records, failures, and the names of
+    the failed ones in order, comma-joined (empty if none failed).  A model fails when no
+    record arrived for it; failures do not stop the others (they are rows of the same
+    job).  The registry is configuration, so its failed names fit one cell."""
     seen = nested.select(model).distinct().withColumn("_ok", F.lit(True))
     status = (registry.select(model).distinct().join(seen, model, "left")
               .withColumn("_ok", F.coalesce("_ok", F.lit(False))))
@@ -156,23 +157,37 @@ def run_summary(registry: DataFrame, nested: DataFrame, model: str = "model_name
         F.count(F.lit(1)).alias("total_models"),
         F.coalesce(F.sum(F.col("_ok").cast("bigint")), F.lit(0)).alias("successful"),
         F.coalesce(F.sum((~F.col("_ok")).cast("bigint")), F.lit(0)).alias("failed"),
+        F.array_join(F.sort_array(F.collect_list(F.when(~F.col("_ok"), F.col(model)))), ", ").alias("failed_names"),
     )
 
 
+#: Cells that are read as dates or numbers.
+PARSED = ("date", "day", "payoutPending", "atRisk")
+
+
+def _rejected(c: str) -> Column:
+    """Whether a cell holds text that is no date, or no number."""
+    text = blank_to_null(F.col(c).cast("string"))
+    parsed = date_of_text(F.col(c).cast("string")) if c == "date" else as_number(c)
+    return text.isNotNull() & parsed.isNull()
+
+
+def rejected_cells(flat: DataFrame, model: str = "model_name", keys: Sequence[str] = ("roundNumber", "seq")) -> DataFrame:
+    """The rejected cells themselves, one row each: (model, keys, column, cell).  The row
+    stays in the run and the cell counts as missing there."""
+    cells = F.array(*[F.when(_rejected(c), F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("cell"))) for c in PARSED if c in flat.columns])
+    bad = F.filter(cells, lambda x: x.isNotNull())
+    return flat.select(model, *keys, F.explode(bad).alias("_c")).select(model, *keys, "_c.column", "_c.cell")
+
+
 def model_status(registry: DataFrame, flat: DataFrame, model: str = "model_name") -> DataFrame:
     """One row per registered model: whether rows arrived, how many, and how
     many of them have date text that is no date, or text in ``day``,
     ``payoutPending`` or ``atRisk`` that is no number.  Such rows stay in the
-    run; the bad cell counts as missing."""
-    def rejects(c: str, parsed) -> Column:
-        text = blank_to_null(F.col(c).cast("string"))
-        bad = text.isNotNull() & parsed(c).isNull()
-        return F.coalesce(F.sum(bad.cast("bigint")), F.lit(0)).alias(f"bad_{c}")
-
+    run; the bad cell counts as missing (``rejected_cells`` lists them)."""
     counts = flat.groupBy(model).agg(
         F.count(F.lit(1)).alias("n_rows"),
-        rejects("date", lambda c: date_of_text(F.col(c).cast("string"))),
-        *[rejects(c, as_number) for c in ("day", "payoutPending", "atRisk")])
+        *[F.coalesce(F.sum(_rejected(c).cast("bigint")), F.lit(0)).alias(f"bad_{c}") for c in PARSED])
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts.columns if c != model]
     return (registry.select(model).distinct().join(counts, model, "left")
             .select(model, F.col("n_rows").isNotNull().alias("ok"), *zero))

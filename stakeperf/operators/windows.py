@@ -1,7 +1,7 @@
 """Scalable ordered scans.
 
 A running total (or a lag) over one long ordered series cannot be a single
-window: the whole series would land in one task.  Both helpers here cut the
+window: the whole series would land in one task.  The helpers here cut the
 order into blocks that are monotone in it:
 
 * ``prefix_sum`` totals each block with a partial aggregate, turns the
@@ -10,6 +10,9 @@ order into blocks that are monotone in it:
 * ``blocked_lag`` lags inside each block and hands each block the last
   values of the previous one through a window over the block ends.
 
+* ``affine_scan`` solves ``x = a x' + b`` along an order: maps of a block are
+  composed to one map, blocks of blocks likewise, and the values flow back down.
+
 Every task then holds at most one block, whatever the key skew; the joins
 that bring block results back are sort-merge joins on the block key, which
 the big side is already partitioned and sorted by.
@@ -95,3 +98,41 @@ def blocked_lag(df: DataFrame, keys: Sequence[str], major: str, seq: str, values
         x = x.withColumn(f"_prev_{v}", F.when(first_in_block, F.col("_prev")[v]).otherwise(F.col(f"_lag_{v}")))
     x = x.withColumn("_first", first_in_block & F.col("_prev").isNull())
     return x.drop(*kcols, "_mn", "_mv", "_sb", "_i", "_prev", *[f"_lag_{v}" for v in values])
+
+
+#: Places of a block, and of a block of blocks.
+SCAN_SIZES = (64, 4096)
+
+
+def affine_scan(maps: DataFrame, keys: Sequence[str], sizes: Sequence[int] = SCAN_SIZES) -> DataFrame:
+    """(keys, place, before, after) of the recurrence ``after = a * before + b``, with
+    ``before`` 0 at the first row and the last ``after`` elsewhere, for rows (keys, place,
+    a, b) within non-null ``keys`` in the order of the integer ``place``.
+
+    Affine maps compose to affine maps, and composing is associative: the rows of a block
+    (``place div sizes[0]``) are folded to their prefixes, the blocks' maps are scanned in
+    the same way with the other sizes, and each block starts from what came before it.
+    A task holds the rows of one block, or one row per block of the largest size; nothing
+    is divided, so a factor of 0 needs no care."""
+    size, rest = (sizes[0], sizes[1:]) if sizes else (None, ())
+    block = F.floor(F.col("place") / size) if size else F.lit(0)
+    row = F.struct(F.col("place").cast("bigint").alias("place"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
+    rows = maps.select(*keys, block.cast("bigint").alias("_blk"), row.alias("_r")).groupBy(*keys, "_blk").agg(F.sort_array(F.collect_list("_r")).alias("_rows"))
+    none = F.array().cast("array<struct<place:bigint,ea:double,eb:double,a:double,b:double>>")
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), none.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        mine = F.struct(x.place.alias("place"), acc.a.alias("ea"), acc.b.alias("eb"), x.a.alias("a"), x.b.alias("b"))
+        return F.struct((acc.a * x.a).alias("a"), (acc.b * x.a + x.b).alias("b"), F.concat(acc.out, F.array(mine)).alias("out"))
+
+    blocks = rows.select(*keys, "_blk", F.aggregate("_rows", start, step).alias("_s"))
+    if size:
+        sizes_left = [s // size for s in rest]
+        sums = affine_scan(blocks.select(*keys, F.col("_blk").alias("place"), F.col("_s.a").alias("a"), F.col("_s.b").alias("b")), keys, sizes_left)
+        begin = sums.select(*keys, F.col("place").alias("_blk"), F.col("before").alias("_from"))
+        blocks = blocks.join(begin.hint("merge"), [*keys, "_blk"], "inner")
+    else:
+        blocks = blocks.withColumn("_from", F.lit(0.0))
+    each = blocks.select(*keys, "_from", F.explode("_s.out").alias("_r"))
+    before = F.col("_r.ea") * F.col("_from") + F.col("_r.eb")
+    return each.select(*keys, F.col("_r.place").alias("place"), before.alias("before"), (F.col("_r.a") * before + F.col("_r.b")).alias("after"))

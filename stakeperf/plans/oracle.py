@@ -411,6 +411,10 @@ ORACLE_SQL: dict[str, str] = {
              count(CASE WHEN trim(s.day) <> '' AND try_cast(s.day AS DOUBLE) IS NULL THEN 1 END) AS bad_day,
              0::BIGINT AS "bad_payoutPending", 0::BIGINT AS "bad_atRisk"
       FROM registry r LEFT JOIN fx_scores s USING (model_name) GROUP BY r.model_name""",
+    "rejected_cells": _with("fx_scores") + """
+      SELECT model_name, roundNumber, seq, 'date' AS "column", date AS cell FROM fx_scores WHERE trim(date) <> '' AND try_cast(substr(date, 1, 10) AS DATE) IS NULL
+      UNION ALL
+      SELECT model_name, roundNumber, seq, 'day', day FROM fx_scores WHERE trim(day) <> '' AND try_cast(day AS DOUBLE) IS NULL""",
     "cumulative_default_columns": _with("cum_missing") + """
       SELECT model_name, date, CAST(0 AS DOUBLE) AS totalpayout, """ + R("cumstake") + """ AS cumstake, CAST(0 AS DOUBLE) AS walletestimate,
              CAST(0 AS DOUBLE) AS "NMRwtret", CAST(0 AS DOUBLE) AS totalpayoutdailychg, CAST(0 AS DOUBLE) AS cumbalance,
@@ -448,7 +452,8 @@ ORACLE_SQL: dict[str, str] = {
       SELECT s.model_name, r.model_id FROM scored_models s LEFT JOIN registry r USING (model_name)""",
     "run_summary": _with("registry", "scored_models") + """
       SELECT count(*) AS total_models, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS successful,
-             CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed
+             CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed,
+             coalesce(string_agg(CASE WHEN NOT ok THEN model_name END, ', ' ORDER BY model_name), '') AS failed_names
       FROM (SELECT r.model_name, s.model_name IS NOT NULL AS ok
             FROM registry r LEFT JOIN scored_models s USING (model_name))""",
     "clean_scores": _with("scores") + "SELECT " + _r(CLEAN_COLS, set()) + " FROM scores",

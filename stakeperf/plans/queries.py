@@ -241,6 +241,11 @@ def q_model_status(spark, sf):
     return S.model_status(FX.fx_models(spark, sf), FX.fx_scores(spark, sf))
 
 
+def q_rejected_cells(spark, sf):
+    """The cells that ``model_status`` counts."""
+    return S.rejected_cells(FX.fx_scores(spark, sf))
+
+
 def q_clean_scores(spark, sf):
     return _out(staking(spark, sf).scores, CLEAN_COLS, RAW_CLEAN)
 
@@ -345,6 +350,7 @@ QUERIES: dict[str, Query] = {
     "staked_daily_files": q_staked_daily_files,
     "read_responses": q_read_responses,
     "model_status": q_model_status,
+    "rejected_cells": q_rejected_cells,
     "cumulative_default_columns": q_cumulative_default_columns,
     "asset_prices": q_asset_prices,
     "drop_empty_series": q_drop_empty_series,

@@ -334,7 +334,7 @@ def test_run_summary_lists_failures(spark):
     reg = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "model_name string, model_id string")
     nested = spark.createDataFrame([("a",), ("a",)], "model_name string")
     r = S.run_summary(reg, nested).collect()[0]
-    assert (r.total_models, r.successful, r.failed) == (3, 1, 2)
+    assert (r.total_models, r.successful, r.failed, r.failed_names) == (3, 1, 2, "b, c")
     status = S.model_status(reg, nested.selectExpr("model_name", "'' date", "'' day", "'' payoutPending", "'' atRisk"))
     assert sorted(r.model_name for r in status.where("not ok").collect()) == ["b", "c"]
 
