@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stakeperf.config import LedgerConfig
 from stakeperf.operators import scores as S
-from stakeperf.operators.calendar import holiday_shifts
+from stakeperf.operators.calendar import BusinessDays
 from stakeperf.plans.runs import LedgerRun, StakingRun
 from stakeperf.session import build_session
 from stakeperf.sources import files as IO
@@ -53,7 +53,7 @@ def staking(spark: SparkSession, a: argparse.Namespace) -> None:
     calendar = None
     if a.holidays:
         # business days = weekdays minus the listed holidays
-        calendar = holiday_shifts(IO.read_csv_typed(spark, a.holidays, "date date", fail_if_missing=True))
+        calendar = BusinessDays.from_table(IO.read_csv_typed(spark, a.holidays, "date date", fail_if_missing=True))
     default = LedgerConfig()
     cfg = LedgerConfig(start=date.fromisoformat(a.start) if a.start else default.start,
                        end=date.fromisoformat(a.end) if a.end else date.max)

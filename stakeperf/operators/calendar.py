@@ -1,11 +1,13 @@
 """Business-day calendars.
 
-Three forms of "add n business days":
+Four forms of "add n business days":
 
 * weekends only -- closed-form Column arithmetic
   (``stakeperf.functions.calendar``), no join at all;
 * with holidays -- ``holiday_shifts``: the closed form, and a row for each
   holiday that leads past it; no calendar window, so any date can be shifted;
+* with holidays and any n -- ``BusinessDays``: the sorted holidays as a literal
+  array, looked up by binary search; no join, no shuffle;
 * over a given window of days -- a ``calendar`` table ``(date, is_biz, next_biz, prev_biz)``
   built once for a bounded date window and broadcast.  Its size is the number
   of days in the window, checked before it is built, so the broadcast is
@@ -15,9 +17,11 @@ Three forms of "add n business days":
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stakeperf.functions.calendar import is_weekend, next_weekday, prev_weekday
@@ -65,9 +69,71 @@ def holiday_shifts(holidays: DataFrame) -> DataFrame:
     return days.join(ends, "_run").select("holiday", "next_biz", "prev_biz")
 
 
-def add_bizdays(df: DataFrame, column: str, n: int, out: str, calendar: DataFrame | None = None) -> DataFrame:
-    """``out`` = ``column`` shifted by ``n`` (= +1 or -1) business days;
-    ``calendar``: from ``holiday_shifts`` or ``build_calendar``."""
+_MONDAY = date(1970, 1, 5)
+
+
+@dataclass(frozen=True)
+class BusinessDays:
+    """Weekdays without holidays, as a rank and select index.
+
+    Weekdays are numbered from a Monday on.  ``holidays`` holds the numbers of the
+    holidays among them, sorted.  A day's rank is the number of weekdays up to it less
+    that of holidays up to it; the day of a given rank is found from the ranks at
+    which the holidays lie.  Both are counts in a sorted literal array, a binary search
+    of log2(holidays) steps a row.  Any date of the range of dates can be shifted."""
+
+    holidays: tuple[int, ...] = ()
+
+    @classmethod
+    def of(cls, days: Iterable[date]) -> BusinessDays:
+        numbers = set()
+        for d in days:
+            if d is not None and (since := (d - _MONDAY).days) % 7 < 5:
+                numbers.add(since // 7 * 5 + since % 7)
+        return cls(tuple(sorted(numbers)))
+
+    @classmethod
+    def from_table(cls, holidays: DataFrame) -> BusinessDays:
+        """From a table with a ``date`` column.  Holidays are configuration: the dates
+        come to the driver, and a table beyond ``MAX_CALENDAR_DAYS`` is refused."""
+        rows = holidays.select(F.col("date").cast("date").alias("date")).distinct().limit(MAX_CALENDAR_DAYS + 1).collect()
+        if len(rows) > MAX_CALENDAR_DAYS:
+            raise ValueError(f"more than {MAX_CALENDAR_DAYS} holidays")
+        return cls.of(r["date"] for r in rows)
+
+    @staticmethod
+    def _up_to(numbers: list[int], x: Column) -> Column:
+        """How many of the sorted numbers are at most ``x``."""
+        if not numbers:
+            return F.lit(0)
+        array = F.array(*[F.lit(k) for k in numbers])
+        steps = [1 << k for k in reversed(range(len(numbers).bit_length()))]
+
+        def step(n: Column, s: Column) -> Column:
+            return F.when((n + s <= len(numbers)) & (F.get(array, n + s - 1) <= x), n + s).otherwise(n)
+
+        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+
+    def shift(self, column: Column | str, n: int) -> Column:
+        """The n-th business day after the date, or for negative n before it."""
+        if n == 0:
+            raise ValueError("a shift by no days is not defined")
+        d = F.col(column) if isinstance(column, str) else column
+        since = F.datediff(d, F.lit(_MONDAY))
+        weeks, day = F.floor(since / 7).cast("int"), F.pmod(since, F.lit(7))
+        # the last weekday up to the date, or before it
+        last = weeks * 5 + (F.least(day, F.lit(4)) if n > 0 else F.least(day, F.lit(5)) - 1)
+        rank = last + 1 - self._up_to(list(self.holidays), last) + (n if n > 0 else n + 1)
+        number = rank - 1 + self._up_to([h - i for i, h in enumerate(self.holidays)], rank - 1)
+        days = F.floor(number / 5).cast("int") * 7 + F.pmod(number, F.lit(5))
+        return F.date_add(F.lit(_MONDAY), days)
+
+
+def add_bizdays(df: DataFrame, column: str, n: int, out: str, calendar: DataFrame | BusinessDays | None = None) -> DataFrame:
+    """``out`` = ``column`` shifted by ``n`` business days; ``calendar``: ``BusinessDays``
+    (any n), or for n = +1 or -1 a table from ``holiday_shifts`` or ``build_calendar``."""
+    if isinstance(calendar, BusinessDays):
+        return df.withColumn(out, calendar.shift(column, n))
     if n not in (1, -1):
         raise ValueError("only one-day shifts are supported")
     if calendar is None:

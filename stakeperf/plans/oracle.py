@@ -444,6 +444,10 @@ ORACLE_SQL: dict[str, str] = {
     "filter_scores_parity": _with("flat") + "SELECT " + _r(SCORE_COLS, SCORE_D) + """
       FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY roundNumber DESC, seq NULLS FIRST) AS i FROM flat)
       WHERE displayName = CASE WHEN i % 2 = 1 THEN 'mmc' ELSE 'fnc_v4' END""",
+    "filter_scores_documents": _with("flat") + "SELECT " + _r(SCORE_COLS, SCORE_D) + """, rec_pos
+      FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY roundNumber DESC, seq NULLS FIRST) AS i,
+                   dense_rank() OVER (PARTITION BY model_name ORDER BY roundNumber DESC) - 1 AS rec_pos FROM flat)
+      WHERE displayName = CASE WHEN i % 2 = 1 THEN 'mmc' ELSE 'fnc_v4' END""",
     "stringify_scores": _with("flat") + f"""
       SELECT model_name, roundNumber, atRisk, seq, {_score_text}
       FROM flat WHERE displayName IN ('mmc', 'fnc_v4')""",
@@ -468,6 +472,13 @@ ORACLE_SQL: dict[str, str] = {
              (SELECT min(c.date) FROM cal c WHERE c.date > e.date AND c.is_biz) AS next_biz,
              (SELECT max(c.date) FROM cal c WHERE c.date < e.date AND c.is_biz) AS prev_biz
       FROM cal_days e""",
+    "bizday_offsets": """
+      WITH e AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events),
+      days AS (SELECT CAST(unnest(generate_series(min(date) - INTERVAL 200 DAY, max(date) + INTERVAL 200 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM e),
+      biz AS (SELECT day, row_number() OVER (ORDER BY day) AS k FROM days WHERE isodow(day) < 6 AND day NOT IN (DATE '2024-01-01', DATE '2024-01-15')),
+      r AS (SELECT date, (SELECT max(k) FROM biz WHERE day <= date) AS upto, (SELECT max(k) FROM biz WHERE day < date) AS under FROM e)
+      SELECT r.date, a.day AS back_21, b.day AS back_2, c.day AS on_5, d.day AS on_64
+      FROM r JOIN biz a ON a.k = under - 20 JOIN biz b ON b.k = under - 1 JOIN biz c ON c.k = upto + 5 JOIN biz d ON d.k = upto + 64""",
     "bizday_by_date": _with("bizbd") + "SELECT " + _r(BD_COLS, ALLD) + " FROM bizbd",
     "bizday_ts": _with("bts") + "SELECT " + _r(TS_COLS, TS_D) + " FROM bts",
     "allmodels": _with("allm") + "SELECT " + _r(PORT_COLS, ALLD) + " FROM allm",

@@ -117,15 +117,19 @@ def q_staked_daily_files(spark, sf):
     return _out(run.ts, [c for c in TS_COLS if c != "seq"], RAW_CLEAN)
 
 
-def q_read_responses(spark, sf):
-    """Stored response documents, one per model: fixture F2 written as JSON and
-    read back with each record's position in its document."""
+def response_documents(spark, sf) -> str:
+    """Fixture F2 as stored response documents, one per model."""
     root = scratch_path(spark, "responses")
     record = F.struct("rec_pos", "roundNumber", "atRisk", S.SCORES)
     docs = FX.fx_nested(spark, sf).groupBy("model_name").agg(F.transform(F.array_sort(F.collect_list(record)), lambda r: r.dropFields("rec_pos")).alias("r"))
     docs.select(F.struct(F.col("r").alias("v2RoundModelPerformances")).alias("data"), F.concat(F.col("model_name"), F.lit(".json")).alias("document")
                 ).write.partitionBy("document").json(root)
-    return _out(S.flatten_scores(IO.read_responses(spark, root)), [*SCORE_COLS, "rec_pos"], RAW_SCORE)
+    return root
+
+
+def q_read_responses(spark, sf):
+    """Stored response documents, read back with each record's position in its document."""
+    return _out(S.flatten_scores(IO.read_responses(spark, response_documents(spark, sf))), [*SCORE_COLS, "rec_pos"], RAW_SCORE)
 
 
 def q_asset_prices(spark, sf):
@@ -221,6 +225,13 @@ def stringify_stage(spark, sf):
     return S.stringify_scores(S.filter_scores(S.flatten_scores(FX.fx_nested(spark, sf))))
 
 
+def q_filter_scores_documents(spark, sf):
+    """The positional filter over response documents that come whole: the row index is
+    the place in the document, so there is no window and one scan."""
+    root = response_documents(spark, sf)
+    return _out(S.filter_scores_parity(IO.read_response_scores(spark, root)), [*SCORE_COLS, "rec_pos"], RAW_SCORE)
+
+
 def q_stringify_scores(spark, sf):
     return _out(stringify_stage(spark, sf), SCORE_COLS, RAW_SCORE)
 
@@ -269,7 +280,14 @@ def q_bizday_shift(spark, sf):
 
 def q_bizday_shift_holidays(spark, sf):
     dates = FX.table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct()
-    return C.shift_dates(dates, "date", C.holiday_shifts(FX.fx_holidays(spark))).select("date", "is_weekend", "next_biz", "prev_biz")
+    return C.shift_dates(dates, "date", C.BusinessDays.from_table(FX.fx_holidays(spark))).select("date", "is_weekend", "next_biz", "prev_biz")
+
+
+def q_bizday_offsets(spark, sf):
+    """Every event date moved by several business days at once, past weekends and holidays."""
+    days = C.BusinessDays.from_table(FX.fx_holidays(spark))
+    dates = FX.table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct()
+    return dates.select("date", *[days.shift("date", n).alias(name) for n, name in ((-21, "back_21"), (-2, "back_2"), (5, "on_5"), (64, "on_64"))])
 
 
 def q_bizday_by_date(spark, sf):
@@ -366,6 +384,7 @@ QUERIES: dict[str, Query] = {
     "null_scores_default": q_null_scores_default,
     "filter_scores": q_filter_scores,
     "filter_scores_parity": q_filter_scores_parity,
+    "filter_scores_documents": q_filter_scores_documents,
     "stringify_scores": q_stringify_scores,
     "round_numbers": q_round_numbers,
     "model_ids": q_model_ids,
@@ -376,6 +395,7 @@ QUERIES: dict[str, Query] = {
     "weekend_flags": q_weekend_flags,
     "bizday_shift": q_bizday_shift,
     "bizday_shift_holidays": q_bizday_shift_holidays,
+    "bizday_offsets": q_bizday_offsets,
     "bizday_by_date": q_bizday_by_date,
     "bizday_ts": q_bizday_ts,
     "allmodels": q_allmodels,

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from stakeperf import schemas
-from stakeperf.operators.scores import SCORE_PREFIX
+from stakeperf.operators.scores import SCORE_PREFIX, document_scores
 
 log = logging.getLogger(__name__)
 
@@ -175,13 +175,31 @@ def read_nested_scores(spark: SparkSession, path: str, schema: StructType = sche
     return spark.read.schema(schema).json(path).withColumn("rec_pos", _file_order())
 
 
+def _documents(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+    return reader.option("pathGlobFilter", "*.json").json(folder)
+
+
 def read_responses(spark: SparkSession, folder: str, schema: StructType = schemas.RESPONSE) -> DataFrame:
     """Stored response documents, one JSON document per model named
     ``<model>.json``: one scan of the folder, the round records exploded
     out of ``data.v2RoundModelPerformances`` and the model taken from the
     file name.  Gives the nested records ``flatten_scores`` expects."""
-    reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
-    return response_records(reader.option("pathGlobFilter", "*.json").json(folder))
+    return response_records(_documents(spark, folder, schema))
+
+
+def read_response_scores(spark: SparkSession, folder: str, schema: StructType = schemas.RESPONSE) -> DataFrame:
+    """Flat score rows of response documents, with ``rec_pos`` and each row's place in
+    its document (``row_index``, from 1): a document is one row of the scan, so its
+    scores are numbered where they lie."""
+    docs = _documents(spark, folder, schema)
+    return document_scores(docs.select(_document_model().alias("model_name"), F.col("data.v2RoundModelPerformances").alias("records")))
+
+
+def _document_model() -> Column:
+    folder = F.regexp_extract(_decoded("_metadata.file_path"), r"/document=([^/]*)\.json/[^/]*$", 1)
+    name = F.regexp_extract(_decoded("_metadata.file_name"), r"^(.*)\.json$", 1)
+    return F.when(folder != "", folder).otherwise(name)
 
 
 def response_records(docs: DataFrame) -> DataFrame:
@@ -189,10 +207,7 @@ def response_records(docs: DataFrame) -> DataFrame:
     or streaming), with their position in the document (``rec_pos``); the model
     is the document's file name without ``.json``, or that of a Spark output
     folder named ``document=<model>.json``."""
-    folder = F.regexp_extract(_decoded("_metadata.file_path"), r"/document=([^/]*)\.json/[^/]*$", 1)
-    name = F.regexp_extract(_decoded("_metadata.file_name"), r"^(.*)\.json$", 1)
-    model = F.when(folder != "", folder).otherwise(name)
-    records = docs.select(model.alias("model_name"),
+    records = docs.select(_document_model().alias("model_name"),
                           F.posexplode_outer("data.v2RoundModelPerformances").alias("rec_pos", "_r"))
     return records.where(F.col("_r").isNotNull()).select(
         "model_name", F.col("rec_pos").cast("bigint").alias("rec_pos"), *[F.col("_r")[f.name].alias(f.name) for f in schemas.RESPONSE_RECORD.fields])

@@ -9,7 +9,7 @@ from stakeperf.plans import queries as QP
 from tests.compare import digest
 
 QUERIES = dict(QP.QUERIES)
-WRITERS = {"scan_models", "sink_roundtrip_scores", "sink_roundtrip_cash"}
+WRITERS = {"filter_scores_documents", "scan_models", "sink_roundtrip_scores", "sink_roundtrip_cash"}
 
 
 def plan_text(df) -> str:
@@ -63,9 +63,8 @@ def test_ledger_range_reaches_every_scan(spark, sf_small):
 # Single-partition exchanges are allowed only over bounded data:
 #   cash_balance            the month totals of the blocked prefix sum
 #   table_profile, run_summary   global aggregates (partial aggregation first)
-#   bizday_shift_holidays   the calendar window and its two-value range
 #   nmr_prices and its users   the token's per-date price series
-SINGLE_PARTITION_OK = {"cash_balance", "table_profile", "run_summary", "bizday_shift_holidays", "nmr_prices",
+SINGLE_PARTITION_OK = {"cash_balance", "table_profile", "run_summary", "nmr_prices",
                        "allmodels_currency", "cumulative_by_model", "cumulative_missing_ts",
                        "cumulative_allmodels", "cumulative_all", "nmr_ledger"}
 
