@@ -219,7 +219,8 @@ def _family_links(families: DataFrame, found: DataFrame, bands: DataFrame, sets:
     size = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = size.groupBy("family").agg(F.max(F.struct("n", F.col("component"))).alias("main"), F.sum("n").alias("n")).where("n > main.n")
     mixed = mixed.selectExpr("family", "main.component main", f"cast(ceil(main.n / {block}) as bigint) mains", f"cast(ceil((n - main.n) / {block}) as bigint) others")
-    rows = members.join(mixed, "family").withColumn("outside", F.expr("component <> main"))
+    # written, so that the join has plain sides and the rows of a large family can be split
+    rows = members.join(written(mixed, "mixed"), "family").withColumn("outside", F.expr("component <> main"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.when(F.col("outside"), F.col("others")).otherwise(F.col("mains"))))
     jobs = F.expr("""if(outside,
         concat(transform(sequence(0L, mains - 1), x -> named_struct('kind', 0L, 'p', part, 'q', x)),
