@@ -15,15 +15,12 @@ from pyspark.sql import functions as F
 
 from stakeperf.functions.columns import date_of_text, safe_div
 from stakeperf.operators.calendar import redate
-from stakeperf.operators.windows import blocked_lag
+from stakeperf.operators.windows import ranged_lag
 
 M, RN = "model_name", "roundNumber"
 
 
-SEQ_BLOCK = 1 << 16
-
-
-def staked_daily(scores: DataFrame, seq_block: int = SEQ_BLOCK) -> DataFrame:
+def staked_daily(scores: DataFrame, seq_block: int | None = None) -> DataFrame:
     """Per-round metrics over cleaned score rows.
 
     returns        = payoutPending / atRisk
@@ -34,12 +31,12 @@ def staked_daily(scores: DataFrame, seq_block: int = SEQ_BLOCK) -> DataFrame:
                      missing -> 0
 
     Order inside a (model, round): ``day`` (NULL last), then ``seq``.  The
-    lag is blocked (``blocked_lag``), so even a round holding a large share
-    of all rows is spread over tasks of at most ``seq_block`` rows.
+    lag runs over ranges of rows (``ranged_lag``), so even a round holding a large
+    share of all rows is spread over tasks, of about ``seq_block`` rows if given.
     """
     p = F.col("payoutPending")
     x = scores.withColumn("returns", safe_div(p, F.col("atRisk")))
-    x = blocked_lag(x, [M, RN], "day", "seq", ["payoutPending", "returns"], seq_block)
+    x = ranged_lag(x, [M, RN], [F.col("day").isNull(), F.col("day"), F.col("seq")], ["payoutPending", "returns"], seq_block)
     first = F.col("_first")
     return (x.withColumn("dailypayout",
                          F.coalesce(F.when(first, p).otherwise(p - F.col("_prev_payoutPending")), F.lit(0.0)))

@@ -8,7 +8,9 @@ order into blocks that are monotone in it:
   (small) block totals into offsets with a window over blocks, and adds a
   window inside each block;
 * ``blocked_lag`` lags inside each block and hands each block the last
-  values of the previous one through a window over the block ends.
+  values of the previous one through a window over the block ends;
+* ``ranged_lag`` does so over blocks of about equal size, cut by range over all
+  keys at once, and reads its input once.
 
 * ``affine_scan`` solves ``x = a x' + b`` along an order: maps of a block are
   composed to one map, blocks of blocks likewise, and the values flow back down.
@@ -25,6 +27,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stakeperf.session import materialize
+
 
 def prefix_sum(df: DataFrame, value: Column, keys: Sequence[str], order: Sequence[Column],
                block: Column, out: str, inclusive: bool = True) -> DataFrame:
@@ -100,6 +104,45 @@ def blocked_lag(df: DataFrame, keys: Sequence[str], major: str, seq: str, values
     return x.drop(*kcols, "_mn", "_mv", "_sb", "_i", "_prev", *[f"_lag_{v}" for v in values])
 
 
+def ranged_lag(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Sequence[str],
+               block_size: int | None = None) -> DataFrame:
+    """``blocked_lag`` over blocks of about equal size: adds ``_prev_<v>`` and ``_first``.
+
+    Rows are dealt by range of (``keys``, ``order``; NULLs first) and written once to the
+    shared folder with the number of their range, so the input is read once and its
+    blocks stay what they are if a task is run again.  A block may hold many keys, a key
+    many blocks; ``block_size`` asks for about so many rows in a block (default: what the
+    session's shuffle partitions, merged by size, hold).  Only the first key of a block
+    can go on from an earlier one, and then it is the last key of every block it left:
+    each block's first key asks, its last row gives, and a window per key over these two
+    rows a block answers.
+    """
+    places = {f"_o{i}": c for i, c in enumerate(order)}
+    by = [*keys, *places]
+    ranges = [F.col(c).asc_nulls_first() for c in by]
+    x = df.withColumns(places)
+    if block_size is not None:
+        dealt = x.repartitionByRange(max(1, -(-df.count() // block_size)), *ranges)
+    else:
+        dealt = x.repartitionByRange(*ranges)
+    x = materialize(dealt.withColumn("_blk", F.spark_partition_id())).withColumn("_key", F.struct(*keys))
+    end = F.max_by(F.struct("_key", F.struct(*values).alias("vals")), F.struct(*by))
+    ends = x.groupBy("_blk").agg(F.min("_key").alias("_from"), end.alias("_end"))
+    asks = F.struct(F.lit(0).alias("gives"), F.col("_from").alias("key"), F.lit(None).cast(ends.schema["_end"].dataType["vals"].dataType).alias("vals"))
+    gives = F.struct(F.lit(1).alias("gives"), F.col("_end._key").alias("key"), F.col("_end.vals").alias("vals"))
+    met = ends.select("_blk", F.inline(F.array(asks, gives)))
+    earlier = Window.partitionBy("key").orderBy("_blk", "gives").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (met.withColumn("_prev", F.last("vals", ignorenulls=True).over(earlier))
+               .where("gives = 0").select("_blk", "_prev"))
+    w = Window.partitionBy("_blk").orderBy(*ranges)
+    x = x.withColumn("_before", F.lag("_key").over(w)).withColumns({f"_lag_{v}": F.lag(v).over(w) for v in values})
+    x = x.join(carried.hint("merge"), "_blk", "inner")
+    head, same = F.col("_before").isNull(), F.col("_before").eqNullSafe(F.col("_key"))
+    x = x.withColumns({f"_prev_{v}": F.when(head, F.col("_prev")[v]).when(same, F.col(f"_lag_{v}")) for v in values})
+    x = x.withColumn("_first", F.when(head, F.col("_prev").isNull()).otherwise(~same))
+    return x.drop("_blk", "_key", "_prev", "_before", *places, *[f"_lag_{v}" for v in values])
+
+
 #: Places of a block, and of a block of blocks.
 SCAN_SIZES = (64, 4096)
 

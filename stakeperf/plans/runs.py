@@ -27,7 +27,7 @@ from stakeperf.operators import ledger as L
 from stakeperf.operators import portfolio as P
 from stakeperf.operators import scores as S
 from stakeperf.operators import staking as ST
-from stakeperf.session import scratch_path
+from stakeperf.session import materialize
 from stakeperf.sources import files as IO
 
 
@@ -44,16 +44,6 @@ def once(method: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return wrapper
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a stage that several branches read: the rows are
-    written once as Parquet to the shared folder (``spark.checkpoint.dir``),
-    and every branch reads back the columns it needs.  Survives the loss of
-    executors; never a machine-local folder on a cluster."""
-    path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class StakingRun:
     """Staking performance for all models at once.
 
@@ -72,10 +62,17 @@ class StakingRun:
         self.config, self.calendar = config, calendar
         rows = scores if prefiltered else S.filter_scores(scores, metrics)
         self.scores = S.clean_scores(rows)
-        self.ts = ST.staked_daily(self.scores)
         self.shared = shared
         self.token_prices = token_prices
 
+    @property
+    def ts(self) -> DataFrame:
+        """The per-round rows; dealt into ranges and written at their first use."""
+        memo = self.__dict__.setdefault("_memo", {})
+        if "ts" not in memo:
+            memo["ts"] = ST.staked_daily(self.scores)
+        return memo["ts"]
+
     @property
     def summary(self) -> DataFrame:
         """One row per (model, date); written at its first use when shared."""
