@@ -123,3 +123,31 @@ def cumulative_allmodels(portfolio: DataFrame, token: DataFrame, asset: str = TO
 def cumulative_all(per_model: DataFrame, portfolio_cum: DataFrame) -> DataFrame:
     """Per-model rows plus the portfolio rows tagged ``allmodels``."""
     return per_model.unionByName(portfolio_cum.withColumn(M, F.lit(ALL_MODELS)), allowMissingColumns=True)
+
+
+def cumulative_at_once(by_date: DataFrame, ts_redated: DataFrame, token: DataFrame,
+                       asset: str = TOKEN_COLUMN) -> DataFrame:
+    """``cumulative_all`` over ``cumulative`` and ``cumulative_allmodels`` from one pass
+    over the per-date rows (one row per model and date): grouping sets give each model's
+    row and the portfolio's, one join brings the daily sums, one the token's price."""
+    measures = ["totalpayout", "cumstake", "walletestimate", "NMRwtret", "totalpayoutdailychg"]
+    x = (_complete(by_date)
+         .groupingSets([[M, "date"], ["date"]], M, "date")
+         .agg(*[F.sum(c).alias(c) for c in measures], (F.grouping_id() > 0).alias("_all")))
+    daily = daily_aggregates(ts_redated).withColumn("_ts", F.lit(True))
+    # a model has per-round rows if any of its dates has, be it a date of by_date or not
+    model = Window.partitionBy(M, F.coalesce("_all", F.lit(False)))
+    x = (x.join(daily.hint("merge"), [M, "date"], "full")
+         .withColumn("_has", F.col(M).isNotNull() & F.coalesce(F.max("_ts").over(model), F.lit(False)))
+         .where(F.col("_all").isNotNull()))
+    whole, has, zero = F.col("_all"), F.col("_has"), F.lit(0.0)
+    total = F.when(has, F.coalesce("ts_totalpayout", "totalpayout", zero)).otherwise(zero)
+    change = F.when(has, F.coalesce("ts_totalpayoutdailychg", "totalpayoutdailychg", zero)).otherwise(zero)
+    x = x.select(
+        F.when(whole, ALL_MODELS).otherwise(F.col(M)).alias(M), "date",
+        F.coalesce("cumstake", zero).alias("cumstake"), F.coalesce("walletestimate", zero).alias("walletestimate"),
+        F.when(~whole, F.coalesce("NMRwtret", zero)).alias("NMRwtret"),
+        F.when(~whole, total).alias("totalpayout"), F.when(~whole, change).alias("totalpayoutdailychg"),
+        F.when(whole, zero).otherwise(F.coalesce(total + F.col("walletestimate"), zero)).alias("cumbalance"),
+        F.when(whole, zero).otherwise(F.coalesce(total + F.col("cumstake"), zero)).alias("cumstakebalance"))
+    return _with_usd(x, token, asset)

@@ -340,9 +340,7 @@ def q_cumulative_allmodels(spark, sf):
 
 
 def q_cumulative_all(spark, sf):
-    st = staking(spark, sf, shared=True)
-    both = CU.cumulative_all(st.cumulative_models(), st.cumulative_portfolio())
-    return _out(both, CUM_COLS)
+    return _out(staking(spark, sf, shared=True).cumulative(), CUM_COLS)
 
 
 def q_sink_roundtrip_scores(spark, sf):

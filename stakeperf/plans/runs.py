@@ -19,8 +19,9 @@ from collections.abc import Callable, Sequence
 from functools import wraps
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from stakeperf.config import SCORE_METRICS, LedgerConfig
+from stakeperf.config import SCORE_METRICS, TOKEN_COLUMN, LedgerConfig
 from stakeperf.operators import assets as A
 from stakeperf.operators import cumulative as CU
 from stakeperf.operators import ledger as L
@@ -127,8 +128,12 @@ class StakingRun:
 
     @once
     def cumulative(self) -> DataFrame:
-        """``cumstakedmodel_by_date``: every model plus the ``allmodels`` rows."""
-        return CU.cumulative_all(self.cumulative_models(), self.cumulative_portfolio())
+        """``cumstakedmodel_by_date``: every model plus the ``allmodels`` rows, from one
+        pass over the per-date rows.  Their dates are the portfolio's, so the prices need
+        no semi join, and a missing price counts as 1 whether its series is empty or not."""
+        prices = A.asset_prices(self.token_prices, self.config.start, self.config.end, self.config.assets)
+        token = P.token_prices(prices).select("date", F.col("price").alias(TOKEN_COLUMN))
+        return CU.cumulative_at_once(self.by_date_biz(), self.ts_biz(), token)
 
 
 class LedgerRun:
