@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from stakeperf.llm import urls
 from stakeperf.llm.queries import ORACLE_SQL, QUERIES
 from tests.compare import compare, duck
 
@@ -27,7 +28,8 @@ def test_nothing_else_imports_this_part():
                     assert not re.search(r"^\s*(from|import) stakeperf\.llm", text.read(), re.MULTILINE), f
 
 
-def test_url_filter_runs_no_python(sp, sf_small):
+def test_url_filter_runs_no_python(sp, sf_small, monkeypatch):
+    monkeypatch.setattr(urls, "written", lambda df, name: df)  # all stages in one plan
     plan = QUERIES["op6_bloom_url_filter"](sp, sf_small)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert "BroadcastHashJoin" in plan and "ShuffledHashJoin" in plan
