@@ -157,6 +157,22 @@ def test_top_k_matches_brute_force(sp, seed):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size", [1e7, 1e9, 1e18, 1e150])
+def test_top_k_is_exact_at_any_size(sp, size, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    rnd = random.Random(int(np.log10(size)))
+    rows = [(k, [rnd.choice([-1, 1]) * size * rnd.random() for _ in range(8)]) for k in range(120)]
+    rows += [(120 + k, [v + (v / 2 ** 50 if i == k else 0) for i, v in enumerate(rows[k][1])]) for k in range(8)]
+    rows += [(200 + k, [float(k)] * 8) for k in range(10)] + [(300, [1e308] * 8)]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(sp.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect())
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i != 300}
+    want = []
+    for q in (i for i in whole if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], y)), i) for i, y in whole.items() if i != q)[:5]
+        want += [(q, r + 1, i, min(max(-s, topk.LEAST), topk.MOST)) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_top_k_with_many_ties_over_blocks(sp, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 7)
     rows = [(k, [1.0, 0.0]) for k in range(100)]
@@ -228,10 +244,20 @@ def test_url_verdicts_match_brute_force(sp):
 
 def test_bloom_filter_passes_every_entry_and_few_others(sp):
     rows = lambda a, b: sp.range(a, b).selectExpr("true exact", "concat('h', id, '.org') host", "concat('/', id) path")
-    blocks = urls.bloom_blocks(rows(0, 20000))
-    assert blocks.count() <= urls.BLOCKS
-    assert urls.possible_hits(rows(0, 20000), blocks).count() == 20000
-    assert urls.possible_hits(rows(20000, 40000), blocks).count() < 400
+    n = urls.filter_blocks(20000)
+    blocks = urls.bloom_blocks(rows(0, 20000), n)
+    assert 20000 <= n * urls.PER_BLOCK <= 40000 + urls.PER_BLOCK * urls.LEAST_BLOCKS and blocks.count() <= n
+    assert urls.possible_hits(rows(0, 20000), blocks, n).count() == 20000
+    assert urls.possible_hits(rows(20000, 40000), blocks, n).count() < 400
+
+
+def test_filter_grows_with_the_list_and_is_then_shuffled(sp, monkeypatch):
+    assert urls.filter_blocks(0) == urls.LEAST_BLOCKS and urls.filter_blocks(10 ** 8) * urls.PER_BLOCK >= 10 ** 8
+    pages = sp.createDataFrame([(k, None if k % 3 == 0 else f"http://a.de/{k % 50}") for k in range(300)], "page_id long, url string")
+    rules = sp.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    want = rows_of(urls.judge(pages, rules, urls.repeated_urls(pages)))
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", 0)
+    assert rows_of(urls.judge(pages, rules, urls.repeated_urls(pages))) == want and len(want) == 300
 
 
 # ---- personal data ----------------------------------------------------------
