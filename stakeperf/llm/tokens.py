@@ -129,7 +129,7 @@ class PieceTable:
     and compared by their bytes; where two pieces share a hash, the table starts
     anew with another seed."""
 
-    def __init__(self, encode: Callable[[list[bytes], list[bool]], list[list[int]]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes], list[bool]], list[list[int]]], limit: int = 1 << 18):
         self.encode, self.limit, self.seed = encode, limit, 0
         self._clear()
 
