@@ -19,7 +19,6 @@ from collections.abc import Callable, Sequence
 from functools import wraps
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stakeperf.config import SCORE_METRICS, TOKEN_COLUMN, LedgerConfig
 from stakeperf.operators import assets as A
