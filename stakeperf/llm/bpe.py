@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import models
 
-from stakeperf.llm.common import Texts, chunks, empty, per_worker
+from stakeperf.llm.common import Texts, chunks, empty, per_task, per_worker
 from stakeperf.llm.tokens import PieceTable, Splitter, load
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -105,6 +105,7 @@ def _coded(batches, path):
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) of every whole text."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, ids, decode in _coded(batches, path):
             yield pa.RecordBatch.from_arrays([doc, pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([decode(x).decode() for x in ids], pa.string())], schema=CODES)
@@ -114,6 +115,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Count and digests of the ids and of the decoded text of every whole text."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, ids, decode in _coded(batches, path):
             yield pa.RecordBatch.from_arrays([

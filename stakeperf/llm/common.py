@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,9 +145,30 @@ _STATE: dict = {}
 
 
 def per_worker(key, build):
-    """A value built once per Python worker process and kept between tasks."""
+    """A value built once per Python worker process and kept between tasks.  A worker
+    keeps one: the next operator that it serves needs the memory."""
     if key not in _STATE:
-        if len(_STATE) > 8:
-            _STATE.clear()
         _STATE[key] = build()
     return _STATE[key]
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def per_task(run: Callable) -> Callable:
+    """A function over a task's batches, after which its worker gives freed memory
+    back to the system: workers live on, idle, while other stages' workers run."""
+    @functools.wraps(run)
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = set(_STATE)
+        yield from run(batches)
+        if set(_STATE) - kept:
+            for key in kept:
+                del _STATE[key]
+        _release()
+    return tidy

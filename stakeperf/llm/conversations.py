@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import empty, written
+from stakeperf.llm.common import empty, per_task, written
 
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 FINE, CUT, FORCED = 0, 1, 2  # a row's fault: none, no end of sentence, must go
@@ -202,6 +202,7 @@ def _stretches(block: int):
                     r = {**r, "n": r["n"] - block, "again": True}
                 yield r
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, place, size, previous, head = [], 0, 0, None, True
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import empty, written
+from stakeperf.llm.common import empty, per_task, written
 from stakeperf.llm.components import components
 from stakeperf.llm.spans import BASES, U, mix
 
@@ -88,6 +88,7 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
 
 
 def _signed(classes: DataFrame, tables: int, probes: int) -> DataFrame:
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = _rows(batch.column("embedding"))
@@ -181,6 +182,7 @@ def _compared(rows: DataFrame, threshold: float, tables: int, width: int, dtype:
         column = column.combine_chunks()
         return column.flatten().to_numpy().reshape(len(column), tables * width)
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import chunks, empty, per_worker
+from stakeperf.llm.common import chunks, empty, per_task, per_worker
 
 BLOCK = 1024
 #: Character classes: the blank, the commonest letters one by one, the others by code point.
@@ -180,6 +180,7 @@ def predict(docs: DataFrame, references: dict[str, str]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of (doc_id, text)."""
     version = hashlib.sha256(repr(references).encode()).hexdigest()
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = per_worker(("parser", version), lambda: CrossParser(references) if references else None)
         for batch in batches:

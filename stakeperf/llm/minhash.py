@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import IdFilter, Texts, chunks, empty, sorted_groups, written
+from stakeperf.llm.common import IdFilter, Texts, chunks, empty, per_task, sorted_groups, written
 from stakeperf.llm.components import components
 from stakeperf.llm.spans import BASES, LOWER, U, gram_hash, mix, word_hash, words
 
@@ -136,6 +136,7 @@ def set_hash(items: np.ndarray, edge: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, limit=SIGN_BYTES):
@@ -151,6 +152,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, set_a, shingles) of the documents with these ids, and of a few others."""
     wanted = IdFilter(ids, "doc_id")
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(wanted.has(batch.column("slot").to_numpy())))
@@ -170,6 +172,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = batch.column("left"), batch.column("right")
@@ -230,6 +233,7 @@ def _family_links(families: DataFrame, found: DataFrame, bands: DataFrame, sets:
     rows = rows.select("family", "job.kind", "job.p", "job.q", "doc_id", "component", "outside", "part", "bands", "shingles")
     group = ["family", "kind", "p", "q"]
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, group):
             t = t.combine_chunks()

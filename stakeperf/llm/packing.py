@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import Texts, chunks, empty, per_worker, sorted_groups, written
+from stakeperf.llm.common import Texts, chunks, empty, per_task, per_worker, sorted_groups, written
 from stakeperf.llm.tokens import LibraryPieces, PieceTable
 
 CAPACITY = 2048
@@ -92,6 +92,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY):
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, close: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every whole text."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = per_worker(("library", path), lambda: PieceTable(LibraryPieces(path)))
         end = np.array([close], "<u4").tobytes()
@@ -116,6 +117,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, close: int = 0)
 
 def _packed(rows: DataFrame, n_partitions: int, round_no: int, capacity: int) -> DataFrame:
     """Each partition packed on its own; ``gap``: its sequences beyond its lower bound."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in sorted_groups(batches, ["part"]):
             # the same packing whatever order the shuffle delivers

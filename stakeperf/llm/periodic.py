@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stakeperf.llm.common import Texts, chunks, empty
+from stakeperf.llm.common import Texts, chunks, empty, per_task
 from stakeperf.llm.spans import BASES, U, _powers, mix, ranges, word_ids, words
 
 SHORTEST, REPEATS = 6, 4
@@ -233,6 +233,7 @@ def _batches(batches: Iterator[pa.RecordBatch], places: Callable | None):
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, runs) of every row; runs: (start, length, period) by start and period."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _, _, _, edge, r in _batches(batches, None):
             owner = np.searchsorted(edge, r[:, 0], "right") - 1
@@ -264,6 +265,7 @@ def collapsed(docs: DataFrame) -> DataFrame:
     """(doc_id, text): the words without repeats of a run's first period, joined by one space."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, start, length, edge, r in _batches(batches, None):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.decode() for x in collapse(data, start, length, edge, r)], pa.string())], schema=schema)
@@ -275,6 +277,7 @@ def digests(docs: DataFrame, places: Callable[[int | None, int], np.ndarray | No
     """Number of runs, the longest one, and hashes of all runs and of the collapsed
     text.  ``places(doc_id, n)`` may name other words of the text to stand at its n
     places; None leaves them."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, start, length, edge, r in _batches(batches, places):
             owner = np.searchsorted(edge, r[:, 0], "right") - 1

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import Texts, chunks, empty, fresh, written
+from stakeperf.llm.common import Texts, chunks, empty, fresh, per_task, written
 from stakeperf.llm.spans import BASES, U, gram_hash, mix, ranges, window_hash, word_hash, words
 
 WIDTH, PHRASE = 50, 16
@@ -69,6 +69,7 @@ def window_anchors(h: np.ndarray, width: int, phrase: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, width: int, phrase: int) -> DataFrame:
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -128,6 +129,7 @@ def _one_line(t: Texts, start: np.ndarray, length: np.ndarray) -> bytes:
 
 def _matches(rows: DataFrame, width: int, phrase: int) -> DataFrame:
     """Windows whose anchor the automaton of (shard, salt) has located; rows come in order, sources first."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, machine = None, None
         for batch in batches:
@@ -229,6 +231,7 @@ def digests(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     rows, marks = _with_repeats(docs, width, **options)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, count, removed, kept in _apply(batch, width, marks):
@@ -244,6 +247,7 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     fields = docs.schema
     rows, marks = _with_repeats(docs, width, **options)
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, removed, kept in _apply(batch, width, marks):

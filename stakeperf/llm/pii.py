@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import chunks, empty
+from stakeperf.llm.common import chunks, empty, per_task
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_WORDS = 6
@@ -321,6 +321,7 @@ def learn(docs: DataFrame, n_zones: int = TRAIN_ZONES, n_documents: int = TRAIN_
     from about ``n_documents`` texts chosen by their hashes."""
     schema = pa.schema([("h", pa.int64()), ("zone", pa.string())])
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -366,6 +367,7 @@ def detect(docs: DataFrame, **options) -> DataFrame:
     field = learn(docs, **options)
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -395,6 +397,7 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
     field = learn(docs, **options)
     fields = docs.schema
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column("text").to_pylist()

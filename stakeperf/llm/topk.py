@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import empty, written
+from stakeperf.llm.common import empty, per_task, written
 
 PARTS, BLOCK, QUERIES, TILE = 2, 2048, 4096, 512
 BLOCKED = pa.schema([("dim", pa.int64()), ("ids", pa.list_(pa.int64())), ("values", pa.binary())])
@@ -59,6 +59,7 @@ def quantised(embeddings: DataFrame, scale: int = 256) -> DataFrame:
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """(dim, ids, values): rows packed into blocks of one length, within each partition."""
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, tuple[list, list]] = {}
 
@@ -189,6 +190,7 @@ def _meet(blocks: DataFrame, groups: DataFrame, work, k: int, parts: int) -> Dat
     numbers = groups.groupBy("dim").agg(F.collect_list("g").alias("gs"))  # one number for QUERIES queries
     pairs = blocks.join(numbers, "dim").withColumn("g", F.explode("gs")).drop("gs").join(groups, ["dim", "g"])
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dim, ids, values, qids, qvalues, cut in zip(*(batch.column(n) for n in ("dim", "ids", "values", "qids", "qvalues", "cutoffs"))):

@@ -35,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import Texts, chunks, empty, written
+from stakeperf.llm.common import Texts, chunks, empty, per_task, written
 from stakeperf.llm.spans import LOWER, NON_LETTERS, U, ranges, words
 
 #: The labelled columns as categories, in the chain's order.
@@ -124,6 +124,7 @@ def _document_counts(rows: DataFrame, names: list[str]) -> DataFrame:
     """(gram, n, positives of each category): documents that hold the gram."""
     schema = pa.schema([("gram", pa.int64()), ("n", pa.int64()), *((c, pa.int64()) for c in names)])
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
@@ -155,6 +156,7 @@ def _with_features(rows: DataFrame, names: list[str], keys: np.ndarray) -> DataF
     """The rows with their features as the words of a vocabulary."""
     schema = pa.schema([*((c, pa.float64()) for c in names), ("fold", pa.int64()), ("present", pa.list_(pa.string()))])
 
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(keys)
         for batch in batches:
@@ -214,6 +216,7 @@ def train(rows: DataFrame, names: list[str], n_features: int = FEATURES, min_doc
 
 
 def _predicted(docs: DataFrame, chain: Chain, schema: pa.Schema, spark_schema, row) -> DataFrame:
+    @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(chain.keys)
         for batch in batches:
