@@ -11,12 +11,15 @@ end, present or absent; the letters A-Z are lower-cased.  Of those in at least
 ``min_documents`` training texts, each category keeps the ``n_features`` with
 the highest chi-square statistic.
 
-Training uses about ``train_rows`` labelled rows, chosen by the hashes of their
-ids.  Prediction reads every whole text.
+Training uses about ``train_rows`` labelled ids, chosen by their hashes; of the
+texts of one id the least one trains.  So the models of a category, one without
+each fold and one on all rows, are fitted side by side, each in a task that holds
+the selected features of at most these rows.  Prediction reads every whole text.
 
 Defined results: null or empty text, or one without words, has no features and
 gets the chain's intercepts; a category with a single class in training is
-constant; without labelled rows all probabilities are 0; rows of ``labels``
+constant; without labelled rows all probabilities are 0; where all rows are of one
+fold, their probability for later categories is 0.5; rows of ``labels``
 with a null id or label are ignored, and of repeated ids the largest label
 counts; an empty table gives no rows; other columns are carried along by
 ``accepted`` and ignored elsewhere.
@@ -24,24 +27,26 @@ counts; an empty table gives no rows; other columns are carried along by
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stakeperf.llm.common import Texts, chunks, empty, per_task, written
+from stakeperf.llm.common import Texts, chunks, empty, per_task, sorted_groups, written
 from stakeperf.llm.spans import LOWER, NON_LETTERS, U, ranges, words
 
 #: The labelled columns as categories, in the chain's order.
 CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 GRAM = 5
 TRAIN_ROWS, FEATURES, MIN_DOCUMENTS, FOLDS = 12_000, 600, 5, 3
+#: Half of it times the squared weights is added to the mean loss; the intercept is free.
+PENALTY = 3e-4
+#: The fold that no row has: its model learns from all rows.
+NO_FOLD = -1
 
 
 def grams(t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +110,7 @@ class Chain:
         for c in range(len(self.categories)):
             z = np.bincount(doc, weights=self.weights[c][at], minlength=t.n) + self.intercepts[c]
             z += self.earlier[c] @ p[:c]
-            p[c] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            p[c] = logistic(z)
         return p
 
 
@@ -117,7 +122,8 @@ def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, str], train
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = known.where(draw < F.lit(min(1.0, train_rows / max(1, n))))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).alias("fold")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(few, "doc_id").withColumn("fold", fold)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(few, "doc_id")
+    return texts.groupBy("doc_id", *categories).agg(F.min("text").alias("text")).withColumn("fold", fold)
 
 
 def _document_counts(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -153,8 +159,8 @@ def select_features(rows: DataFrame, names: list[str], n_features: int, min_docu
 
 
 def _with_features(rows: DataFrame, names: list[str], keys: np.ndarray) -> DataFrame:
-    """The rows with their features as the words of a vocabulary."""
-    schema = pa.schema([*((c, pa.float64()) for c in names), ("fold", pa.int64()), ("present", pa.list_(pa.string()))])
+    """The rows with the positions in ``keys`` of the features that they have."""
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.float64()) for c in names), ("fold", pa.int64()), ("present", pa.list_(pa.int32()))])
 
     @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +169,113 @@ def _with_features(rows: DataFrame, names: list[str], keys: np.ndarray) -> DataF
             for part in chunks(batch):
                 at, doc = lookup(Texts(part.column("text")))
                 edge = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                present = [[str(k) for k in at[a:b]] for a, b in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), part.column("fold"), pa.array(present, pa.list_(pa.string()))], schema=schema)
+                present = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *names, "fold")), present], schema=schema)
         yield empty(schema)
 
-    return rows.select("text", *names, "fold").mapInArrow(run, ", ".join(f"{c} double" for c in names) + ", fold bigint, present array<string>")
+    return rows.select("doc_id", "text", *names, "fold").mapInArrow(run, "doc_id bigint, " + ", ".join(f"{c} double" for c in names) + ", fold bigint, present array<int>")
+
+
+@dataclass
+class Rows:
+    """Features of some rows: (row, position) of those present, and dense columns."""
+
+    row: np.ndarray
+    at: np.ndarray
+    dense: np.ndarray
+
+    @classmethod
+    def of(cls, t: pa.RecordBatch | pa.Table, earlier: list[str]) -> Rows:
+        present = t.column("present")
+        present = present.combine_chunks() if isinstance(present, pa.ChunkedArray) else present
+        row = np.repeat(np.arange(t.num_rows), np.diff(present.offsets.to_numpy()))
+        dense = [t.column(c).to_numpy() for c in earlier]
+        return cls(row, present.flatten().to_numpy(), np.stack(dense, axis=1) if dense else np.zeros((t.num_rows, 0)))
+
+    def logits(self, w: np.ndarray, model: np.ndarray | int = 0) -> np.ndarray:
+        """By the weights ``w[model]`` of each row: features, dense columns, intercept."""
+        n, k = self.dense.shape
+        model = np.broadcast_to(model, n)
+        sparse = np.bincount(self.row, weights=w[model[self.row], self.at], minlength=n)
+        return sparse + (self.dense * w[model, w.shape[1] - 1 - k:-1]).sum(axis=1) + w[model, -1]
+
+    def gradient(self, slope: np.ndarray, n_features: int) -> np.ndarray:
+        return np.concatenate([np.bincount(self.at, weights=slope[self.row], minlength=n_features), slope @ self.dense, [slope.sum()]])
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
+
+def descend(x: Rows, y: np.ndarray, n_features: int, penalty: float = PENALTY, steps: int = 400, memory: int = 12, tolerance: float = 1e-7) -> np.ndarray:
+    """The weights of least penalised mean loss, by limited-memory BFGS; constant where ``y`` is."""
+    w = np.zeros(n_features + x.dense.shape[1] + 1)
+    if y.min() == y.max():
+        w[-1] = 700.0 if y[0] else -700.0
+        return w
+    w[-1] = np.log(y.mean() / (1 - y.mean()))
+
+    def loss(w):
+        z = x.logits(w[None])
+        g = x.gradient((logistic(z) - y) / len(y), n_features)
+        g[:-1] += penalty * w[:-1]
+        return (np.logaddexp(0, z) - y * z).mean() + penalty / 2 * (w[:-1] @ w[:-1]), g
+
+    value, g = loss(w)
+    moves: deque = deque(maxlen=memory)
+    for _ in range(steps):
+        if np.abs(g).max() <= tolerance:
+            break
+        q, taken = g.copy(), []
+        for s, t in reversed(moves):
+            taken.append(s @ q / (s @ t))
+            q -= taken[-1] * t
+        if moves:
+            s, t = moves[-1]
+            q *= (s @ t) / (t @ t)
+        for (s, t), c in zip(moves, reversed(taken)):
+            q += s * (c - t @ q / (s @ t))
+        size, fall = 1.0, g @ q
+        after, slope = loss(w - size * q)
+        while after > value - 1e-4 * size * fall and size > 1e-9:
+            size /= 2
+            after, slope = loss(w - size * q)
+        if after >= value:
+            break  # as low as doubles can tell
+        if size * (q @ (g - slope)) > 0:
+            moves.append((-size * q, slope - g))
+        w, value, g = w - size * q, after, slope
+    return w
+
+
+def _fitted(data: DataFrame, category: str, earlier: list[str], folds: list[int], n_features: int) -> dict[int, np.ndarray]:
+    """The weights of the models that leave out one of ``folds`` each, fitted in parallel."""
+    schema = pa.schema([("without", pa.int64()), ("weights", pa.list_(pa.float64()))])
+
+    @per_task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in sorted_groups(batches, ["without"]):
+            w = descend(Rows.of(t, earlier), t.column(category).to_numpy(), n_features)
+            yield pa.RecordBatch.from_arrays([t.column("without").combine_chunks()[:1], pa.array([w], schema.field("weights").type)], schema=schema)
+        yield empty(schema)
+
+    dealt = data.withColumn("without", F.explode(F.array(*(F.lit(f).cast("bigint") for f in folds)))).where("without <> fold")
+    dealt = dealt.select("without", "doc_id", category, *earlier, "present").repartition(4 * len(folds), "without").sortWithinPartitions("without", "doc_id")
+    found = dealt.mapInArrow(run, "without bigint, weights array<double>").collect()  # a row per fold and one more
+    return {r["without"]: np.array(r["weights"]) for r in found}
+
+
+def _out_of_fold(data: DataFrame, earlier: list[str], models: dict[int, np.ndarray], name: str, width: int) -> DataFrame:
+    """The rows with the probability that the model without their fold gives them."""
+    w = np.stack([models.get(f, np.zeros(width)) for f in range(FOLDS)])
+
+    @per_task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = logistic(Rows.of(batch, earlier).logits(w, batch.column("fold").to_numpy()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
+
+    return data.mapInArrow(run, data.withColumn(name, F.lit(0.0)).schema)
 
 
 def train(rows: DataFrame, names: list[str], n_features: int = FEATURES, min_documents: int = MIN_DOCUMENTS) -> Chain:
@@ -182,36 +290,18 @@ def train(rows: DataFrame, names: list[str], n_features: int = FEATURES, min_doc
             chain.earlier.append(np.zeros(k))
             chain.intercepts.append(float(np.log(p / (1 - p))) if mean[c] else -700.0)
         return chain
-    vocabulary = CountVectorizerModel.from_vocabulary([str(k) for k in range(len(keys))], inputCol="present", outputCol="grams")
     data = written(_with_features(rows, names, keys), "features")
-    data = vocabulary.setBinary(True).transform(data).drop("present")
     earlier: list[str] = []
     for c in names:
-        ready = VectorAssembler(inputCols=["grams", *earlier], outputCol="features").transform(data).cache()
-        fit = LogisticRegression(labelCol=c, regParam=3e-4, maxIter=40, standardization=False)
-        classes = ready.agg(F.min(c), F.max(c)).first()
-        if classes[0] == classes[1]:
-            chain.weights.append(np.zeros(len(keys)))
-            chain.earlier.append(np.zeros(len(earlier)))
-            chain.intercepts.append(700.0 if classes[0] else -700.0)
-            data = data.withColumn(f"p_{c}", F.lit(float(classes[0])))
-        else:
-            model = fit.fit(ready)
-            weights = model.coefficients.toArray()
-            chain.weights.append(weights[:len(keys)])
-            chain.earlier.append(weights[len(keys):])
-            chain.intercepts.append(float(model.intercept))
-            if c != names[-1]:
-                parts = []
-                for fold in range(FOLDS):
-                    others = fit.fit(ready.where(F.col("fold") != fold))
-                    seen = others.transform(ready.where(F.col("fold") == fold))
-                    parts.append(seen.select(*data.columns, vector_to_array("probability")[1].alias(f"p_{c}")))
-                data = parts[0]
-                for p in parts[1:]:
-                    data = data.unionByName(p)
-        earlier.append(f"p_{c}")
-        ready.unpersist()
+        last = c == names[-1]
+        models = _fitted(data, c, earlier, [NO_FOLD] if last else [NO_FOLD, *range(FOLDS)], len(keys))
+        w = models[NO_FOLD]
+        chain.weights.append(w[:len(keys)])
+        chain.earlier.append(w[len(keys):-1])
+        chain.intercepts.append(float(w[-1]))
+        if not last:
+            data = written(_out_of_fold(data, earlier, models, f"p_{c}", len(w)), "features")
+            earlier.append(f"p_{c}")
     return chain
 
 

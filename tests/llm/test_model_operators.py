@@ -216,6 +216,82 @@ def test_chain_without_labels_or_with_one_class(sp, documents):
     assert toxicity.score(documents([]), none).collect() == []
 
 
+def plain_grams(text):
+    """Five-byte sequences inside letter words with a blank at either end, as numbers."""
+    data = b"".join(b" " + w for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").encode())).lower() + b" "
+    windows = (data[i:i + 5] for i in range(len(data) - 4))
+    return {int.from_bytes(w, "little") for w in windows if b" " not in w[1:4]}
+
+
+def newton(x, y, penalty):
+    """Weights, then the intercept, of penalised logistic regression by Newton's method."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    free = np.full(x.shape[1], penalty)
+    free[-1] = 0
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + np.diag(free), x.T @ (p - y) / len(y) + free * w)
+        w = w - step / max(1, np.abs(step).max() / 4)
+    return w
+
+
+def test_chain_equals_a_plain_chain(sp, documents):
+    """Grams, their choice, folds and every model by plain loops and dense matrices."""
+    rnd = random.Random(8)
+    stock = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(3, 7))) for _ in range(60)]
+    rows, labels, names = [], [], ["low_quality", "toxic", "both"]
+    for i in range(240):
+        w = [rnd.choice(stock) for _ in range(12)]
+        low = (stock[0] in w) != (rnd.random() < 0.1)
+        toxic = (stock[1] in w or low and stock[2] in w) != (rnd.random() < 0.05)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(not low), int(toxic)))
+    categories = {"low_quality": "1 - quality", "toxic": "toxic", "both": "toxic * (1 - quality)"}
+    docs = documents(rows + [(3, "~ repeated id, greater text")])
+    known = sp.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    drawn = {r["doc_id"]: r for r in toxicity.sample(docs, known, categories, 10_000).collect()}
+    assert {i: drawn[i]["text"] for i in drawn} == dict(rows)
+    chain = toxicity.fit(docs, known, categories, train_rows=10_000, n_features=20)
+
+    held = {i: plain_grams(t) for i, t in rows}
+    chosen = set()
+    for c in names:
+        n, pos = len(rows), sum(drawn[i][c] for i in held)
+        seen = {}
+        for i, gs in held.items():
+            for g in gs:
+                a, b = seen.get(g, (0, 0))
+                seen[g] = a + 1, b + drawn[i][c]
+        chi = {g: (b * n - a * pos) ** 2 / (a * (n + 0.5 - a) * pos * (n - pos)) for g, (a, b) in seen.items() if a >= toxicity.MIN_DOCUMENTS}
+        chosen |= set(sorted(chi, key=lambda g: (-round(chi[g], 9), g))[:20])
+    assert chain.keys.tolist() == sorted(chosen)
+    ids = sorted(held)
+    x = np.array([[float(k in held[i]) for k in sorted(chosen)] for i in ids])
+    inside, fold = np.zeros((len(ids), 0)), np.array([drawn[i]["fold"] for i in ids])
+    p = np.zeros((len(ids), 0))
+    for c, name in enumerate(names):
+        y = np.array([drawn[i][name] for i in ids])
+        w = newton(np.hstack([x, inside]), y, toxicity.PENALTY)
+        assert np.allclose(chain.weights[c], w[:x.shape[1]], atol=2e-3) and np.allclose(chain.earlier[c], w[x.shape[1]:-1], atol=2e-3)
+        assert abs(chain.intercepts[c] - w[-1]) < 2e-3
+        p = np.hstack([p, 1 / (1 + np.exp(-np.hstack([x, p]) @ w[:-1] - w[-1]))[:, None]])
+        out = np.zeros(len(ids))
+        for f in range(toxicity.FOLDS):
+            v = newton(np.hstack([x, inside])[fold != f], y[fold != f], toxicity.PENALTY)
+            out[fold == f] = 1 / (1 + np.exp(-np.hstack([x, inside])[fold == f] @ v[:-1] - v[-1]))
+        inside = np.hstack([inside, out[:, None]])
+    got = {r["doc_id"]: r for r in toxicity.score(documents(rows), chain).collect()}
+    assert np.allclose([[got[i][f"p_{c}"] for c in names] for i in ids], p, atol=1e-3)
+
+
+def test_one_fold_and_hot_id_in_training(sp, documents):
+    docs = documents([(1, "bad words here")] * 50 + [(1, "zzz"), (2, "good words")])
+    chain = toxicity.fit(docs, sp.createDataFrame([(1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int"), min_documents=1)
+    got = toxicity.score(docs, chain).groupBy("doc_id").agg({"p_toxic": "max"}).collect()
+    assert len(chain.keys) and {r[0]: r[1] > 0.5 for r in got} == {1: True, 2: False}
+
+
 # ---- URLs -------------------------------------------------------------------
 
 def slow_verdict(url, rules, listed):
