@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,24 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stakeperf.session import scratch_path
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from stakeperf.session import on_workers, scratch_path
 
 #: Bytes of text a task works on at a time; one longer text is taken whole.
 CHUNK_BYTES = 4 << 20
 
 
-def on_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package: the same as setting
-    ``spark.executorEnv.PYTHONPATH`` when the session was built.  Packages
-    shipped with ``--py-files`` need no such path."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -97,8 +97,10 @@ def score_row_index(flat: DataFrame, model: str = "model_name", record: str | No
 
 
 def document_scores(docs: DataFrame, records: str = "records", scores: str = SCORES, model: str = "model_name") -> DataFrame:
-    """Flat score rows of documents (model, array of round records), as ``flatten_scores``
-    gives them for the exploded records, with ``rec_pos`` and ``row_index``.
+    """Flat score rows of documents or their parts (model, array of round records, the place
+    of the first of them in the document, ``rec_pos``, and the rows before it,
+    ``first_row``), as ``flatten_scores`` gives them for the exploded records, with
+    ``rec_pos`` and ``row_index``.
 
     The records' scores are laid end to end inside the row and exploded with their
     positions; a record without scores takes one place, as it gives one row of NULLs."""
@@ -108,15 +110,15 @@ def document_scores(docs: DataFrame, records: str = "records", scores: str = SCO
 
     def rows(r: Column, k: Column) -> Column:
         own = [r[c].alias(c) for c in outer]
-        place = k.cast("bigint").alias("rec_pos")
+        place = (F.col("rec_pos") + k).cast("bigint").alias("rec_pos")
         each = F.transform(r[scores], lambda s, j: F.struct(*own, place, j.cast("bigint").alias("seq"), *[s[f].alias(f) for f in fields]))
         types = {f.name: f.dataType for f in record[scores].dataType.elementType.fields}
         none = F.struct(*own, place, F.lit(None).cast("bigint").alias("seq"), *[F.lit(None).cast(types[f]).alias(f) for f in fields])
         return F.when(F.size(r[scores]) > 0, each).otherwise(F.array(none))
 
     present = F.filter(F.transform(records, lambda r, k: F.struct(r.alias("r"), k.alias("k"))), lambda x: x.r.isNotNull())
-    flat = docs.select(model, F.posexplode(F.flatten(F.transform(present, lambda x: rows(x.r, x.k)))).alias("_i", "_s"))
-    return flat.select(model, *[F.col("_s")[c].alias(c) for c in (*outer, "rec_pos", "seq", *fields)], (F.col("_i") + 1).cast("bigint").alias("row_index"))
+    flat = docs.select(model, "first_row", F.posexplode(F.flatten(F.transform(present, lambda x: rows(x.r, x.k)))).alias("_i", "_s"))
+    return flat.select(model, *[F.col("_s")[c].alias(c) for c in (*outer, "rec_pos", "seq", *fields)], (F.col("first_row") + F.col("_i") + 1).cast("bigint").alias("row_index"))
 
 
 def filter_scores_parity(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS) -> DataFrame:

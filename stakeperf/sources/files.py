@@ -4,7 +4,8 @@
   *with* that schema, so a later join on ``date`` still resolves;
 * the per-model score files as ONE scan of a directory partitioned by
   ``model_name`` (no loop over models);
-* the stored nested responses as a schema-on-read JSON scan;
+* the stored nested responses as a schema-on-read JSON scan, response documents
+  record by record;
 * sinks: per-model partitioned output and a persist step that reports
   failure instead of raising.  Both write beside the output and switch to the
   new rows when these are complete, so a failed write leaves the old rows.
@@ -21,12 +22,14 @@ from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from stakeperf import schemas
 from stakeperf.operators.scores import SCORE_PREFIX, document_scores
+from stakeperf.session import on_workers, scratch_path
+from stakeperf.sources.documents import ODD, PIECE_END, RECORDS, record_lines
 
 log = logging.getLogger(__name__)
 
@@ -175,30 +178,68 @@ def read_nested_scores(spark: SparkSession, path: str, schema: StructType = sche
     return spark.read.schema(schema).json(path).withColumn("rec_pos", _file_order())
 
 
-def _documents(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+def _documents(spark: SparkSession, paths: str | list[str], schema: StructType) -> DataFrame:
     reader = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
-    return reader.option("pathGlobFilter", "*.json").json(folder)
+    return reader.option("pathGlobFilter", DOCUMENT_FILES).json(paths)
+
+
+#: Documents are named ``<model>.json``, or lie as text in a Spark output folder named so.
+DOCUMENT_FILES = "*.{json,txt}"
+
+
+def _document_parts(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """Documents in parts: model, ``records``, and the place of the first of them
+    (``rec_pos``) and the score rows before it (``first_row``) in the document.
+
+    The documents are read once, as text, each by one task that splits no file, and their
+    records written as JSON lines to the shared folder, so no task holds a document.
+    Documents that are not followed there (an encoding, a syntax that only Spark's reader
+    knows, or an error) come whole from Spark's reader."""
+    text = on_workers(spark).read.option("recursiveFileLookup", True).option("pathGlobFilter", DOCUMENT_FILES).option("lineSep", PIECE_END).text(folder)
+    path = F.col("_metadata.file_path")
+    text = text.where(path.endswith(".json") | path.rlike("/document=[^/]*/[^/]*$"))
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    about = {"file": path, "model_name": _document_model(), "size": F.col("_metadata.file_size")}
+    pieces = text.select(*[F.when(first, c).alias(n) for n, c in about.items()], F.col("value").cast("binary").alias("value"))
+    odd, out = Observation(), scratch_path(spark, "records")
+    lines = pieces.mapInArrow(record_lines, "value string").observe(odd, F.count_if(F.col("value").startswith(ODD)).alias("n"))
+    one_task_a_file = str(1 << 50)
+    with _setting(spark, "spark.sql.files.maxPartitionBytes", one_task_a_file), \
+            _setting(spark, "spark.sql.files.openCostInBytes", one_task_a_file):
+        lines.write.option("compression", "snappy").option("maxRecordsPerFile", 100_000).text(out)
+
+    record = schema["data"].dataType[RECORDS].dataType.elementType
+    types = {"file": StringType(), "odd": StringType(), "model_name": StringType(), "rec_pos": LongType(), "first_row": LongType(), "record": record}
+    read = spark.read.schema(StructType([StructField(n, t) for n, t in types.items()])).json(out)
+    columns = ["model_name", "records", "rec_pos", "first_row"]
+    parts = read.withColumn("records", F.array("record"))
+    if not odd.get["n"]:
+        return parts.select(*columns)
+    files = [r["odd"] for r in read.where(F.col("odd").isNotNull()).select("odd").collect()]
+    whole = _documents(spark, [unquote(f) for f in sorted(files)], schema).select(
+        _document_model().alias("model_name"), F.col(f"data.{RECORDS}").alias("records"),
+        F.lit(0).cast("bigint").alias("rec_pos"), F.lit(0).cast("bigint").alias("first_row"))
+    return parts.where(F.col("odd").isNull() & ~F.col("file").isin(files)).select(*columns).unionByName(whole)
 
 
 def read_responses(spark: SparkSession, folder: str, schema: StructType = schemas.RESPONSE) -> DataFrame:
     """Stored response documents, one JSON document per model named
-    ``<model>.json``: one scan of the folder, the round records exploded
+    ``<model>.json``: one scan of the folder, the round records taken
     out of ``data.v2RoundModelPerformances`` and the model taken from the
     file name.  Gives the nested records ``flatten_scores`` expects."""
-    return response_records(_documents(spark, folder, schema))
+    return _part_records(_document_parts(spark, folder, schema))
 
 
 def read_response_scores(spark: SparkSession, folder: str, schema: StructType = schemas.RESPONSE) -> DataFrame:
     """Flat score rows of response documents, with ``rec_pos`` and each row's place in
-    its document (``row_index``, from 1): a document is one row of the scan, so its
-    scores are numbered where they lie."""
-    docs = _documents(spark, folder, schema)
-    return document_scores(docs.select(_document_model().alias("model_name"), F.col("data.v2RoundModelPerformances").alias("records")))
+    its document (``row_index``, from 1): a part of a document knows the rows before it, so
+    its scores are numbered where they lie."""
+    return document_scores(_document_parts(spark, folder, schema))
 
 
 def _document_model() -> Column:
     folder = F.regexp_extract(_decoded("_metadata.file_path"), r"/document=([^/]*)\.json/[^/]*$", 1)
-    name = F.regexp_extract(_decoded("_metadata.file_name"), r"^(.*)\.json$", 1)
+    name = F.regexp_extract(_decoded("_metadata.file_name"), r"^(.*)\.(?:json|txt)$", 1)
     return F.when(folder != "", folder).otherwise(name)
 
 
@@ -207,10 +248,13 @@ def response_records(docs: DataFrame) -> DataFrame:
     or streaming), with their position in the document (``rec_pos``); the model
     is the document's file name without ``.json``, or that of a Spark output
     folder named ``document=<model>.json``."""
-    records = docs.select(_document_model().alias("model_name"),
-                          F.posexplode_outer("data.v2RoundModelPerformances").alias("rec_pos", "_r"))
+    return _part_records(docs.select(_document_model().alias("model_name"), F.col(f"data.{RECORDS}").alias("records"), F.lit(0).alias("rec_pos")))
+
+
+def _part_records(parts: DataFrame) -> DataFrame:
+    records = parts.select("model_name", "rec_pos", F.posexplode_outer("records").alias("_k", "_r"))
     return records.where(F.col("_r").isNotNull()).select(
-        "model_name", F.col("rec_pos").cast("bigint").alias("rec_pos"), *[F.col("_r")[f.name].alias(f.name) for f in schemas.RESPONSE_RECORD.fields])
+        "model_name", (F.col("rec_pos") + F.col("_k")).cast("bigint").alias("rec_pos"), *[F.col("_r")[f.name].alias(f.name) for f in schemas.RESPONSE_RECORD.fields])
 
 
 def _file_system(spark: SparkSession, path: str):

@@ -1,0 +1,93 @@
+"""Response documents taken apart record by record: the rows that Spark's reader of whole
+documents gives, without a task holding a document."""
+
+import json
+
+import pyarrow as pa
+import pytest
+
+from stakeperf import schemas
+from stakeperf.operators import scores as S
+from stakeperf.plans.queries import response_documents
+from stakeperf.sources import files as IO
+from stakeperf.sources.documents import ODD, record_lines
+
+SCORE = {"date": "2024-01-02", "day": 1, "displayName": "mmc", "payoutPending": 0.5, "percentile": 0.25, "value": 1e-20}
+
+
+def record(k, scores):
+    return {"roundNumber": k, "other": {"a": [1, {"b": "}"}]}, "atRisk": 1.25, "intraRoundSubmissionScores": scores}
+
+
+def document(*records, **more):
+    return json.dumps({"before": [{"data": 1}], "data": {"x": None, "v2RoundModelPerformances": list(records)}, **more})
+
+
+RECORDS = [record(1, [SCORE, SCORE]), None, record(2, None), record(3, []), record(4, [None, SCORE])]
+TEXTS = {
+    "plain": document(*RECORDS),
+    "spaced": json.dumps(json.loads(document(*RECORDS)), indent=3) + "\r\n\n",
+    "marks": document(*[record(k, [SCORE | {"displayName": 'a}}"]{[\\' + "}" * k + "é\n"}] * 3) for k in range(40)]),
+    "types": document(record("no number", [SCORE | {"day": "x"}]), record(2, "no list"), record(3, [SCORE, 7]), {}),
+    "nan": document(record(1, [SCORE | {"value": float("nan")}])),
+    "after": document(*RECORDS) + " } more",
+    "none": document(), "no_list": '{"data": {"v2RoundModelPerformances": null}}', "no_data": '{"data": 5}', "empty": "", "blank": " \n",
+    "cut": document(*RECORDS)[:-40], "brace_short": document(*RECORDS)[:-1], "brace_short_more": document(*RECORDS)[:-1] + ', "x": 1',
+    "fault": document(*RECORDS).replace("1.25", "1..25"), "scalar": document(record(1, [SCORE]), 5),
+    "single": document(*RECORDS).replace('"', "'"), "listed": f"[{document(*RECORDS)}, {document(*RECORDS)}]",
+    "twice": document(*RECORDS)[:-1] + ', "data": {"v2RoundModelPerformances": [{"roundNumber": 9}]}}',
+}
+
+
+def rows(df):
+    return sorted((tuple(map(str, r)) for r in df.collect()), key=repr)
+
+
+def test_rows_are_those_of_whole_documents(spark, tmp_path):
+    for name, text in TEXTS.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    (tmp_path / "wide é+%.json").write_text(document(*RECORDS), encoding="utf-16")
+    (tmp_path / "mark.json").write_text(document(*RECORDS), encoding="utf-8-sig")
+    (tmp_path / "bytes.json").write_bytes(document(*RECORDS).replace("mmc", "mé").encode("latin-1"))
+    (tmp_path / "notes.txt").write_text(document(*RECORDS))
+    whole = IO.response_records(IO._documents(spark, str(tmp_path), schemas.RESPONSE).where("_metadata.file_name != 'notes.txt'"))
+    got = IO.read_responses(spark, str(tmp_path))
+    assert got.schema.fieldNames() == whole.schema.fieldNames()
+    assert rows(got) == rows(whole)
+    assert {"plain", "spaced", "marks", "types", "nan", "after", "single", "listed", "twice", "mark"} <= {r[0] for r in rows(got)}
+    scores = IO.read_response_scores(spark, str(tmp_path))
+    assert rows(scores.drop("row_index")) == rows(S.flatten_scores(whole).select(*scores.drop("row_index").columns))
+    index = [r.row_index for r in scores.where("model_name = 'spaced'").orderBy("rec_pos", "seq").collect()]
+    assert index == [1, 2, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("n", [10, 3000])
+def test_a_record_is_passed_on_before_the_document_ends(n):
+    text = document(*[record(k, [SCORE] * 50) for k in range(n)])
+    pieces, taken = text.encode().split(b"}")[:-1], []
+
+    def batches():
+        for k in range(0, len(pieces), 200):
+            part = pieces[k:k + 200]
+            taken.append(k)
+            yield pa.RecordBatch.from_pydict({"file": ["f"] * len(part), "model_name": ["m"] * len(part), "size": [len(text)] * len(part), "value": part})
+
+    lines, longest = [], 0
+    for out in record_lines(batches()):
+        lines += out.column("value").to_pylist()
+        longest = max(longest, sum(map(len, out.column("value").to_pylist())))
+        if n > 1000 and len(lines) < 1000:
+            assert len(taken) * 200 < len(pieces) / 2
+    assert not any(line.startswith(ODD) for line in lines) and longest < 2 << 20
+    assert [json.loads(line)["rec_pos"] for line in lines] == list(range(n))
+    assert [json.loads(line)["first_row"] for line in lines] == [50 * k for k in range(n)]
+
+
+def test_a_document_is_written_record_by_record(spark, sf_small):
+    # a line a record: none is built from a list of its records
+    root = response_documents(spark, sf_small)
+    texts = [r.value for r in spark.read.option("recursiveFileLookup", True).text(root).collect()]
+    n = spark.read.parquet(f"{sf_small}/orders.parquet").count()
+    assert len(texts) == n and max(map(len, texts)) < 5000
+    for r in spark.read.text(f"{root}/*/*", wholetext=True).collect():
+        json.loads(r.value)
