@@ -56,17 +56,26 @@ def _regex_escape(s: str) -> str:
 
 def plain_digits(c: Column | str) -> Column:
     """A number's text with every significant digit and no exponent, at any
-    magnitude: Spark's own digits, with the point moved by the exponent."""
+    magnitude: Spark's own digits, with the point moved by the exponent.
+
+    Most cells need one pattern.  The point is moved inside ``transform``, which keeps the
+    code that Spark generates for several columns side by side small enough for the JVM to compile."""
     s = _c(c).cast("string")
-    plain = F.regexp_replace(F.regexp_replace(s, r"\.0*$", ""), "^-0$", "0")
-    sign = F.regexp_extract(s, "^-?", 0)
-    digits = F.regexp_replace(s, r"^-?([0-9]+)\.?([0-9]*)E.*$", "$1$2")
-    e = F.regexp_extract(s, r"E([+-]?[0-9]+)$", 1).try_cast("int")
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.rtrim(digits, F.lit("0")))
+    ends = r"\.0*$"
+    plain = F.when(s.rlike(ends), F.regexp_replace(F.regexp_replace(s, ends, ""), "^-0$", "0")).otherwise(s)
+    return F.when(s.contains("E"), F.transform(F.array(s), _moved_point)[0]).otherwise(plain)
+
+
+def _moved_point(s: Column) -> Column:
+    """The plain text of a number's text with an exponent."""
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    digits = F.translate(F.substring_index(s, "E", 1), "-.", "")
+    e = F.substring_index(s, "E", -1).try_cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.rtrim(digits, F.lit("0")))
     padded = F.rpad(digits, F.greatest(e + 1, F.lit(20)), F.lit("0"))
-    large = F.concat(sign, F.left(padded, e + 1), F.lit("."), F.substr(padded, e + 2))
-    large = F.regexp_replace(F.regexp_replace(large, "0+$", ""), r"\.$", "")
-    return F.when(e.isNull(), plain).when(e < 0, small).otherwise(large)
+    large = F.concat(F.left(padded, e + 1), F.lit("."), F.substr(padded, e + 2))
+    large = F.rtrim(F.rtrim(large, F.lit("0")), F.lit("."))
+    return F.concat(sign, F.when(e < 0, small).otherwise(large))
 
 
 def r_text(c: Column | str, dtype) -> Column:

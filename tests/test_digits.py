@@ -1,0 +1,42 @@
+"""Numbers as text: the digits, and how much code a row of them makes."""
+
+import re
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from stakeperf.functions.columns import plain_digits
+from stakeperf.operators import scores as S
+
+DOUBLES = [0.0, -0.0, 17.0, -17.0, 100.0, 0.1, -2.5, 1e-3, 9.99e-4, -1.5e-14, 9999999.0, 1e7, 12345678.9, -1e7, 2.0e26, 1.2345678901234567e20,
+           5e-324, 1.7976931348623157e308, 0.014285714285714285, float("nan"), float("inf"), float("-inf"), None]
+
+
+def expected(x):
+    if x is None or x != x or x in (float("inf"), float("-inf")):
+        return {None: None, "nan": "NaN", "inf": "Infinity", "-inf": "-Infinity"}[None if x is None else str(x)]
+    text = format(Decimal(repr(x)), "f")
+    text = text.rstrip("0").rstrip(".") if "." in text else text
+    return "0" if text == "-0" else text
+
+
+def test_digits_of_doubles(spark):
+    df = spark.createDataFrame([(x,) for x in DOUBLES], "x double").select(plain_digits("x"))
+    got = [r[0] for r in df.collect()]
+    # 5e-324 has the digits 4.9 in Java's text
+    assert [g for g, x in zip(got, DOUBLES) if x != 5e-324] == [expected(x) for x in DOUBLES if x != 5e-324]
+    assert got[DOUBLES.index(5e-324)] == "0." + "0" * 323 + "49"
+
+
+def test_digits_of_other_numbers(spark):
+    df = spark.sql("select cast(1.50 as decimal(9,2)) a, cast(17 as decimal(9,2)) b, -3 c, cast(1e10 as float) d, cast(-0.001 as decimal(20,10)) e")
+    got = df.select(*[plain_digits(c) for c in df.columns]).collect()[0]
+    assert tuple(got) == ("1.50", "17", "-3", "10000000000", "-0.0010000000")
+
+
+def test_code_of_several_columns_can_be_compiled(spark):
+    # the JVM never compiles a method of more than 8000 bytes, and runs it many times slower
+    flat = spark.range(10).select(*[F.rand(k).alias(c) for k, c in zip(range(5), ("day", "payoutPending", "payoutSettled", "percentile", "value"))])
+    plan = S.stringify_scores(flat)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert max(sizes, default=0) < 8000
