@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stakeperf.functions.columns import plain_digits
 from stakeperf.operators import scores as S
+from stakeperf.plans.queries import stringify_stage
 
 DOUBLES = [0.0, -0.0, 17.0, -17.0, 100.0, 0.1, -2.5, 1e-3, 9.99e-4, -1.5e-14, 9999999.0, 1e7, 12345678.9, -1e7, 2.0e26, 1.2345678901234567e20,
            5e-324, 1.7976931348623157e308, 0.014285714285714285, float("nan"), float("inf"), float("-inf"), None]
@@ -40,3 +41,14 @@ def test_code_of_several_columns_can_be_compiled(spark):
     plan = S.stringify_scores(flat)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
     assert max(sizes, default=0) < 8000
+
+
+def test_code_of_the_ingest_can_be_compiled(spark, sf_small):
+    # the step that the sink and stringify_scores share: flatten, filter, numbers to text
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = stringify_stage(spark, sf_small)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert len(sizes) > 2 and max(sizes) < 8000
