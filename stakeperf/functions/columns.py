@@ -58,11 +58,11 @@ def plain_digits(c: Column | str) -> Column:
     """A number's text with every significant digit and no exponent, at any
     magnitude: Spark's own digits, with the point moved by the exponent.
 
-    Most cells need one pattern.  The point is moved inside ``transform``, which keeps the
+    Most cells need no pattern.  The point is moved inside ``transform``, which keeps the
     code that Spark generates for several columns side by side small enough for the JVM to compile."""
     s = _c(c).cast("string")
-    ends = r"\.0*$"
-    plain = F.when(s.rlike(ends), F.regexp_replace(F.regexp_replace(s, ends, ""), "^-0$", "0")).otherwise(s)
+    whole = F.substring_index(s, ".", 1)
+    plain = F.when(F.rtrim(s, F.lit("0")).endswith("."), F.when(whole == "-0", F.lit("0")).otherwise(whole)).otherwise(s)
     return F.when(s.contains("E"), F.transform(F.array(s), _moved_point)[0]).otherwise(plain)
 
 
@@ -73,8 +73,9 @@ def _moved_point(s: Column) -> Column:
     e = F.substring_index(s, "E", -1).try_cast("int")
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.rtrim(digits, F.lit("0")))
     padded = F.rpad(digits, F.greatest(e + 1, F.lit(20)), F.lit("0"))
-    large = F.concat(F.left(padded, e + 1), F.lit("."), F.substr(padded, e + 2))
-    large = F.rtrim(F.rtrim(large, F.lit("0")), F.lit("."))
+    parted = F.concat(F.left(padded, e + 1), F.lit("."), F.substr(padded, e + 2))
+    parted = F.rtrim(F.rtrim(parted, F.lit("0")), F.lit("."))
+    large = F.when(F.length(digits) <= e + 1, F.rpad(digits, e + 1, F.lit("0"))).otherwise(parted)
     return F.concat(sign, F.when(e < 0, small).otherwise(large))
 
 

@@ -135,10 +135,13 @@ def filter_scores_parity(flat: DataFrame, metrics: Sequence[str] = SCORE_METRICS
 
 def stringify_scores(flat: DataFrame, list_columns: Sequence[str] | None = None) -> DataFrame:
     """R ``across(where(is.list), ~ sapply(., toString))``: the score fields
-    (list columns in the reference) become text, NULL becomes ``""``."""
+    (list columns in the reference) become text, NULL becomes ``""``.
+
+    A cell's own text comes from a step before, so it is made once, not at each use."""
     cols = list(list_columns) if list_columns is not None else [c for c in TEXT_FIELDS if c in flat.columns]
     types = {f.name: f.dataType for f in flat.schema.fields}
-    return flat.select([r_text(c, types[c]).alias(c) if c in cols else F.col(c) for c in flat.columns])
+    text = flat.select([F.col(c).cast("string").alias(c) if c in cols else F.col(c) for c in flat.columns])
+    return text.select([r_text(c, types[c]).alias(c) if c in cols else F.col(c) for c in flat.columns])
 
 
 def round_numbers(nested: DataFrame, model: str = "model_name", rnd: str = "roundNumber") -> DataFrame:

@@ -91,14 +91,13 @@ def fx_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("l_linenumber") % 4 == 1, F.col("l_tax") * 1e28)
         .otherwise(F.col("l_tax") / 3).alias("value"),
     )
-    # Each line's position inside its order comes from a window sort (a
-    # code-generated sort on the full key); the per-order array is then
-    # ordered by that integer alone.  Lines per order are few, so both the
-    # window partition and the array are bounded.
-    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*sort_key))
-    per_order = (li.withColumn("_pos", pos)
+    # Lines are dealt by order once, as they are, and each order's array is sorted by
+    # the full key; lines per order are few, so the array is bounded.  Lines without an
+    # order key belong to no order.
+    lines = li.where(F.col("l_orderkey").isNotNull()).select("l_orderkey", *sort_key).repartition("l_orderkey")
+    per_order = (lines.withColumn("s", score)
                  .groupBy("l_orderkey")
-                 .agg(F.sort_array(F.collect_list(F.struct(F.col("_pos"), score.alias("s")))).alias("_lines"))
+                 .agg(F.sort_array(F.collect_list(F.struct(*sort_key, "s"))).alias("_lines"))
                  .select("l_orderkey", F.transform("_lines", lambda x: x["s"]).alias("intraRoundSubmissionScores")))
     # The arrays side grows with the line table: never broadcast it (a size
     # estimate of an aggregate is not a bound); sort-merge on the order key.
