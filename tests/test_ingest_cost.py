@@ -1,5 +1,6 @@
 """What the nested scores and their text cost a row: no window over the lines, one text a number."""
 
+import json
 import random
 from datetime import datetime
 from decimal import Decimal
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stakeperf.functions.columns import plain_digits
 from stakeperf.operators import scores as S
-from stakeperf.plans.queries import stringify_stage
+from stakeperf.plans.queries import response_documents, stringify_stage
 from stakeperf.sources import fixtures as FX
 
 LINE = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
@@ -54,3 +55,29 @@ def test_digits_of_many_magnitudes(spark):
         assert text == ("0" if want == "-0" else want)
     flat = df.select(F.col("x").alias("value"))
     assert S.stringify_scores(flat).collect() == df.select(plain_digits("x").alias("value")).collect()
+
+
+def test_records_of_documents_are_sorted_once(spark, sf_small, monkeypatch):
+    # the records are sorted once, for their window, and written in that order
+    plans = []
+    write = type(spark.range(1).write).text
+
+    def text(self, path, **options):
+        plans.append(executed(self._df))
+        return write(self, path, **options)
+
+    monkeypatch.setattr(type(spark.range(1).write), "text", text)
+    response_documents(spark, sf_small)
+    above, window, below = plans[-1].partition("Window [")
+    assert window and "Sort [" not in above and below.count("Sort [document") == 1
+
+
+def test_documents_of_records_that_come_twice(spark, sf_small, tmp_path):
+    for t in ("orders", "lineitem"):
+        rows = spark.read.parquet(f"{sf_small}/{t}.parquet")
+        rows.union(rows).repartition(5).write.parquet(f"{tmp_path}/{t}.parquet")
+    root = response_documents(spark, str(tmp_path))
+    texts = {r.file: json.loads(r.value) for r in spark.read.text(f"{root}/*/*", wholetext=True).select("value", F.col("_metadata.file_path").alias("file")).collect()}
+    numbers = [[r["roundNumber"] for r in d["data"]["v2RoundModelPerformances"]] for d in texts.values()]
+    assert len(texts) == 21 and sum(map(len, numbers)) == spark.read.parquet(f"{tmp_path}/orders.parquet").count()
+    assert all(n == sorted(n, reverse=True) for n in numbers)
