@@ -43,6 +43,10 @@ WIDTH, PHRASE = 50, 16
 #: Phrases in one automaton, and documents that run through one copy of it.
 SHARD_PHRASES, SHARD_DOCUMENTS = 4000, 4000
 
+#: Bytes of text that the scan and the removal work on at a time: their arrays hold
+#: ten numbers and more a word.  Windows that a task of step 4 holds before it hands them on.
+PIECE_BYTES, HELD_WINDOWS = 1 << 20, 1 << 16
+
 #: Tells apart the texts of rows that repeat an id.
 BODY = "xxhash64(text)"
 
@@ -72,7 +76,7 @@ def _scan(docs: DataFrame, width: int, phrase: int) -> DataFrame:
     @per_task
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, limit=PIECE_BYTES):
                 t = Texts(part.column("text"))
                 start, length, doc = words(t.data, t.offsets)
                 h = word_hash(t.data, start, length)
@@ -127,13 +131,31 @@ def _one_line(t: Texts, start: np.ndarray, length: np.ndarray) -> bytes:
     return line.tobytes()
 
 
+def _gathered(parts: Iterator[tuple[np.ndarray, ...]], schema: pa.Schema, limit: int) -> Iterator[pa.RecordBatch]:
+    """The parts, each some rows as one array a column, as batches of ``limit`` rows
+    at most: what a task holds grows neither with its documents nor with their windows."""
+    held, n = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], schema=schema)
+
+    for part in parts:
+        for at in range(0, len(part[0]), limit):
+            piece = [x[at:at + limit] for x in part]
+            if held and n + len(piece[0]) > limit:
+                yield batch()
+                held, n = [], 0
+            held.append(piece)
+            n += len(piece[0])
+    if held:
+        yield batch()
+
+
 def _matches(rows: DataFrame, width: int, phrase: int) -> DataFrame:
     """Windows whose anchor the automaton of (shard, salt) has located; rows come in order, sources first."""
-    @per_task
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         here, machine = None, None
         for batch in batches:
-            out = []
             for shard, salt, kind, doc, body, text, hashes in zip(*(batch.column(n) for n in ("shard", "salt", "kind", "doc_id", "body", "text", "phrases"))):
                 if here != (at := (shard.as_py(), salt.as_py())):
                     here, machine = at, Automaton(phrase)
@@ -148,9 +170,11 @@ def _matches(rows: DataFrame, width: int, phrase: int) -> DataFrame:
                 h = word_hash(t.data, start, length)
                 w = np.flatnonzero(np.isin(window_anchors(h, width, phrase), np.fromiter(found, np.uint64, len(found))))
                 a, b = window_hash(h, width, BASES[0])[w], window_hash(word_hash(t.data, start, length, SECOND), width, BASES[1])[w]
-                out.append((a.view(np.int64), b.view(np.int64), np.full(len(w), doc.as_py()), np.full(len(w), body.as_py()), w))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=FOUND)
+                yield a.view(np.int64), b.view(np.int64), np.full(len(w), doc.as_py()), np.full(len(w), body.as_py()), w
+
+    @per_task
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _gathered(located(batches), FOUND, HELD_WINDOWS)
         yield empty(FOUND)
     return rows.mapInArrow(run, "win_a bigint, win_b bigint, doc_id bigint, body bigint, start bigint")
 
@@ -195,7 +219,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, phrase: int = PHRASE, shard_phr
 
 def _apply(batch: pa.RecordBatch, width: int, marks: tuple[str, str]):
     """(slice of the batch, words, words removed, kept words joined by one space) of every text."""
-    for part in chunks(batch):
+    for part in chunks(batch, limit=PIECE_BYTES):
         t = Texts(part.column("text"))
         start, length, doc = words(t.data, t.offsets)
         count = np.bincount(doc, minlength=t.n)

@@ -110,10 +110,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/stakeperf/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark's limit of the bytes in an Arrow batch, and ours: both sides of each Python
+#: task hold a batch outside the heap, and whole texts fill Spark's 64 MB.
+ARROW_BYTES, ARROW_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package: the same as setting
     ``spark.executorEnv.PYTHONPATH`` when the session was built.  Packages
-    shipped with ``--py-files`` need no such path."""
+    shipped with ``--py-files`` need no such path.  Arrow batches get a smaller
+    limit, unless the session has one of its own."""
+    if ARROW_BYTES not in spark.conf.getAll:
+        spark.conf.set(ARROW_BYTES, str(ARROW_LIMIT))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))

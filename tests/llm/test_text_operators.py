@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -334,3 +336,38 @@ def test_piece_table_survives_a_collision(library, monkeypatch):
         ids, edge = table(Texts(pa.array(["some plain words here", "other words", None])))
         assert ids.tolist() == library.encode("some plain words here other words", add_special_tokens=False).ids
     assert table.seed == 2
+
+
+def test_arrow_batches_of_texts_are_small(sp):
+    """A task's batch of whole texts is held twice outside the heap, so it has few bytes."""
+    rows = sp.range(0, 12_000, 1, 1).selectExpr("id", "repeat('x', 2000) text")
+    sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["b"]) for b in batches), "b bigint").collect()
+    assert sum(r.b for r in sizes) > 24_000_000
+    assert max(r.b for r in sizes) < 9_000_000
+
+
+def test_removal_works_on_few_texts_at_a_time():
+    """Arrays of a word's numbers are many times the text: they are made of a part of a batch."""
+    text = " ".join(f"w{i}" for i in range(2000))
+    n = (16 << 20) // len(text)
+    batch = pa.record_batch({"text": pa.array([text] * n), "whole": pa.array([False] * n), "starts": pa.array([[5]] * n, pa.list_(pa.int64()))})
+    tracemalloc.start()
+    try:
+        removed = sum(int(r.sum()) for _, _, r, _ in phrases._apply(batch, 50, ("whole", "starts")))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert removed == 50 * n
+    assert peak < 40_000_000
+
+
+def test_windows_are_handed_on_in_small_batches():
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    sizes = [0, 3, 25, 1, 10, 9]
+    edges = np.cumsum([0, *sizes])
+    parts = [(np.arange(a, b), -np.arange(a, b)) for a, b in zip(edges, edges[1:])]
+    batches = list(phrases._gathered(iter(parts), schema, 10))
+    assert max(b.num_rows for b in batches) <= 10
+    whole = pa.Table.from_batches(batches).to_pydict()
+    assert whole == {"a": list(range(sum(sizes))), "b": [-i for i in range(sum(sizes))]}
+    assert not list(phrases._gathered(iter([]), schema, 10))
