@@ -121,18 +121,28 @@ def _records(text: _Text) -> Iterator[tuple[int, int, str]]:
                     raise ValueError("a record that is no object")
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[str]:
-    """The text of a document of ``size`` bytes, which may lack the last piece's end."""
-    end, n = PIECE_END.encode(), 0
+#: Stands for the last piece's end where it is not known to be there; no JSON has it.
+UNSURE = "\0"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], size: int | None) -> Iterator[str]:
+    """The text of a document of ``size`` bytes, which may lack the last piece's end.  Without
+    a size (a compressed document) only an empty last piece is known to have one."""
+    end, n, last = PIECE_END.encode(), 0, None
     for batch in batches:
         pieces = batch.column("value").to_pylist()
+        if not pieces:
+            continue
         n += sum(map(len, pieces)) + len(pieces)
-        yield (end.join(pieces) + (end if n <= size else b"")).decode()
+        yield ((b"" if last is None else end) + end.join(pieces)).decode()
+        last = pieces[-1]
+    if last is not None:
+        yield (PIECE_END if not last else UNSURE) if size is None else (PIECE_END if n <= size else "")
 
 
 def record_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One JSON line per round record of a task's document, which comes in pieces
-    (``value``); ``file``, ``model_name`` and ``size`` come with the first.  A document that
+    (``value``); ``file``, ``model_name`` and ``size`` (null if it is compressed) come with the first.  A document that
     is not plain JSON of the known form gives a line saying so, perhaps after some of its records."""
     first = next((b for b in batches if b.num_rows), None)
     if first is None:

@@ -183,8 +183,9 @@ def _documents(spark: SparkSession, paths: str | list[str], schema: StructType)
     return reader.option("pathGlobFilter", DOCUMENT_FILES).json(paths)
 
 
-#: Documents are named ``<model>.json``, or lie as text in a Spark output folder named so.
-DOCUMENT_FILES = "*.{json,txt}"
+#: Documents are named ``<model>.json``, or lie as text, perhaps compressed, in a Spark
+#: output folder named so.
+DOCUMENT_FILES = "*.{json,txt,txt.gz}"
 
 
 def _document_parts(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
@@ -199,7 +200,7 @@ def _document_parts(spark: SparkSession, folder: str, schema: StructType) -> Dat
     path = F.col("_metadata.file_path")
     text = text.where(path.endswith(".json") | path.rlike("/document=[^/]*/[^/]*$"))
     first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
-    about = {"file": path, "model_name": _document_model(), "size": F.col("_metadata.file_size")}
+    about = {"file": path, "model_name": _document_model(), "size": F.when(~path.endswith(".gz"), F.col("_metadata.file_size"))}
     pieces = text.select(*[F.when(first, c).alias(n) for n, c in about.items()], F.col("value").cast("binary").alias("value"))
     odd, out = Observation(), scratch_path(spark, "records")
     lines = pieces.mapInArrow(record_lines, "value string").observe(odd, F.count_if(F.col("value").startswith(ODD)).alias("n"))
@@ -239,7 +240,7 @@ def read_response_scores(spark: SparkSession, folder: str, schema: StructType =
 
 def _document_model() -> Column:
     folder = F.regexp_extract(_decoded("_metadata.file_path"), r"/document=([^/]*)\.json/[^/]*$", 1)
-    name = F.regexp_extract(_decoded("_metadata.file_name"), r"^(.*)\.(?:json|txt)$", 1)
+    name = F.regexp_extract(_decoded("_metadata.file_name"), r"^(.*)\.(?:json|txt)(?:\.gz)?$", 1)
     return F.when(folder != "", folder).otherwise(name)
 
 

@@ -1,7 +1,10 @@
 """Response documents taken apart record by record: the rows that Spark's reader of whole
 documents gives, without a task holding a document."""
 
+import gzip
 import json
+import os
+import time
 
 import pyarrow as pa
 import pytest
@@ -9,6 +12,7 @@ import pytest
 from stakeperf import schemas
 from stakeperf.operators import scores as S
 from stakeperf.plans.queries import response_documents
+from stakeperf.session import checkpoint_root
 from stakeperf.sources import files as IO
 from stakeperf.sources.documents import ODD, record_lines
 
@@ -91,3 +95,69 @@ def test_a_document_is_written_record_by_record(spark, sf_small):
     assert len(texts) == n and max(map(len, texts)) < 5000
     for r in spark.read.text(f"{root}/*/*", wholetext=True).collect():
         json.loads(r.value)
+
+
+def test_rows_of_compressed_documents(spark, tmp_path):
+    for name, text in TEXTS.items():
+        for end in ("", "\n"):
+            folder = tmp_path / f"document={name}{len(end)}.json"
+            folder.mkdir()
+            (folder / "part-0.txt.gz").write_bytes(gzip.compress((text + end).encode()))
+    whole = IO.response_records(IO._documents(spark, str(tmp_path), schemas.RESPONSE))
+    got = IO.read_responses(spark, str(tmp_path))
+    assert rows(got) == rows(whole)
+    assert {"plain0", "plain1", "marks0", "spaced1", "after0", "single0"} <= {r[0] for r in rows(got)}
+
+
+@pytest.mark.parametrize("text, odd", [
+    (TEXTS["plain"], False), (TEXTS["plain"] + "\n", False), (TEXTS["spaced"], False), (TEXTS["after"], False),
+    (TEXTS["brace_short"] + "\n", True), (TEXTS["brace_short"] + ' , "x"', True), (TEXTS["cut"], True)])
+@pytest.mark.parametrize("length", [1, 3, 1000])
+def test_the_end_of_a_document_of_unknown_size(text, odd, length):
+    # pieces as Spark's reader gives them: none after a last piece that has its end
+    pieces = text.encode().split(b"}")
+    pieces = pieces if pieces[-1] else pieces[:-1]
+    batches = (pa.RecordBatch.from_pydict({"file": ["f"] * len(part), "model_name": ["m"] * len(part), "size": pa.array([None] * len(part), "int64"), "value": part})
+               for part in (pieces[k:k + length] for k in range(0, len(pieces), length)))
+    lines = [line for out in record_lines(batches) for line in out.column("value").to_pylist()]
+    assert [line.startswith(ODD) for line in lines].count(True) == odd
+    if not odd:
+        assert [json.loads(line)["record"] for line in lines] == [r for r in RECORDS if r]
+
+
+def _files(top):
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names}
+
+
+def test_documents_take_little_disk(spark, sf_small):
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = lambda: {f for top in local for f in _files(top) if os.path.basename(f).startswith("shuffle_")}
+    scratch = checkpoint_root(spark).removeprefix("file://")
+    before, stored = shuffles(), set(_files(scratch))
+    root = response_documents(spark, sf_small)
+    new = {f: n for f, n in _files(scratch).items() if f not in stored}
+    assert all(f.startswith(root.removeprefix("file://")) for f in new)
+    text = sum(len(r.value) + 1 for r in spark.read.option("recursiveFileLookup", True).text(root).collect())
+    assert sum(new.values()) < text / 4
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+
+
+def test_documents_of_records_in_many_blocks(spark, tmp_path):
+    keys = [None, None, 3, 4095, 4096, 4096, 4097, 20_000, 20_001, 1 << 39]
+    orders = [(k, c, 1.5 + c) for c in (1, 2) for k in keys] + [(None, 3, 1.5), (None, 3, 2.5), (50_000, 4, 1.5), (7, None, 9.5)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp"
+    spark.createDataFrame([(4096, 1, 1, 1, 1.0, 2.0, 0.5, 0.25, "A", None)], line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = response_documents(spark, str(tmp_path))
+    got = {}
+    for r in spark.read.text(f"{root}/*/*", wholetext=True).select("value", "_metadata.file_path").collect():
+        document = r.file_path.split("document=")[1].split("/")[0]
+        assert document not in got
+        got[document] = [(x.get("roundNumber"), len(x.get("intraRoundSubmissionScores", []))) for x in json.loads(r.value)["data"]["v2RoundModelPerformances"]]
+    many = [(k, 1 if k == 4096 else 0) for k in [None, None, *sorted((k for k in keys if k is not None), reverse=True)]]
+    assert got == {"m1.json": many, "m2.json": many, "m3.json": [(None, 0)] * 2, "m4.json": [(50_000, 0)], "__HIVE_DEFAULT_PARTITION__": [(7, 0)]}
+    read = IO.read_responses(spark, root).where("model_name = 'm2'").orderBy("rec_pos").collect()
+    assert [(r.rec_pos, r.roundNumber) for r in read] == [(k, n) for k, (n, _) in enumerate(many)]
